@@ -19,6 +19,7 @@ and it runs unchanged on a streaming DataFrame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,86 +73,102 @@ def has_disallowed_letters(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Content validators: (comment, rule) -> label Column. The comment is stripped
-# and non-empty, and has passed the UCE/EE/03 checks.
+# Content validators: (features, rule) -> label Column. The comment is
+# stripped and non-empty, and has passed the UCE/EE/03 checks.
 # ---------------------------------------------------------------------------
 
 
-def _meter_reading(c: Column, rule: Rule | None = None) -> Column:
-    n = digit_run_count(c)
-    first = first_digit_run(c)
+@dataclass(frozen=True)
+class Feats:
+    """Per-row inputs shared by the validators.
+
+    In the single-expression form (:func:`audit_label`) these are plain
+    expressions; in the staged form (:func:`with_audit_label`) they are
+    columns computed once per row in a lower projection, which keeps the CASE
+    small enough for whole-stage codegen inside aggregations.
+    """
+
+    c: Column
+    letters: Column
+    runs: Column
+    first: Column
+
+
+def raw_feats(c: Column) -> Feats:
+    return Feats(c=c, letters=has_disallowed_letters(c), runs=digit_run_count(c), first=first_digit_run(c))
+
+
+def _meter_reading(f: Feats, rule: Rule | None = None) -> Column:
     return (
-        F.when(n == 0, "NI")
-        .when(has_disallowed_letters(c), "CFP")
-        .when(n == 1, F.when(first.rlike(_READING_RE), "C").otherwise("FL"))
-        .when(n > 8, "CFP")
+        F.when(f.runs == 0, "NI")
+        .when(f.letters, "CFP")
+        .when(f.runs == 1, F.when(f.first.rlike(_READING_RE), "C").otherwise("FL"))
+        .when(f.runs > 8, "CFP")
         .otherwise("C")
     )
 
 
-def _meter_reading_function(c: Column, rule: Rule | None = None) -> Column:
+def _meter_reading_function(f: Feats, rule: Rule | None = None) -> Column:
     funcs = list(rule.funcoes_validas) if rule is not None else []
     has_function = F.lit(False)
-    for f in funcs:
+    for fn in funcs:
         # substring test, not a token test
-        has_function = has_function | c.contains(f)
-    return F.when(~has_function, "NI").otherwise(_meter_reading(c, rule))
+        has_function = has_function | f.c.contains(fn)
+    return F.when(~has_function, "NI").otherwise(_meter_reading(f, rule))
 
 
-def _pole(c: Column, rule: Rule | None = None) -> Column:
-    without_ids = F.regexp_replace(c, rf"(?iu)[SMX]{DIGIT}+", "")
+def _pole(f: Feats, rule: Rule | None = None) -> Column:
+    without_ids = F.regexp_replace(f.c, rf"(?iu)[SMX]{DIGIT}+", "")
     return (
-        F.when(~has_digit(c), "NI")
-        .when(has_disallowed_letters(c) & has_disallowed_letters(without_ids), "CFP")
-        .when(c.rlike(rf"(?iu)[SM]{DIGIT}{{6}}|X{DIGIT}+"), "C")
+        F.when(~has_digit(f.c), "NI")
+        .when(f.letters & has_disallowed_letters(without_ids), "CFP")
+        .when(f.c.rlike(rf"(?iu)[SM]{DIGIT}{{6}}|X{DIGIT}+"), "C")
         .otherwise("CI")
     )
 
 
-def _matching_text(c: Column, rule: Rule | None = None) -> Column:
-    return F.when(F.length(c) < 1, "CI").otherwise("C")
+def _matching_text(f: Feats, rule: Rule | None = None) -> Column:
+    return F.when(F.length(f.c) < 1, "CI").otherwise("C")
 
 
-def _campaign(c: Column, rule: Rule | None = None) -> Column:
+def _campaign(f: Feats, rule: Rule | None = None) -> Column:
     return F.lit("C")
 
 
-def _meter_without_reading(c: Column, rule: Rule | None = None) -> Column:
-    u = F.upper(c)
+def _meter_without_reading(f: Feats, rule: Rule | None = None) -> Column:
+    u = F.upper(f.c)
     # Per word, keep only ASCII A-Z/0-9; separators survive so words stay apart.
     residue = F.regexp_replace(u, f"[^A-Z0-9{WS}]", "")
     allowed = "|".join(_SINGLE_WORD_TOKENS)
     letters_only_word = rf"(?<![A-Z0-9])(?!(?:{allowed})(?![A-Z0-9]))[A-Z]+(?![A-Z0-9])"
     return (
-        F.when(~has_digit(c), "NI")
+        F.when(~has_digit(f.c), "NI")
         .when(residue.rlike(letters_only_word), "CFP")
         .when(words_with_digit_count(u) > 8, "CFP")
         .otherwise("C")
     )
 
 
-def _function_only(c: Column, rule: Rule | None = None) -> Column:
-    return F.when(c.rlike(rf"^{DIGIT}{{2}}$"), "C").otherwise("CFP")
+def _function_only(f: Feats, rule: Rule | None = None) -> Column:
+    return F.when(f.c.rlike(rf"^{DIGIT}{{2}}$"), "C").otherwise("CFP")
 
 
-def _function_reading(c: Column, rule: Rule | None = None) -> Column:
-    n = digit_run_count(c)
-    first = first_digit_run(c)
+def _function_reading(f: Feats, rule: Rule | None = None) -> Column:
     single = (
-        F.when(first.rlike(_READING_RE), "C")
-        .when((F.length(first) <= 4) & ~first.rlike(_READING_PREFIX_RE), "CI")
+        F.when(f.first.rlike(_READING_RE), "C")
+        .when((F.length(f.first) <= 4) & ~f.first.rlike(_READING_PREFIX_RE), "CI")
         .otherwise("FL")
     )
     return (
-        F.when(n == 0, "NI")
-        .when(has_disallowed_letters(c), "CFP")
-        .when(n == 1, single)
-        .when(n > 8, "CFP")
+        F.when(f.runs == 0, "NI")
+        .when(f.letters, "CFP")
+        .when(f.runs == 1, single)
+        .when(f.runs > 8, "CFP")
         .otherwise("C")
     )
 
 
-Validator = Callable[[Column, "Rule | None"], Column]
+Validator = Callable[[Feats, "Rule | None"], Column]
 
 VALIDATORS: dict[str, Validator] = {
     "MEDIDOR_LEITURA": _meter_reading,
@@ -164,13 +181,19 @@ VALIDATORS: dict[str, Validator] = {
     "FUNCAO_LEITURA": _function_reading,
 }
 
+# Content types whose validators read the shared features (letters / digit
+# runs); the staged form computes those features only for their notes.
+_USES_FEATS = {"MEDIDOR_LEITURA", "MEDIDOR_LEITURA_FUNCAO", "POSTE_FORMAT", "FUNCAO_LEITURA"}
 
-def register_validator(required: str, builder: Validator) -> None:
+
+def register_validator(required: str, builder: Validator, uses_features: bool = True) -> None:
     """Extension point: a new content type for new rule entries."""
     VALIDATORS[required] = builder
+    if uses_features:
+        _USES_FEATS.add(required)
 
 
-def content_label(nota: Column, c: Column, rules: list[Rule] | None = None) -> Column:
+def content_label(nota: Column, f: Feats, rules: list[Rule] | None = None) -> Column:
     """Dispatch on the note's rule; a note without a rule is conforming.
 
     Rules sharing a content type and parameters share one branch, so the CASE
@@ -185,19 +208,14 @@ def content_label(nota: Column, c: Column, rules: list[Rule] | None = None) -> C
     for (required, funcs, invalid, fmt), notes in groups.items():
         rule = Rule(notes[0], required, "", funcs, invalid, fmt)
         builder = VALIDATORS.get(required)
-        branch = builder(c, rule) if builder is not None else F.lit("C")
+        branch = builder(f, rule) if builder is not None else F.lit("C")
         cond = nota.isin(notes)
         expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
     return F.lit("C") if expr is None else expr.otherwise("C")
 
 
-def audit_label(nota_col: Column | str, comment_col: Column | str, rules: list[Rule] | None = None) -> Column:
-    """V0: the audit label of one (note, comment) pair, as a Column."""
-    nota_raw = F.col(nota_col) if isinstance(nota_col, str) else nota_col
-    comment_raw = F.col(comment_col) if isinstance(comment_col, str) else comment_col
-    # str(null) is "nan": an unknown note.
-    nota = F.coalesce(trim_ws(nota_raw.cast("string")), F.lit("nan"))
-    c = trim_ws(comment_raw.cast("string"))
+def _label(nota: Column, comment_raw: Column, f: Feats, rules: list[Rule] | None) -> Column:
+    c = f.c
     empty = comment_raw.isNull() | (c == "")
     optional = nota.isin(COMMENT_OPTIONAL_NOTES)
     code_03 = nota.isin(CODE_03_NOTES) & (c.startswith("03") | c.rlike(bounded("03")))
@@ -208,8 +226,53 @@ def audit_label(nota_col: Column | str, comment_col: Column | str, rules: list[R
         .when(c.contains("   "), "EE")
         .when(code_03, "CFP")
         .when(only_allowed_tokens(c) & optional, "C")
-        .otherwise(content_label(nota, c, rules))
+        .otherwise(content_label(nota, f, rules))
+    )
+
+
+def _col(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _norm_nota(nota_raw: Column) -> Column:
+    # str(null) is "nan": an unknown note.
+    return F.coalesce(trim_ws(nota_raw.cast("string")), F.lit("nan"))
+
+
+def audit_label(nota_col: Column | str, comment_col: Column | str, rules: list[Rule] | None = None) -> Column:
+    """V0 as one Column expression (for ad-hoc use and small inputs).
+
+    Prefer :func:`with_audit_label` on large tables: it computes the shared
+    features once per row.
+    """
+    comment_raw = _col(comment_col)
+    return _label(_norm_nota(_col(nota_col)), comment_raw, raw_feats(trim_ws(comment_raw.cast("string"))), rules)
+
+
+def with_audit_label(
+    df: DataFrame,
+    nota_col: str,
+    comment_col: str,
+    out_col: str = "analise",
+    rules: list[Rule] | None = None,
+) -> DataFrame:
+    """V0 as staged projections: trimmed text, then shared features (only for
+    the notes that read them), then the ordered CASE. Same result as
+    :func:`audit_label`; each regex runs at most once per row."""
+    rules = rules if rules is not None else default_rules()
+    feat_notes = sorted({r.nota for r in rules if r.required in _USES_FEATS})
+    n, c, lt, rn, fr = "__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"
+    staged = df.withColumns({n: _norm_nota(F.col(nota_col)), c: trim_ws(F.col(comment_col).cast("string"))})
+    need = F.col(n).isin(feat_notes) & (F.col(c) != "")
+    staged = staged.withColumns(
+        {
+            lt: F.when(need, has_disallowed_letters(F.col(c))),
+            rn: F.when(need, digit_run_count(F.col(c))),
+            fr: F.when(need, first_digit_run(F.col(c))),
+        }
     )
+    f = Feats(c=F.col(c), letters=F.col(lt), runs=F.col(rn), first=F.col(fr))
+    return staged.withColumn(out_col, _label(F.col(n), F.col(comment_col), f, rules)).drop(n, c, lt, rn, fr)
 
 
 # ---------------------------------------------------------------------------
@@ -257,10 +320,11 @@ def audit(
             comment_col = comment_col if comment_col in df.columns else found_comment
     if nota_col is None or comment_col is None:
         raise ValueError(f"note/comment columns not found: nota={nota_col}, comment={comment_col}, columns={df.columns}")
-    computed = audit_label(F.col(nota_col), F.col(comment_col), rules)
-    if analysis_col in df.columns:
-        return df.withColumn(analysis_col, F.coalesce(F.col(analysis_col).cast("string"), computed))
-    return df.withColumn(analysis_col, computed)
+    if analysis_col not in df.columns:
+        return with_audit_label(df, nota_col, comment_col, analysis_col, rules)
+    tmp = "__cm_label"
+    out = with_audit_label(df, nota_col, comment_col, tmp, rules)
+    return out.withColumn(analysis_col, F.coalesce(F.col(analysis_col).cast("string"), F.col(tmp))).drop(tmp)
 
 
 def reset_analysis(df: DataFrame, nota_col: str | None, analysis_col: str = "ANÁLISE") -> DataFrame:

@@ -38,3 +38,15 @@ def test_no_python_in_audit_plan(spark):
     df = spark.createDataFrame([("B111", "1")], "nota string, comentario string")
     plan = df.select(audit_label("nota", "comentario").alias("a"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("cases", [GOLDEN_CASES, PROSE_CASES, EDGE_CASES], ids=["golden", "prose", "edge"])
+def test_cases_staged(spark, cases):
+    from cometa.operators.validate import with_audit_label
+
+    rows = [(i, n, c, e) for i, (n, c, e) in enumerate(cases)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = with_audit_label(df, "nota", "comentario", "got").orderBy("i").collect()
+    bad = [(r.nota, r.comentario, r.expected, r.got) for r in out if r.expected != r.got]
+    assert not bad, bad
+    assert out[0].asDict().keys() == {"i", "nota", "comentario", "expected", "got"}
