@@ -4,16 +4,18 @@ from __future__ import annotations
 
 
 def all_queries():
-    from cometa.plans import audit_queries
+    from cometa.plans import audit_queries, ml_queries
 
     out = {}
     out.update(audit_queries.QUERIES)
+    out.update(ml_queries.QUERIES)
     return out
 
 
 def all_oracle_sql():
-    from cometa.plans import oracle_audit
+    from cometa.plans import oracle_audit, oracle_ml
 
     out = {}
     out.update(oracle_audit.ORACLE)
+    out.update(oracle_ml.ORACLE)
     return out

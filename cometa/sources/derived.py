@@ -69,3 +69,20 @@ def derived_audit_table(lineitem: DataFrame) -> DataFrame:
         _comment(tpl, a, b).alias("comentario"),
         prior.alias("analise_previa"),
     )
+
+
+def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Text with a partly null label: ``documents LEFT JOIN labels``.
+
+    ``label`` combines the two flags into four classes (``q<quality>t<toxic>``)
+    and is null for documents without labels (the rows to predict).
+    The labels table grows with the data, so the join is left to Spark
+    (sort-merge, or broadcast when AQE sees a small side).
+    """
+    lab = labels.select(
+        "doc_id",
+        "quality",
+        "toxic",
+        F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("label"),
+    )
+    return documents.select("doc_id", "source", "lang", "text").join(lab, "doc_id", "left")
