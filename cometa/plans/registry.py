@@ -4,18 +4,21 @@ from __future__ import annotations
 
 
 def all_queries():
-    from cometa.plans import audit_queries, ml_queries
+    from cometa.plans import audit_queries, geo_queries, ml_queries, model_queries
 
     out = {}
     out.update(audit_queries.QUERIES)
     out.update(ml_queries.QUERIES)
+    out.update(geo_queries.QUERIES)
+    out.update(model_queries.QUERIES)
     return out
 
 
 def all_oracle_sql():
-    from cometa.plans import oracle_audit, oracle_ml
+    from cometa.plans import geo_queries, oracle_audit, oracle_ml
 
     out = {}
     out.update(oracle_audit.ORACLE)
     out.update(oracle_ml.ORACLE)
+    out.update(geo_queries.ORACLE)
     return out

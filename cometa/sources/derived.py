@@ -86,3 +86,15 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("label"),
     )
     return documents.select("doc_id", "source", "lang", "text").join(lab, "doc_id", "left")
+
+
+def route_points(customer: DataFrame) -> DataFrame:
+    """Route stops derived from ``customer``: route = nation, stop order =
+    customer key, coordinates spread deterministically around a city."""
+    k = F.col("c_custkey")
+    return customer.select(
+        F.col("c_nationkey").cast("long").alias("route_id"),
+        k.alias("seq"),
+        (F.lit(-23.5) + ((k * 7919) % 10007).cast("double") / 100000.0).alias("lat"),
+        (F.lit(-46.6) + ((k * 104729) % 10009).cast("double") / 100000.0).alias("lon"),
+    )
