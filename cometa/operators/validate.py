@@ -35,6 +35,8 @@ from cometa.functions.text import (
     trim_ws,
     words_with_digit_count,
 )
+from cometa.plans.partitioning import spread_for_cpu
+from cometa.session import tune_for_wide_expressions
 from cometa.operators.rules import (
     ALLOWED_TOKENS,
     CODE_03_NOTES,
@@ -225,7 +227,7 @@ def _label(nota: Column, comment_raw: Column, f: Feats, rules: list[Rule] | None
         .when(has_special_char(c), "UCE")
         .when(c.contains("   "), "EE")
         .when(code_03, "CFP")
-        .when(only_allowed_tokens(c) & optional, "C")
+        .when(optional & only_allowed_tokens(c), "C")
         .otherwise(content_label(nota, f, rules))
     )
 
@@ -259,6 +261,8 @@ def with_audit_label(
     """V0 as staged projections: trimmed text, then shared features (only for
     the notes that read them), then the ordered CASE. Same result as
     :func:`audit_label`; each regex runs at most once per row."""
+    tune_for_wide_expressions(df.sparkSession)
+    df = spread_for_cpu(df)
     rules = rules if rules is not None else default_rules()
     feat_notes = sorted({r.nota for r in rules if r.required in _USES_FEATS})
     n, c, lt, rn, fr = "__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"
