@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cometa.plans.joins import lookup_join
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -65,7 +64,10 @@ def with_previous(
     )
     w_b = Window.partitionBy(part_col).orderBy("__bkt")
     heads = last.select(part_col, "__bkt", F.lag("__last").over(w_b).alias("__head"))
-    staged = lookup_join(staged, heads, [part_col, "__bkt"], how="left")
+    # One row per (route, bucket): grows with the data, so no broadcast. The
+    # window already hash-partitioned ``staged`` by these keys; only the
+    # heads table is shuffled (AQE may still broadcast it when it is small).
+    staged = staged.join(heads, [part_col, "__bkt"], how="left")
     out = staged.select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col("__in_" + c), F.col("__head")[c]).alias(prefix + c) for c in carried],

@@ -17,7 +17,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cometa.plans.joins import is_small, lookup_join
+from cometa.plans.joins import collect_small, lookup_join
 
 UNK = "__UNK__"
 # A label column with more classes than this is not a classification target.
@@ -119,14 +119,19 @@ def fit_label_encoder(df: DataFrame, col: str, output_col: str | None = None) ->
 
 def class_table(df: DataFrame, col: str, extra: list[str] | None = None) -> DataFrame:
     """Sorted class list as ``(value, idx)``; ``extra`` values are added
-    before sorting (e.g. the unknown token). Size-checked."""
+    before sorting (e.g. the unknown token).
+
+    The distinct values are computed once (partial aggregation, so a hot
+    class costs one row per task), size-checked and numbered on the driver;
+    the result is a local table, so later lookups do not recompute it.
+    """
     values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("value")).distinct()
-    if extra:
-        values = values.unionByName(df.sparkSession.createDataFrame([(e,) for e in extra], "value string")).distinct()
-    if not is_small(values, MAX_CLASSES):
+    local = collect_small(values, MAX_CLASSES)
+    if local is None:
         raise ValueError(f"column {col} has more than {MAX_CLASSES} distinct values; not a category")
-    # The class table is small (checked above): a global ordering is cheap.
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("idx"))
+    # Python orders str by code point, which is Spark's (UTF-8 byte) order.
+    names = sorted({r["value"] for r in local.collect()} | set(extra or []))
+    return df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "value string, idx int")
 
 
 def encode_with_unknown(df: DataFrame, col: str, classes: DataFrame, out_col: str | None = None) -> DataFrame:
@@ -185,19 +190,27 @@ def stratified_split(
         F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double")
         / F.lit(2.0**63),
     )
-    support = class_support(base, label_col)
-    largest = support.agg(F.max("n")).first()[0] or 0
+    # Pass 1: rows per class (bounded: one row per class).
+    support = collect_small(class_support(base, label_col), MAX_CLASSES)
+    if support is None:
+        raise ValueError(f"{label_col} has more than {MAX_CLASSES} classes; not a classification target")
+    largest = max((r["n"] for r in support.collect()), default=0)
     n_buckets = max(1, int(-(-largest // rows_per_bucket)))
     base = base.withColumn("__b", F.least(F.floor(F.col("__u") * n_buckets), F.lit(n_buckets - 1)).cast("int"))
+    # Pass 2: rows per (class, bucket) -> offset of each bucket inside its
+    # class, with the class quota (classes x buckets rows: broadcast when
+    # proven small, else joined on the window's own partitioning).
     per_bucket = base.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__nb"))
     w = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(label_col, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off"))
     quota = support.select(label_col, F.round(F.col("n") * F.lit(train_share)).cast("long").alias("__quota"))
+    offsets = per_bucket.select(label_col, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off")).join(
+        F.broadcast(quota), label_col
+    )
+    # Pass 3: rank inside (class, bucket) windows, bounded by rows_per_bucket.
     ranked = base.withColumn(
         "__r", F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__u", key_col))
     )
     ranked = lookup_join(ranked, offsets, [label_col, "__b"], how="inner")
-    ranked = lookup_join(ranked, quota, [label_col], how="inner")
     split = F.when(F.col("__off") + F.col("__r") <= F.col("__quota"), "train").otherwise("val")
     return ranked.withColumn("split", split).drop("__u", "__b", "__r", "__off", "__quota")
 

@@ -120,9 +120,22 @@ def report_averages(spark, sf_dir):
     return avg.select(*[F.round(c, 6).alias(c) for c in avg.columns if c != "n"], "n")
 
 
+# Class-probability rows for O3/M7 are derived from the whole embedding:
+# component i adds to the score of class i mod N_SCORE_CLASSES.
+N_SCORE_CLASSES = 10
+
+
+def _class_scores(emb):
+    x = F.transform(emb, lambda v: v.cast("double"))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(N_SCORE_CLASSES - 1)),
+        lambda j: F.aggregate(F.filter(x, lambda v, i: i % N_SCORE_CLASSES == j), F.lit(0.0), lambda a, v: a + v),
+    )
+
+
 def _probs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", em.softmax(F.slice("embedding", 1, 10)).alias("p"))
+    return e.select("vec_id", em.softmax(_class_scores(F.col("embedding"))).alias("p"))
 
 
 def argmax_confidence(spark, sf_dir):
