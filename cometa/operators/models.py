@@ -65,22 +65,50 @@ def comment_code(c) -> F.Column:
     return F.pmod(F.xxhash64(c), F.lit(COMMENT_CODE_BUCKETS)).cast("double")
 
 
-def fit_forest(train: DataFrame, nota_col: str, comment_col: str, label_col: str, trees: int = 100, seed: int = 42) -> PipelineModel:
+def fit_forest(
+    train: DataFrame,
+    nota_col: str,
+    comment_col: str,
+    label_col: str,
+    trees: int = 100,
+    seed: int = 42,
+    max_depth: int = 10,
+    balanced: bool = False,
+) -> PipelineModel:
+    """M1/M2 (and M2b with ``trees=200, balanced=True``): random forest over
+    the note index and the comment code; ``balanced`` weights every row by
+    its class's balanced weight (A10) through ``weightCol``."""
     prepared = train.withColumn("comment_code", F.coalesce(comment_code(F.col(comment_col)), F.lit(-1.0)))
+    if balanced:
+        prepared = _weighted(prepared, label_col)
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth
+    )
+    if balanced:
+        forest = forest.setWeightCol("weight")
     stages = [
         _label_indexer(label_col),
         _category_indexer(nota_col),
         VectorAssembler(inputCols=[f"{nota_col}_idx", "comment_code"], outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=10),
+        forest,
     ]
     return Pipeline(stages=stages).fit(prepared)
 
 
-def forest_fill(df: DataFrame, nota_col: str, comment_col: str, label_col: str, trees: int = 100, seed: int = 42) -> DataFrame:
+def forest_fill(
+    df: DataFrame,
+    nota_col: str,
+    comment_col: str,
+    label_col: str,
+    trees: int = 100,
+    seed: int = 42,
+    max_depth: int = 10,
+    balanced: bool = False,
+) -> DataFrame:
     """M1/M2 + U2: train on labelled rows, label the rest, return kept rows
     followed by filled rows with ``origin`` = kept | filled."""
     train, todo = mp.split_labelled(df, label_col)
-    model = fit_forest(train, nota_col, comment_col, label_col, trees, seed)
+    model = fit_forest(train, nota_col, comment_col, label_col, trees, seed, max_depth, balanced)
     scored = model.transform(todo.withColumn("comment_code", F.coalesce(comment_code(F.col(comment_col)), F.lit(-1.0))))
     filled = decode_prediction(scored, model, "__pred").withColumn(label_col, F.col("__pred"))
     cols = df.columns

@@ -133,15 +133,13 @@ def label_badges(spark, sf_dir):
 
 
 def fill_and_merge(spark, sf_dir):
-    """Rows that already had a label, then rows labelled now."""
-    df = aud(spark, sf_dir)
-    kept = df.where(F.col("analise_previa").isNotNull()).select(
-        "k", "nota", "comentario", F.col("analise_previa").alias("analise"), F.lit("kept").alias("origin")
-    )
-    filled = with_audit_label(df.where(F.col("analise_previa").isNull()), "nota", "comentario", "analise").select(
-        "k", "nota", "comentario", "analise", F.lit("filled").alias("origin")
-    )
-    return kept.unionByName(filled)
+    """Rows that already had a label (``kept``) and rows labelled now
+    (``filled``), in one pass over the table (row order is not part of the
+    contract, so no union of two scans)."""
+    df = aud(spark, sf_dir).withColumn("analise", F.col("analise_previa"))
+    out = audit(df, comment_col="comentario", nota_col="nota", analysis_col="analise")
+    origin = F.when(F.col("analise_previa").isNotNull(), "kept").otherwise("filled")
+    return out.select("k", "nota", "comentario", "analise", origin.alias("origin"))
 
 
 QUERIES = {

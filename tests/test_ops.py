@@ -166,3 +166,23 @@ def test_model_save_and_compat(spark, tmp_path):
     other = classes.where(F.col("idx") > 0)
     assert md.load_if_compatible(spark, path, other, {"features": "tfidf"}) is None
     assert md.load_if_compatible(spark, path, classes, {"features": "other"}) is None
+
+
+def test_balanced_forest_fill(spark):
+    """200 trees, depth 10, balanced class weights; kept rows untouched,
+    every missing label filled with a class seen in training."""
+    from cometa.operators import models as md
+    from cometa.plans.audit_queries import aud
+
+    a = aud(spark, SF001)
+    out = md.forest_fill(a, "nota", "comentario", "analise_previa", trees=200, max_depth=10, balanced=True)
+    total = a.count()
+    kept = a.where(F.col("analise_previa").isNotNull())
+    classes = {r[0] for r in kept.select("analise_previa").distinct().collect()}
+    rows = out.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {r.origin: r.n for r in rows}
+    assert counts["kept"] == kept.count()
+    assert counts["kept"] + counts["filled"] == total
+    filled = out.where("origin = 'filled'").select("analise_previa").distinct().collect()
+    assert {r[0] for r in filled} <= classes
+    assert out.where(F.col("analise_previa").isNull()).count() == 0
