@@ -35,7 +35,6 @@ from cometa.functions.text import (
     trim_ws,
     words_with_digit_count,
 )
-from cometa.plans.partitioning import spread_for_cpu
 from cometa.session import tune_for_wide_expressions
 from cometa.operators.rules import (
     ALLOWED_TOKENS,
@@ -262,7 +261,6 @@ def with_audit_label(
     the notes that read them), then the ordered CASE. Same result as
     :func:`audit_label`; each regex runs at most once per row."""
     tune_for_wide_expressions(df.sparkSession)
-    df = spread_for_cpu(df)
     rules = rules if rules is not None else default_rules()
     feat_notes = sorted({r.nota for r in rules if r.required in _USES_FEATS})
     n, c, lt, rn, fr = "__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"

@@ -10,13 +10,17 @@ from cometa.operators import mlprep as mp
 from cometa.operators.embed_cache import cache_misses
 from cometa.plans.audit_queries import aud
 from cometa.plans.joins import lookup_join
+from cometa.plans.partitioning import spread_for_cpu
 from cometa.operators.validate import with_audit_label
 from cometa.sources.derived import labelled_documents
 from cometa.sources.tables import table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents with their (partly null) label. Whole-text tokenization is
+    CPU-heavy per row, so a scan with fewer splits than cores is spread
+    first (a no-op on a large table)."""
+    return labelled_documents(spread_for_cpu(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def labelled(spark, sf_dir) -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin repartition before per-row heavy work, but only when the
-    input has fewer partitions than the cluster has cores (e.g. one large
-    unsplittable file or a single row group). On a big scan with many splits
-    this is a no-op, so no shuffle is added at scale."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def spread_for_cpu(scan: DataFrame) -> DataFrame:
+    """Round-robin repartition a *fresh file scan* before per-row heavy work,
+    but only when it has fewer partitions than the cluster has cores (one
+    large unsplittable file, a single row group). A big scan with many splits
+    is returned as it is, so no shuffle is added at scale.
+
+    Call it on a scan, not on a plan with a shuffle: counting the partitions
+    of a shuffled (adaptive) plan executes its upstream stages.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
