@@ -64,12 +64,18 @@ def report_averages(report: DataFrame) -> DataFrame:
     )
 
 
-def softmax(arr: Column) -> Column:
-    """Numerically stable softmax of an array column."""
-    m = F.array_max(arr)
-    e = F.transform(arr, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+def with_softmax(df: DataFrame, scores_col: str, out_col: str) -> DataFrame:
+    """Numerically stable softmax of an array column into ``out_col``.
+
+    Staged over projections: Spark does not share subexpressions inside
+    lambda functions, so an array expression referenced inside a lambda is
+    re-evaluated per element. Materializing the input and the exponentials
+    as columns keeps the cost linear in the array length.
+    """
+    e, s = "__sm_e", "__sm_s"
+    out = df.withColumn(e, F.transform(scores_col, lambda x: F.exp(x - F.array_max(F.col(scores_col)))))
+    out = out.withColumn(s, F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x))
+    return out.withColumn(out_col, F.transform(e, lambda x: x / F.col(s))).drop(e, s)
 
 
 def argmax(p: Column) -> Column:

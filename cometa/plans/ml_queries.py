@@ -125,21 +125,25 @@ def report_averages(spark, sf_dir):
 
 
 # Class-probability rows for O3/M7 are derived from the whole embedding:
-# component i adds to the score of class i mod N_SCORE_CLASSES.
+# component i adds to the score of class i mod N_SCORE_CLASSES, and the sums
+# are divided by SCORE_TEMPERATURE before the softmax (so that both sides of
+# the review threshold occur).
 N_SCORE_CLASSES = 10
+SCORE_TEMPERATURE = 0.1
 
 
 def _class_scores(emb):
     x = F.transform(emb, lambda v: v.cast("double"))
     return F.transform(
         F.sequence(F.lit(0), F.lit(N_SCORE_CLASSES - 1)),
-        lambda j: F.aggregate(F.filter(x, lambda v, i: i % N_SCORE_CLASSES == j), F.lit(0.0), lambda a, v: a + v),
+        lambda j: F.aggregate(F.filter(x, lambda v, i: i % N_SCORE_CLASSES == j), F.lit(0.0), lambda a, v: a + v)
+        / F.lit(SCORE_TEMPERATURE),
     )
 
 
 def _probs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", em.softmax(_class_scores(F.col("embedding"))).alias("p"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", _class_scores(F.col("embedding")).alias("__x"))
+    return em.with_softmax(e, "__x", "p").drop("__x")
 
 
 def argmax_confidence(spark, sf_dir):

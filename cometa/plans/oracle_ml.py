@@ -41,7 +41,7 @@ rep AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) EL
 _PROBS = """
 WITH e0 AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings),
 e AS (SELECT vec_id, list_transform(range(0, 10),
-        lambda j: list_sum(list_filter(y, lambda v, i: (i - 1) % 10 = j))) AS x FROM e0),
+        lambda j: list_sum(list_filter(y, lambda v, i: (i - 1) % 10 = j)) / 0.1) AS x FROM e0),
 m AS (SELECT vec_id, x, list_max(x) AS mx FROM e),
 ex AS (SELECT vec_id, list_transform(x, lambda v: exp(v - mx)) AS ee FROM m),
 p AS (SELECT vec_id, list_transform(ee, lambda v: v / list_sum(ee)) AS p FROM ex),

@@ -1,6 +1,8 @@
 """Operator tests: skew-proof paths, statistics edge cases, metamorphic
 properties of the audit, plan shape, embedding cache, model contracts."""
 
+import math
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -186,3 +188,16 @@ def test_balanced_forest_fill(spark):
     filled = out.where("origin = 'filled'").select("analise_previa").distinct().collect()
     assert {r[0] for r in filled} <= classes
     assert out.where(F.col("analise_previa").isNull()).count() == 0
+
+
+def test_softmax_staged(spark):
+    """Probabilities sum to 1, large scores do not overflow, ties go to the first index."""
+    from cometa.operators import evalmetrics as em
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1000.0, 1000.0, 0.0]), (3, [0.0])], "id int, x array<double>")
+    out = em.with_confidence(em.with_softmax(df, "x", "p"), "p").orderBy("id").collect()
+    for r in out:
+        assert abs(sum(r.p) - 1.0) < 1e-12
+    assert out[0].pred_idx == 2 and abs(out[0].confidence - math.exp(3) / (math.exp(1) + math.exp(2) + math.exp(3))) < 1e-12
+    assert out[1].pred_idx == 0 and abs(out[1].confidence - 0.5) < 1e-12 and out[1].review
+    assert out[2].pred_idx == 0 and out[2].confidence == 1.0 and not out[2].review
