@@ -201,3 +201,30 @@ def test_softmax_staged(spark):
     assert out[0].pred_idx == 2 and abs(out[0].confidence - math.exp(3) / (math.exp(1) + math.exp(2) + math.exp(3))) < 1e-12
     assert out[1].pred_idx == 0 and abs(out[1].confidence - 0.5) < 1e-12 and out[1].review
     assert out[2].pred_idx == 0 and out[2].confidence == 1.0 and not out[2].review
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounded_lookup_is_a_broadcast_local_table(spark):
+    """A class table aggregated from the big table is computed once (collected
+    under its bound) and joined as a broadcast local table, not re-aggregated."""
+    from cometa.plans.ml_queries import docs
+
+    plan = _plan(mp.drop_rare_classes(docs(spark, SF001), "label"))
+    # driver-held rows: LocalTableScan or ExistingRDD depending on how they were built
+    assert "BroadcastHashJoin" in plan and ("LocalTableScan" in plan or "ExistingRDD" in plan)
+    assert "HashAggregate" not in plan
+
+
+def test_audit_adds_no_exchange_and_spread_runs_no_job(spark):
+    from cometa.plans.partitioning import spread_for_cpu
+    from cometa.sources.derived import derived_audit_table
+
+    scan = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    assert "Exchange" not in _plan(with_audit_label(derived_audit_table(scan), "nota", "comentario"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    spread_for_cpu(scan)
+    assert set(tracker.getJobIdsForGroup(None)) == before
