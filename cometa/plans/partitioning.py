@@ -11,8 +11,9 @@ def spread_for_cpu(scan: DataFrame) -> DataFrame:
     large unsplittable file, a single row group). A big scan with many splits
     is returned as it is, so no shuffle is added at scale.
 
-    Call it on a scan, not on a plan with a shuffle: counting the partitions
-    of a shuffled (adaptive) plan executes its upstream stages.
+    Call it on a scan (possibly followed by narrow projections and filters),
+    not on a plan with a shuffle: counting the partitions of a shuffled
+    (adaptive) plan executes its upstream stages.
     """
     if scan.isStreaming:
         return scan

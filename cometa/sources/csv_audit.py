@@ -2,10 +2,11 @@
 
 Every column is read as STRING (leading zeros in codes and serial numbers
 matter to the rules). ``multiLine`` is on by default because quoted fields --
-headers included -- may contain newlines; such files cannot be split, so the
-scan is followed by a round-robin repartition that spreads the per-row rule
-work over the cluster. Pass ``multi_line=False`` for extracts known to hold
-one record per line (splittable, no repartition needed).
+headers included -- may contain newlines; such files cannot be split, so when the
+scan has fewer splits than the cluster has cores (one large file) it is
+followed by a round-robin repartition that spreads the per-row rule work;
+a folder of many files is left as it is. Pass ``multi_line=False`` for
+extracts known to hold one record per line (splittable).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cometa.plans.partitioning import spread_for_cpu
+
 # ---------------------------------------------------------------------------
 # Spellings read as null by the original CSV reader (its
 # defaults; the empty string included).
@@ -85,10 +88,11 @@ def _reader(spark: SparkSession, sep: str, multi_line: bool):
     )
 
 
-def _spread(df: DataFrame, multi_line: bool) -> DataFrame:
-    if not multi_line:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def _spread(df: DataFrame) -> DataFrame:
+    """Spread the rule work when the scan has fewer splits than cores (one
+    unsplittable multi-line file); many files already give many splits and
+    are left as they are. ``df`` is the scan plus narrow steps only."""
+    return spread_for_cpu(df)
 
 
 def read_audit_csv(
@@ -107,7 +111,7 @@ def read_audit_csv(
     raw = _reader(spark, sep, multi_line).csv(path)
     df = normalize_columns(raw, legacy_double_strip)
     df = null_na_tokens(df)
-    return _spread(keep_dated(df, required=date_required), multi_line)
+    return _spread(keep_dated(df, required=date_required))
 
 
 def read_training_csvs(
@@ -126,7 +130,7 @@ def read_training_csvs(
     df = null_na_tokens(normalize_columns(raw))
     if df.limit(1).count() == 0:
         raise ValueError(f"no training file left for {pattern} after excluding {exclude}")
-    return _spread(df, multi_line)
+    return _spread(df)
 
 
 def read_labelled_csv(
@@ -144,7 +148,7 @@ def read_labelled_csv(
     cols = [F.col(f"`{text_col}`").alias("comentario"), F.col(f"`{class_col}`").alias("classificacao")]
     if sigla_col:
         cols.append(F.col(f"`{sigla_col}`").alias("sigla"))
-    return _spread(raw.select(*cols).na.drop(how="any", subset=["comentario", "classificacao"]), multi_line)
+    return _spread(raw.select(*cols).na.drop(how="any", subset=["comentario", "classificacao"]))
 
 
 def validated_path(input_path: str, suffix: str = "_VALIDADO") -> str:
