@@ -3,6 +3,10 @@
 All are single aggregations with partial (map-side) aggregation, so a hot
 note or label that holds a third of the rows is pre-combined in every scan
 task before the shuffle; the shuffled data is one row per key per task.
+
+Every statistic also accepts ``weight_col``: rows then count ``weight``
+times. A job computes :func:`note_label_counts` once (one pass over the big
+table, at most notes x labels rows) and derives all statistics from it.
 """
 
 from __future__ import annotations
@@ -20,7 +24,26 @@ from cometa.operators.rules import LABELS, NON_CONFORMING
 MAX_CROSSTAB_LABELS = 1000
 
 
-def label_distribution(df: DataFrame, analysis_col: str = "analise", out_col: str = "n") -> DataFrame:
+def _count_if(cond: Column, weight_col: str | None) -> Column:
+    """Rows where ``cond`` holds (weighted by ``weight_col`` when given)."""
+    if weight_col is None:
+        return F.count_if(cond)
+    return F.coalesce(F.sum(F.when(cond, F.col(weight_col))), F.lit(0)).cast("bigint")
+
+
+def note_label_counts(df: DataFrame, nota_col: str | None, analysis_col: str = "analise") -> DataFrame:
+    """``(nota, analise, n)``: rows per (note, label), null keys kept.
+
+    One aggregation over the big table; pass the result with
+    ``weight_col="n"`` to the statistics below.
+    """
+    nota = F.col(nota_col) if nota_col else F.lit(None).cast("string")
+    return df.groupBy(nota.alias("nota"), F.col(analysis_col).alias("analise")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_distribution(
+    df: DataFrame, analysis_col: str = "analise", out_col: str = "n", weight_col: str | None = None
+) -> DataFrame:
     """A1: count per non-null label, count-descending (label breaks ties).
 
     The null group is dropped *after* aggregating (``count(label) > 0``): a
@@ -30,19 +53,19 @@ def label_distribution(df: DataFrame, analysis_col: str = "analise", out_col: st
     a = F.col(analysis_col)
     return (
         df.groupBy(a.alias(analysis_col))
-        .agg(F.count(a).alias(out_col))
+        .agg(_count_if(a.isNotNull(), weight_col).alias(out_col))
         .where(F.col(out_col) > 0)
         .orderBy(F.desc(out_col), F.asc(analysis_col))
     )
 
 
-def audit_totals(df: DataFrame, analysis_col: str = "analise") -> DataFrame:
+def audit_totals(df: DataFrame, analysis_col: str = "analise", weight_col: str | None = None) -> DataFrame:
     """A2: total rows, rows with a label, rows without."""
     a = F.col(analysis_col)
     return df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count(a).alias("filled_rows"),
-        F.count_if(a.isNull()).alias("empty_rows"),
+        _count_if(F.lit(True), weight_col).alias("total_rows"),
+        _count_if(a.isNotNull(), weight_col).alias("filled_rows"),
+        _count_if(a.isNull(), weight_col).alias("empty_rows"),
     )
 
 
@@ -51,6 +74,7 @@ def note_label_crosstab(
     nota_col: str = "nota",
     analysis_col: str = "analise",
     labels: list[str] | None = None,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """A3: rows per (note, label) as one column per label, zeros filled.
 
@@ -73,14 +97,19 @@ def note_label_crosstab(
     # after the aggregate (see label_distribution).
     return (
         base.groupBy(F.col(nota_col).alias(nota_col))
-        .agg(*[F.count_if(a == lbl).alias(lbl) for lbl in labels], F.count(a).alias("__labelled"))
+        .agg(
+            *[_count_if(a == lbl, weight_col).alias(lbl) for lbl in labels],
+            _count_if(a.isNotNull(), weight_col).alias("__labelled"),
+        )
         .where(F.col("__labelled") > 0)
         .drop("__labelled")
         .orderBy(nota_col)
     )
 
 
-def worst_notes(df: DataFrame, nota_col: str = "nota", analysis_col: str = "analise", top: int = 10) -> DataFrame:
+def worst_notes(
+    df: DataFrame, nota_col: str = "nota", analysis_col: str = "analise", top: int = 10, weight_col: str | None = None
+) -> DataFrame:
     """A4 + O1: notes with most non-conforming rows, top ``top``.
 
     A null label counts as non-conforming (``IS DISTINCT FROM 'C'``); a null
@@ -89,7 +118,7 @@ def worst_notes(df: DataFrame, nota_col: str = "nota", analysis_col: str = "anal
     return (
         df.where(F.col(nota_col).isNotNull())
         .groupBy(F.col(nota_col).alias(nota_col))
-        .agg(F.count_if(~F.col(analysis_col).eqNullSafe("C")).alias("n_nonconforming"))
+        .agg(_count_if(~F.col(analysis_col).eqNullSafe("C"), weight_col).alias("n_nonconforming"))
         .where(F.col("n_nonconforming") > 0)
         .orderBy(F.desc("n_nonconforming"), F.asc(nota_col))
         .limit(top)
@@ -100,7 +129,7 @@ def _pt_br_percent(x: Column) -> Column:
     return F.translate(F.format_string("%.2f%%", x), ".", ",")
 
 
-def conformity_kpi(df: DataFrame, analysis_col: str = "analise") -> DataFrame:
+def conformity_kpi(df: DataFrame, analysis_col: str = "analise", weight_col: str | None = None) -> DataFrame:
     """A5 + A6: non-conforming / conforming x 100, with the pt-BR text.
 
     ``C = 0`` gives ``0,0%`` when there is nothing non-conforming and ``N/A``
@@ -108,8 +137,8 @@ def conformity_kpi(df: DataFrame, analysis_col: str = "analise") -> DataFrame:
     """
     a = F.col(analysis_col)
     counts = df.agg(
-        F.count_if(a == "C").alias("total_c"),
-        F.count_if(a.isin(NON_CONFORMING)).alias("total_nonconforming"),
+        _count_if(a == "C", weight_col).alias("total_c"),
+        _count_if(a.isin(NON_CONFORMING), weight_col).alias("total_nonconforming"),
     )
     ratio = F.try_divide(F.col("total_nonconforming").cast("double"), F.col("total_c").cast("double")) * 100.0
     return counts.select(
@@ -123,11 +152,11 @@ def conformity_kpi(df: DataFrame, analysis_col: str = "analise") -> DataFrame:
     )
 
 
-def label_badges(df: DataFrame, analysis_col: str = "analise") -> DataFrame:
+def label_badges(df: DataFrame, analysis_col: str = "analise", weight_col: str | None = None) -> DataFrame:
     """One row per label of the alphabet with its count and pt-BR text
     (thousands separated by '.'); labels absent from the data show 0."""
     a = F.col(analysis_col)
-    counts = df.agg(*[F.count_if(a == lbl).alias(lbl) for lbl in LABELS])
+    counts = df.agg(*[_count_if(a == lbl, weight_col).alias(lbl) for lbl in LABELS])
     stack = F.expr(
         "stack({n}, {pairs}) as (label, n)".format(
             n=len(LABELS), pairs=", ".join(f"'{lbl}', `{lbl}`" for lbl in LABELS)

@@ -7,8 +7,11 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cometa.operators import stats
+from cometa.plans.joins import MAX_LOOKUP_ROWS, collect_small
+from cometa.session import shared_path
 from cometa.operators.validate import audit, reset_analysis, resolve_roles, standardize_analysis
 from cometa.sources.csv_audit import read_audit_csv, write_validated
 
@@ -62,19 +65,34 @@ def run_audit(
         persisted = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(output_path)
     else:
         persisted = spark.read.format(fmt).load(output_path)
-    total = persisted.count()
+    # one aggregation over the written table: rows per (note, label), at most
+    # notes x labels rows; every statistic below is derived from it
+    nota_written = nota_col if nota_col in persisted.columns else None
+    counts = stats.note_label_counts(persisted, nota_written, ANALYSIS)
+    local = collect_small(counts, MAX_LOOKUP_ROWS)
+    if local is None:  # unusually many distinct notes: keep it as a table
+        path = shared_path(spark, f"audit_counts_{int(t0 * 1000)}")
+        counts.write.mode("overwrite").parquet(path)
+        counts = spark.read.parquet(path)
+    else:
+        counts = local
+    total = counts.agg(F.sum("n")).first()[0] or 0
     run_log = stats.run_log_row(spark, total, time.time() - t0, output_path)
     if run_log_path:
         stats.append_run_log(run_log, run_log_path)
-    nota_written = nota_col if nota_col in persisted.columns else None
+    w = "n"
     return AuditRun(
         validated=persisted,
         before_totals=before,
-        distribution=stats.label_distribution(persisted, ANALYSIS),
-        kpi=stats.conformity_kpi(persisted, ANALYSIS),
-        badges=stats.label_badges(persisted, ANALYSIS),
-        crosstab=stats.note_label_crosstab(persisted, nota_written, ANALYSIS) if analyze and nota_written else None,
-        worst=stats.worst_notes(persisted, nota_written, ANALYSIS) if analyze and nota_written else None,
+        distribution=stats.label_distribution(counts, "analise", weight_col=w).withColumnRenamed("analise", ANALYSIS),
+        kpi=stats.conformity_kpi(counts, "analise", weight_col=w),
+        badges=stats.label_badges(counts, "analise", weight_col=w),
+        crosstab=stats.note_label_crosstab(counts, "nota", "analise", weight_col=w).withColumnRenamed("nota", nota_written)
+        if analyze and nota_written
+        else None,
+        worst=stats.worst_notes(counts, "nota", "analise", weight_col=w).withColumnRenamed("nota", nota_written)
+        if analyze and nota_written
+        else None,
         run_log=run_log,
         nota_col=nota_col,
         comment_col=comment_col,

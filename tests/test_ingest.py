@@ -84,6 +84,20 @@ def test_run_audit(spark, tmp_path):
     assert worst[0] == ("B111", 1) or ("B111", 1) in worst
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 1
     assert validated_path("/x/mvc_0003.csv") == "/x/mvc_0003_VALIDADO"
+    # statistics derived from the (note, label) counts equal the row-level ones
+    from cometa.operators import stats
+
+    v, n = run.validated, run.nota_col
+    pairs = [
+        (run.distribution, stats.label_distribution(v, ANALYSIS)),
+        (run.kpi, stats.conformity_kpi(v, ANALYSIS)),
+        (run.badges, stats.label_badges(v, ANALYSIS)),
+        (run.crosstab, stats.note_label_crosstab(v, n, ANALYSIS)),
+        (run.worst, stats.worst_notes(v, n, ANALYSIS)),
+    ]
+    for derived, direct in pairs:
+        assert derived.columns == direct.columns
+        assert [tuple(r) for r in derived.collect()] == [tuple(r) for r in direct.collect()]
 
 
 def test_training_scan_excludes(spark, tmp_path):
