@@ -8,10 +8,13 @@ recomputed from the source offsets).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cometa.plans.audit_job import ANALYSIS, prepare
+from cometa.session import shared_path
 from cometa.sources.csv_audit import keep_dated, normalize_columns, null_na_tokens
 
 
@@ -37,13 +40,20 @@ def start_audit_stream(
     spark: SparkSession,
     input_dir: str,
     output_dir: str,
-    checkpoint_dir: str,
+    checkpoint_dir: str | None = None,
     sep: str = ";",
     available_now: bool = True,
     processing_time: str | None = None,
 ) -> StreamingQuery:
     """Start the streaming audit into a parquet folder. ``available_now``
-    processes what is there and stops; else run with ``processing_time``."""
+    processes what is there and stops; else run with ``processing_time``.
+    The checkpoint defaults to a folder under the cluster's shared
+    ``spark.checkpoint.dir`` keyed by the output folder (source offsets and
+    the sink log survive restarts and lost executors)."""
+    if checkpoint_dir is None:
+        # one checkpoint per output folder, so a restarted stream resumes
+        key = hashlib.sha1(output_dir.encode("utf-8")).hexdigest()[:16]
+        checkpoint_dir = shared_path(spark, f"audit_stream_{key}")
     w = audit_stream(spark, input_dir, sep).writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start(output_dir)

@@ -131,3 +131,21 @@ def test_streaming_audit_matches_batch(spark, tmp_path):
     streamed = {r["Nº_Serie"]: r[ANALYSIS] for r in spark.read.parquet(str(tmp_path / "sout")).collect()}
     batch = run_audit(spark, str(src / "m1.csv"), str(tmp_path / "bout"), analyze=False)
     assert streamed == {r["Nº_Serie"]: r[ANALYSIS] for r in batch.validated.collect()}
+
+
+def test_streaming_default_checkpoint_under_shared_dir(spark, tmp_path):
+    import os
+
+    from cometa.session import ensure_checkpoint_dir
+    from cometa.streaming.audit_stream import start_audit_stream
+
+    inp = tmp_path / "in"
+    inp.mkdir()
+    _write(str(inp / "a.csv"), [HEADER] + ROWS)
+    q = start_audit_stream(spark, str(inp), str(tmp_path / "out"))
+    q.awaitTermination(120)
+    # the undated row is dropped
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS) - 1
+
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert any(n.startswith("audit_stream_") for n in os.listdir(base))
