@@ -11,7 +11,7 @@ from cometa.operators import models as md
 from cometa.operators.embed_cache import embed_with_cache
 from cometa.plans.audit_queries import aud
 from cometa.plans.ml_queries import docs
-from cometa.session import shared_path
+from cometa.session import materialize, shared_path
 
 
 def rf_predict(spark, sf_dir):
@@ -25,7 +25,7 @@ def _train_val(spark, sf_dir, label_col="label"):
     d = docs(spark, sf_dir)
     train_all, todo = mp.split_labelled(d, label_col)
     kept = mp.drop_rare_classes(train_all, label_col)
-    split = mp.stratified_split(kept, label_col, "doc_id", train_share=0.8, seed=42)
+    split = materialize(mp.stratified_split(kept, label_col, "doc_id", train_share=0.8, seed=42), "text_split")
     return split.where("split = 'train'"), split.where("split = 'val'"), todo
 
 
@@ -65,12 +65,12 @@ def two_stage_infer(spark, sf_dir):
     d = docs(spark, sf_dir)
     lab, todo = mp.split_labelled(d, "label")
     lab = lab.withColumn("sigla", F.when(F.col("toxic") == 1, "TOX").otherwise("OK"))
-    s1_split = mp.stratified_split(lab, "source", "doc_id", 0.85, seed=42)
+    s1_split = materialize(mp.stratified_split(lab, "source", "doc_id", 0.85, seed=42), "stage1_split")
     stage1 = md.select_by_macro_f1(
         s1_split.where("split = 'train'"), s1_split.where("split = 'val'"), "text", "source", prefix="s1"
     )
     ctx = lab.withColumn("ctx", mp.stage2_text(F.col("source"), F.col("text")))
-    s2_split = mp.stratified_split(ctx, "sigla", "doc_id", 0.85, seed=42)
+    s2_split = materialize(mp.stratified_split(ctx, "sigla", "doc_id", 0.85, seed=42), "stage2_split")
     stage2 = md.select_by_macro_f1(
         s2_split.where("split = 'train'"), s2_split.where("split = 'val'"), "ctx", "sigla", prefix="s2"
     )

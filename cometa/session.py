@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 # The audit fuses ~40 regex checks into one CASE; whole-stage code that big
@@ -64,3 +65,14 @@ def tune_for_wide_expressions(spark: SparkSession) -> None:
     """Lower ``hugeMethodLimit`` to the JIT limit unless the user set it."""
     if spark.conf.get(HUGE_METHOD_KEY, "65535") == "65535":
         spark.conf.set(HUGE_METHOD_KEY, JIT_METHOD_LIMIT)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and return it read back: the lineage is cut (later passes -- class
+    weights, feature fits, validation -- read the table instead of recomputing
+    scans, joins and windows), and a lost executor costs a re-read, not a
+    recomputation."""
+    path = shared_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
