@@ -3,30 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def spread_for_cpu(scan: DataFrame) -> DataFrame:
-    """Spread a *fresh file scan* over the cluster's cores before per-row
-    heavy work, but only when it has fewer partitions than cores (one large
-    unsplittable file, a single row group). A big scan with many splits is
-    returned as it is, so no shuffle is added at scale.
+    """Round-robin repartition a *fresh file scan* before per-row heavy work,
+    but only when it has fewer partitions than the cluster has cores (one
+    large unsplittable file, a single row group). A big scan with many splits
+    is returned as it is, so no shuffle is added at scale.
 
-    Rows are hash-partitioned on ``monotonically_increasing_id()``: the ids
-    are unique, so the spread is even whatever the data (no hot key), and
-    unlike a round-robin repartition no per-task sort is needed to make a
-    retried task send every row to the same place -- a scan re-reads its
-    split in the same order and yields the same ids.
+    Round-robin spreads evenly whatever the data (no hot key) and keeps the
+    plan deterministic, so filters placed after the spread are still pushed
+    into the scan. (Hashing a ``monotonically_increasing_id()`` avoids the
+    per-task sort but is non-deterministic and blocks that pushdown.)
 
     Call it on a scan (possibly followed by narrow projections and filters),
     not on a plan with a shuffle: counting the partitions of a shuffled
-    (adaptive) plan executes its upstream stages, and the row order after a
-    shuffle is not stable across retries.
+    (adaptive) plan executes its upstream stages.
     """
     if scan.isStreaming:
         return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    key = "__cm_spread"
-    return scan.withColumn(key, F.monotonically_increasing_id()).repartition(cores, key).drop(key)
+    return scan.repartition(cores)

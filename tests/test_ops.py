@@ -228,3 +228,11 @@ def test_audit_adds_no_exchange_and_spread_runs_no_job(spark):
     before = set(tracker.getJobIdsForGroup(None))
     spread_for_cpu(scan)
     assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_filters_reach_the_scan_through_the_spread(spark):
+    from cometa.plans.partitioning import spread_for_cpu
+
+    scan = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    plan = _plan(spread_for_cpu(scan).where(F.col("l_quantity") > 10).select("l_orderkey"))
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
