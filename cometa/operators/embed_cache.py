@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def embed_with_cache(
     try:
         cache = spark.read.parquet(cache_path).where(F.col("model") == model)
         misses = texts.join(cache.select("text_key"), "text_key", "left_anti")
-    except Exception:  # no cache yet  # noqa: BLE001
+    except AnalysisException:  # no cache yet (path does not exist)
         cache = None
         misses = texts
     new = embedder(misses)

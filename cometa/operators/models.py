@@ -22,6 +22,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, NGram, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -316,7 +317,7 @@ def load_if_compatible(spark: SparkSession, path: str, classes: DataFrame, meta:
     try:
         saved = spark.read.parquet(f"{path}/classes")
         saved_meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    except Exception:  # noqa: BLE001 - nothing saved yet
+    except AnalysisException:  # nothing saved yet (path does not exist)
         return None
     same = saved.exceptAll(classes).isEmpty() and classes.exceptAll(saved).isEmpty()
     if not same or saved_meta != (meta or {}):
