@@ -48,7 +48,9 @@ def embedding_predict(spark, sf_dir):
     cache = shared_path(spark, "embedding_cache")
     emb = embed_with_cache(d, "text", cache)
     train, todo = mp.split_labelled(emb, "label")
-    train = mp.drop_rare_classes(train, "label")
+    # written once: class weights and the classifier read it instead of
+    # recomputing the scan, the label join and the cache join
+    train = materialize(mp.drop_rare_classes(train, "label"), "embedding_train")
     model = md.fit_vector_classifier(train, "embedding", "label", nota_col="source")
     out = md.decode_prediction(model.transform(md.vectorize(todo, "embedding")), model, "pred_label")
     return out.select(
