@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
+from cometa.session import materialize
 
 COMMENT_CODE_BUCKETS = 1 << 20
 TEXT_FEATURES = 1 << 16
@@ -109,6 +110,9 @@ def forest_fill(
     """M1/M2 + U2: train on labelled rows, label the rest, return kept rows
     followed by filled rows with ``origin`` = kept | filled."""
     train, todo = mp.split_labelled(df, label_col)
+    # written once: the indexer fits, the forest's passes and the kept rows of
+    # the output read it instead of recomputing the input's lineage
+    train = materialize(train, "forest_train")
     model = fit_forest(train, nota_col, comment_col, label_col, trees, seed, max_depth, balanced)
     scored = model.transform(todo.withColumn("comment_code", F.coalesce(comment_code(F.col(comment_col)), F.lit(-1.0))))
     filled = decode_prediction(scored, model, "__pred").withColumn(label_col, F.col("__pred"))
