@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import mixing, sharding
+from cometa.llm import mixing, pieces, secrets, sharding
 from cometa.llm.common import documents
 
 
@@ -15,6 +15,8 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_encode_pieces": _on_documents(pieces.query),
+    "op2_scan_secrets": _on_documents(secrets.query),
     "op7_mix_sources": _on_documents(mixing.query),
     "op10_shard": _on_documents(sharding.query),
 }
