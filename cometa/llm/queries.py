@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import mixing, pieces, secrets, sharding
+from cometa.llm import mixing, pieces, secrets, sharding, toxicity
 from cometa.llm.common import documents
 
 
@@ -14,10 +14,15 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return lambda spark, sf_dir: query(documents(spark, sf_dir))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": _on_documents(pieces.query),
     "op2_scan_secrets": _on_documents(secrets.query),
     "op7_mix_sources": _on_documents(mixing.query),
+    "op8_score_toxicity": _toxicity,
     "op10_shard": _on_documents(sharding.query),
 }
 
