@@ -60,7 +60,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = 3,
     seed: str = "mix",
-    range_rows: int = 50_000,
+    range_rows: int = 5_000,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes), copies (times the document appears, the cut one included)."""
     sized = save(
