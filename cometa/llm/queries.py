@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import mixing, pieces, quality, secrets, sharding, toxicity
+from cometa.llm import mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
 from cometa.llm.common import documents
 
 
@@ -21,9 +21,11 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": _on_documents(pieces.query),
     "op2_scan_secrets": _on_documents(secrets.query),
+    "op3_dedup_suffixes": _on_documents(suffix_dedup.query),
     "op5_judge_quality": _on_documents(quality.query),
     "op7_mix_sources": _on_documents(mixing.query),
     "op8_score_toxicity": _toxicity,
+    "op9_dedup_phrases": _on_documents(phrase_dedup.query),
     "op10_shard": _on_documents(sharding.query),
 }
 
