@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
+from cometa.llm import hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
 from cometa.llm.common import documents
 
 
@@ -18,10 +18,15 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.query(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": _on_documents(pieces.query),
     "op2_scan_secrets": _on_documents(secrets.query),
     "op3_dedup_suffixes": _on_documents(suffix_dedup.query),
+    "op4_search_hamming": _search,
     "op5_judge_quality": _on_documents(quality.query),
     "op7_mix_sources": _on_documents(mixing.query),
     "op8_score_toxicity": _toxicity,
@@ -30,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_search_hamming": hamming_search.SQL,
     "op7_mix_sources": mixing.SQL,
 }
