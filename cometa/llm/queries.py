@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
+from cometa.llm import chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
 from cometa.llm.common import documents
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_dedup_suffixes": _on_documents(suffix_dedup.query),
     "op4_search_hamming": _search,
     "op5_judge_quality": _on_documents(quality.query),
+    "op6_join_jaccard": _on_documents(chosen_path.query),
     "op7_mix_sources": _on_documents(mixing.query),
     "op8_score_toxicity": _toxicity,
     "op9_dedup_phrases": _on_documents(phrase_dedup.query),
