@@ -39,9 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cometa.llm.common import save
+from cometa.llm.common import WORD, save
 from cometa.llm.components import components
 from cometa.llm.phrase_dedup import units
 from cometa.llm.repeats import Rolling, scramble
@@ -274,8 +275,8 @@ def exact_links(docs: DataFrame, text: str, records: DataFrame, members: DataFra
     return sent.groupBy("component", "low", "high").applyInArrow(compare, "key binary, links long, root binary")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the documents it is linked to, directly or not), n_links (documents at the threshold or above)."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+    """doc_id, digest (of the text), component (null without words), n_links: a row for each document."""
     own = save(sketch(docs, doc_id, text, words), "path_documents")
     records = save(
         own.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("digest").alias("digest"), F.count("*").alias("copies")),
@@ -291,11 +292,32 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
         .join(group.withColumnRenamed("vertex", "key"), "key", "left")
         .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
     )
-    placed = save(own.select("doc_id", "key").join(about, "key", "left").drop("key"), "path_placed")
+    placed = own.select("doc_id", "digest", "key").join(about, "key", "left")
+    return save(placed.select("doc_id", "digest", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "path_placed")
+
+
+def join(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id (least doc_id of the documents it is linked to, directly or not), n_links (documents at the threshold or above)."""
+    placed = classes(docs, **how)
     names = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(names, "component", "left").select(
-        "doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return placed.join(names, "component", "left").select("doc_id", name.alias("class_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each class, unchanged: the least doc_id (null last), then the least digest; rows without words all stay."""
+    placed = classes(docs, doc_id, text, **how)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    first = placed.where(F.col("component").isNotNull()).groupBy("component").agg(least)
+    first = first.select(F.col("least.digest").alias("digest of a text"), F.col("least.doc_id").alias("id of a class"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    words = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    tagged = docs.where(words).withColumn("digest of a text", digest(F.col(text)))
+    found = tagged.join(first, "digest of a text").where(F.col(doc_id).eqNullSafe(F.col("id of a class")))
+    # a row may be repeated; one of it stays
+    place = F.row_number().over(W.partitionBy("digest of a text", doc_id).orderBy(F.lit(0)))
+    once = found.withColumn("place of a row", place).where(F.col("place of a row") == 1)
+    return once.select(*columns).unionByName(docs.where(~words))
 
 
 def query(docs: DataFrame) -> DataFrame:

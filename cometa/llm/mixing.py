@@ -61,13 +61,15 @@ def mix(
     max_epochs: int = 3,
     seed: str = "mix",
     range_rows: int = 5_000,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes), copies (times the document appears, the cut one included)."""
+    """doc_id, [row, a column of the input,] size, source_size, target, taken (words the mix takes), copies (times the document appears, the cut one included)."""
     sized = save(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             (word_count(F.col(text)) if size is None else size.cast("long")).alias("size"),
+            *[F.col(row).alias("row")] * bool(row),
         ),
         "mix_sizes",
     )
@@ -104,6 +106,7 @@ def mix(
         .withColumn("extra", extra)
         .select(
             "doc_id",
+            *["row"] * bool(row),
             "size",
             "source_size",
             "target",
@@ -113,6 +116,14 @@ def mix(
     )
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of the mix, each as often as the mix takes it; the one at a source's cut is kept whole."""
+    tagged = save(docs.withColumn("row of a table", F.monotonically_increasing_id()), "mix_rows")
+    taken = mix(tagged, row="row of a table").where(F.col("copies") > 0)
+    times = taken.select(F.col("row").alias("row of a table"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time of a row"))
+    return tagged.join(times, "row of a table").drop("row of a table", "time of a row")
+
+
 def query(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
