@@ -69,7 +69,7 @@ def mix(
             F.col(doc_id).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             (word_count(F.col(text)) if size is None else size.cast("long")).alias("size"),
-            *[F.col(row).alias("row")] * bool(row),
+            *([F.col(row).alias("row")] if row else []),
         ),
         "mix_sizes",
     )
