@@ -1,4 +1,4 @@
-"""Driver contract: entry runs, every query has an oracle (models excepted),
+"""Driver contract: entry runs, every query has an oracle (models and corpus operators excepted),
 and every SQL-checkable query equals its DuckDB oracle on sf0.001."""
 
 import pytest
@@ -17,7 +17,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    missing = set(e.queries()) - set(e.oracle_sql())
+    corpus = set(e._corpus()[0])
+    missing = set(e.queries()) - set(e.oracle_sql()) - corpus
     assert missing == MODEL_QUERIES
     assert set(e.oracle_sql()) <= set(e.queries())
 
