@@ -9,6 +9,8 @@ every rule stays a plain built-in expression (``rlike``, ``regexp_replace``,
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,22 @@ def first_digit_run(c: Column) -> Column:
     return F.regexp_extract(c, f"({DIGIT}+)", 1)
 
 
-def words_with_digit_count(c: Column) -> Column:
-    """Number of whitespace-separated words that contain a digit."""
-    return F.regexp_count(c, F.lit(f"[^{WS}]*{DIGIT}[^{WS}]*"))
+def _ranges(chars: list[int]) -> str:
+    """Code points as ranges of a Java character class."""
+    out, start = [], None
+    for k, x in enumerate(chars):
+        start = x if start is None else start
+        if k + 1 == len(chars) or chars[k + 1] != x + 1:
+            out.append(rf"\x{{{start:X}}}-\x{{{x:X}}}")
+            start = None
+    return "".join(out)
+
 
+# str.isdigit() also holds for digits that are no decimals (superscripts,
+# circled digits, ...), unlike \d: the extra ones, by that rule.
+DIGIT_LIKE = DIGIT + _ranges([i for i in range(sys.maxunicode + 1) if chr(i).isdigit() and not chr(i).isdecimal()])
 
-def split_ws(c: Column) -> Column:
-    """``str.split()`` for an already stripped, non-empty string."""
-    return F.split(c, f"[{WS}]+")
+
+def words_with_digit_count(c: Column) -> Column:
+    """Number of whitespace-separated words that hold a ``str.isdigit()`` character."""
+    return F.regexp_count(c, F.lit(f"[^{WS}]*[{DIGIT_LIKE}][^{WS}]*"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cometa.operators.mlprep import tokenize
+from cometa.session import materialize
 
 CACHE_COLUMNS = ["model", "text_key", "embedding"]
 
@@ -93,26 +94,29 @@ def embed_with_cache(
 ) -> DataFrame:
     """Attach ``out_col`` to every row, computing embeddings only for texts
     not yet cached under ``model``; new vectors are appended to the cache
-    (a parquet table in a shared folder)."""
+    (a parquet table in a shared folder). A null text gets a null vector.
+
+    Keys are compared before any text is fetched, only the current keys'
+    vectors are taken from the cache, and they are written as a plain table
+    before the join back, so that adaptive execution may split a text that
+    very many rows share. Rows with a null text stay out of the join.
+    """
     spark = df.sparkSession
     embedder = embedder or hashed_embedder(model=model)
-    texts = distinct_texts(df, text_col).select("text_key", "text")
+    key = text_key(F.col(text_col))
+    known = df.where(F.col(text_col).isNotNull()).withColumn("__key", key)
+    keys = materialize(known.select(F.col("__key").alias("text_key")).distinct(), "embedding_keys")
     try:
         cache = spark.read.parquet(cache_path).where(F.col("model") == model)
-        misses = texts.join(cache.select("text_key"), "text_key", "left_anti")
+        missing = keys.join(cache.select("text_key"), "text_key", "left_anti")
     except AnalysisException:  # no cache yet (path does not exist)
-        cache = None
-        misses = texts
-    new = embedder(misses)
+        missing = keys
+    texts = known.select(F.col("__key").alias("text_key"), F.col(text_col).alias("text")).join(missing, "text_key", "left_semi")
+    new = embedder(texts.groupBy("text_key").agg(F.first("text").alias("text")))
     new.write.mode("append").parquet(cache_path)
-    # Concurrent runs may append the same text twice: keep one vector per key
-    # (the aggregate's hash partitioning on text_key is reused by the join).
-    vectors = (
-        spark.read.parquet(cache_path)
-        .where(F.col("model") == model)
-        .groupBy("text_key")
-        .agg(F.first("embedding").alias(out_col))
-    )
-    return df.withColumn("__key", text_key(F.col(text_col))).join(
-        vectors.withColumnRenamed("text_key", "__key"), "__key", "left"
-    ).drop("__key")
+    # Concurrent runs may append the same text twice: one vector per key.
+    cached = spark.read.parquet(cache_path).where(F.col("model") == model).join(keys, "text_key", "left_semi")
+    vectors = materialize(cached.groupBy("text_key").agg(F.first("embedding").alias(out_col)), "embedding_vectors")
+    found = known.join(vectors.withColumnRenamed("text_key", "__key"), "__key", "left").drop("__key")
+    kind = vectors.schema[out_col].dataType
+    return found.unionByName(df.where(F.col(text_col).isNull()).withColumn(out_col, F.lit(None).cast(kind)))

@@ -2,8 +2,8 @@
 
 Consecutive stops of a route are paired with a skew-proof "previous row"
 operator: a route may hold a third of all points, so the ordered window is
-never taken over a whole route. The order key is cut into buckets; inside a
-(route, bucket) window ``lag`` finds the previous stop, and the first stop of
+never taken over a whole route. Each route's order keys are cut into buckets at
+their quantiles; inside a (route, bucket) window ``lag`` finds the previous stop, and the first stop of
 each bucket takes the last stop of the route's previous non-empty bucket from
 a small per-bucket table.
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cometa.session import materialize
+
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -39,40 +41,37 @@ def with_previous(
     part_col: str,
     order_col: str,
     cols: list[str],
-    rows_per_bucket: int = 1_000_000,
+    buckets: int = 256,
     prefix: str = "prev_",
 ) -> DataFrame:
     """Add ``prev_<c>`` for ``c`` in ``[order_col] + cols``: the values of the
     previous row of the same partition by ``order_col`` (null for the first).
 
-    ``order_col`` must be an integral, unique-within-partition key.
+    A partition's order keys are cut at their approximate quantiles, so its
+    buckets hold near-equal numbers of rows whatever the keys' spread (a far
+    outlier changes nothing). The cuts are written once: both uses of a bucket
+    must see the same cuts. ``order_col`` must be unique within a partition.
     """
-    o = F.col(order_col)
-    st = df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st["n"] == 0:
-        return df.select("*", *[F.lit(None).alias(prefix + c) for c in [order_col] + cols])
-    span = int(st["hi"]) - int(st["lo"]) + 1
-    width = max(1, int(span * rows_per_bucket // max(1, int(st["n"]))))
     carried = [order_col] + cols
-    b = F.floor((o - F.lit(int(st["lo"]))) / F.lit(width)).cast("long")
-    staged = df.withColumn("__bkt", b)
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = df.groupBy(part_col).agg(F.array_distinct(F.percentile_approx(order_col, shares, 10_000)).alias("__cuts"))
+    cuts = materialize(cuts.withColumnRenamed(part_col, "__part"), "route_cuts")
+    staged = df.join(cuts, F.col(part_col).eqNullSafe(F.col("__part")), "left").drop("__part")
+    staged = staged.withColumn("__bkt", F.size(F.filter("__cuts", lambda x: x < F.col(order_col)))).drop("__cuts")
     w_in = Window.partitionBy(part_col, "__bkt").orderBy(order_col)
-    staged = staged.select("*", *[F.lag(c).over(w_in).alias("__in_" + c) for c in carried])
-    # last stop of each (route, bucket), then the previous non-empty bucket's
+    inner = staged.select("*", *[F.lag(c).over(w_in).alias("__in_" + c) for c in carried])
+    # last stop of each (route, bucket), then the previous non-empty bucket's:
+    # one row per (route, bucket)
     last = staged.groupBy(part_col, "__bkt").agg(
-        F.max_by(F.struct(*[F.col(c) for c in carried]), o).alias("__last")
+        F.max_by(F.struct(*[F.col(c) for c in carried]), F.col(order_col)).alias("__last")
     )
     w_b = Window.partitionBy(part_col).orderBy("__bkt")
-    heads = last.select(part_col, "__bkt", F.lag("__last").over(w_b).alias("__head"))
-    # One row per (route, bucket): grows with the data, so no broadcast. The
-    # window already hash-partitioned ``staged`` by these keys; only the
-    # heads table is shuffled (AQE may still broadcast it when it is small).
-    staged = staged.join(heads, [part_col, "__bkt"], how="left")
-    out = staged.select(
+    heads = last.select(F.col(part_col).alias("__part"), F.col("__bkt").alias("__of"), F.lag("__last").over(w_b).alias("__head"))
+    out = inner.join(heads, F.col(part_col).eqNullSafe(F.col("__part")) & (F.col("__bkt") == F.col("__of")), "left")
+    return out.select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(F.col("__in_" + c), F.col("__head")[c]).alias(prefix + c) for c in carried],
     )
-    return out
 
 
 def route_segments(points: DataFrame, route_col="route_id", seq_col="seq", lat="lat", lon="lon") -> DataFrame:

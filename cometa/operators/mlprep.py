@@ -7,8 +7,9 @@ text vectorization vocabulary and fixed-length id sequences (E5/P12).
 
 Scale notes: every per-class statistic is a ``groupBy`` with map-side partial
 aggregation and is joined back through :func:`cometa.plans.joins.lookup_join`
-(broadcast only when the class table is proven small). Nothing is windowed
-over a whole class: a class may hold a third of all rows.
+(written once; Spark broadcasts it below its own threshold). Nothing is windowed
+over a whole class: a class may hold a third of all rows. Fitting an encoder or
+a lookup runs a job; the rest is lazy.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cometa.plans.joins import collect_small, lookup_join
+from cometa.plans.joins import lookup_join
+from cometa.session import materialize
 
 UNK = "__UNK__"
-# A label column with more classes than this is not a classification target.
-MAX_CLASSES = 100_000
 
 # ---------------------------------------------------------------------------
 # Text vectorization defaults.
@@ -90,9 +90,10 @@ def drop_rare_classes(df: DataFrame, label_col: str, min_count: int = 2) -> Data
     return lookup_join(df.where(F.col(label_col).isNotNull()), keep, label_col, how="left_semi")
 
 
-def balanced_class_weights(df: DataFrame, label_col: str) -> DataFrame:
-    """A10: ``n / (k * n_c)`` per class over the labelled rows."""
-    support = class_support(df, label_col)
+def balanced_class_weights(df: DataFrame, label_col: str, min_count: int = 1) -> DataFrame:
+    """A10: ``n / (k * n_c)`` per class over the labelled rows of classes with
+    at least ``min_count`` rows; one aggregation of the rows."""
+    support = class_support(df, label_col).where(F.col("n") >= min_count)
     w = Window.partitionBy()  # over the class table only (k rows)
     return support.select(
         label_col,
@@ -121,17 +122,33 @@ def class_table(df: DataFrame, col: str, extra: list[str] | None = None) -> Data
     """Sorted class list as ``(value, idx)``; ``extra`` values are added
     before sorting (e.g. the unknown token).
 
-    The distinct values are computed once (partial aggregation, so a hot
-    class costs one row per task), size-checked and numbered on the driver;
-    the result is a local table, so later lookups do not recompute it.
+    The distinct values (partial aggregation, so a hot class costs one row
+    per task) are range-sorted and written; a value's number is its place in
+    its range plus the sizes of the ranges before (one row per range). Any
+    number of classes works, and nothing is collected.
     """
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("value")).distinct()
-    local = collect_small(values, MAX_CLASSES)
-    if local is None:
-        raise ValueError(f"column {col} has more than {MAX_CLASSES} distinct values; not a category")
-    # Python orders str by code point, which is Spark's (UTF-8 byte) order.
-    names = sorted({r["value"] for r in local.collect()} | set(extra or []))
-    return df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "value string, idx int")
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("value"))
+    if extra:
+        values = values.unionByName(df.sparkSession.createDataFrame([(x,) for x in extra], "value string"))
+    place = F.monotonically_increasing_id()
+    ranged = materialize(values.distinct().orderBy("value").withColumn("__at", place), "classes")
+    ranged = ranged.select("value", F.shiftright("__at", 33).alias("__range"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = ranged.join(starts, "__range").select("value", (F.col("__start") + F.col("__at")).cast("int").alias("idx"))
+    return materialize(numbered, "class_table")
+
+
+def encode_labels(df: DataFrame, col: str, classes: DataFrame, out_col: str | None = None) -> DataFrame:
+    """Map values to their class index; null stays null, and a value that
+    ``classes`` lacks ends the job."""
+    out_col = out_col or f"{col}_idx"
+    lookup = classes.select(F.col("value").alias("__v"), F.col("idx").alias("__idx"))
+    joined = df.withColumn("__v", F.col(col).cast("string")).join(lookup, "__v", "left")
+    unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col("__v"))).cast("int")
+    idx = F.when(F.col("__idx").isNull() & F.col("__v").isNotNull(), unseen).otherwise(F.col("__idx"))
+    return joined.withColumn(out_col, idx).drop("__v", "__idx")
 
 
 def encode_with_unknown(df: DataFrame, col: str, classes: DataFrame, out_col: str | None = None) -> DataFrame:
@@ -173,46 +190,38 @@ def stratified_split(
     key_col: str,
     train_share: float = 0.8,
     seed: int = 42,
-    rows_per_bucket: int = 1_000_000,
+    buckets: int = 4096,
 ) -> DataFrame:
     """M6: exact per-class split; adds ``split`` = 'train' | 'val'.
 
     Each row gets a seeded hash ``u``; within a class the first
-    ``round(train_share * n_c)`` rows by ``(u, key)`` go to train. The rank
-    is computed without a window over a whole class: the hash range is cut
-    into buckets (enough that a bucket holds ~``rows_per_bucket`` rows of the
-    largest class), rows are ranked inside (class, bucket) and offset by the
-    counts of the earlier buckets of their class, from a small table.
+    ``round(train_share * n_c)`` rows by ``(u, key)`` go to train. Counts per
+    (class, hash bucket) name the one bucket of each class that holds the
+    quota's last row; only that bucket is ranked, as narrow ``(class, u, key)``
+    rows, and gives the class a last ``(u, key)`` of train. Every row compares
+    itself with that pair, so no text goes through a window and no class needs
+    one task. Rows that repeat a key stay on one side; keys should be unique
+    for exact counts. Lazy: nothing runs here.
     """
     lbl = F.col(label_col)
-    base = df.where(lbl.isNotNull()).withColumn(
-        "__u",
-        F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double")
-        / F.lit(2.0**63),
-    )
-    # Pass 1: rows per class (bounded: one row per class).
-    support = collect_small(class_support(base, label_col), MAX_CLASSES)
-    if support is None:
-        raise ValueError(f"{label_col} has more than {MAX_CLASSES} classes; not a classification target")
-    largest = max((r["n"] for r in support.collect()), default=0)
-    n_buckets = max(1, int(-(-largest // rows_per_bucket)))
-    base = base.withColumn("__b", F.least(F.floor(F.col("__u") * n_buckets), F.lit(n_buckets - 1)).cast("int"))
-    # Pass 2: rows per (class, bucket) -> offset of each bucket inside its
-    # class, with the class quota (classes x buckets rows: broadcast when
-    # proven small, else joined on the window's own partitioning).
-    per_bucket = base.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__nb"))
-    w = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    quota = support.select(label_col, F.round(F.col("n") * F.lit(train_share)).cast("long").alias("__quota"))
-    offsets = per_bucket.select(label_col, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off")).join(
-        F.broadcast(quota), label_col
-    )
-    # Pass 3: rank inside (class, bucket) windows, bounded by rows_per_bucket.
-    ranked = base.withColumn(
-        "__r", F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__u", key_col))
-    )
-    ranked = lookup_join(ranked, offsets, [label_col, "__b"], how="inner")
-    split = F.when(F.col("__off") + F.col("__r") <= F.col("__quota"), "train").otherwise("val")
-    return ranked.withColumn("split", split).drop("__u", "__b", "__r", "__off", "__quota")
+    key = F.col(key_col).cast("string")
+    u = F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    base = df.where(lbl.isNotNull()).withColumns({"__u": u, "__k": F.coalesce(key, F.lit(""))})
+    bucket = F.floor(F.col("__u").cast("double") / F.lit(2.0**63) * buckets).cast("int")
+    narrow = base.select(lbl.alias("__c"), "__u", "__k", bucket.alias("__b"))
+    per_bucket = narrow.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("__c")
+    upto = F.sum("__n").over(whole.orderBy("__b"))
+    quota = F.round(F.sum("__n").over(whole) * F.lit(train_share)).cast("long")
+    edge = per_bucket.select("__c", "__b", "__n", upto.alias("__upto"), quota.alias("__quota"))
+    edge = edge.where((F.col("__quota") > F.col("__upto") - F.col("__n")) & (F.col("__quota") <= F.col("__upto")))
+    edge = edge.select("__c", "__b", (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__place"))
+    ranked = narrow.join(edge, ["__c", "__b"]).withColumn("__r", F.row_number().over(whole.orderBy("__u", "__k")))
+    last = ranked.where(F.col("__r") == F.col("__place")).select(F.col("__c").alias(label_col), F.struct("__u", "__k").alias("__last"))
+    # a class whose quota is 0 has no last row of train
+    own = F.struct("__u", "__k")
+    split = F.when(F.col("__last").isNotNull() & (own <= F.col("__last")), "train").otherwise("val")
+    return base.join(last, label_col, "left").withColumn("split", split).select(*df.columns, "split")
 
 
 # -- E5 / P12 ---------------------------------------------------------------------

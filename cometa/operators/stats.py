@@ -19,11 +19,6 @@ from pyspark.sql import types as T
 
 from cometa.operators.rules import LABELS, NON_CONFORMING
 
-# The crosstab is a wide table with one column per label; refuse to pivot a
-# label column that is not a small category.
-MAX_CROSSTAB_LABELS = 1000
-
-
 def _count_if(cond: Column, weight_col: str | None) -> Column:
     """Rows where ``cond`` holds (weighted by ``weight_col`` when given)."""
     if weight_col is None:
@@ -70,43 +65,27 @@ def audit_totals(df: DataFrame, analysis_col: str = "analise", weight_col: str |
 
 
 def note_label_crosstab(
-    df: DataFrame,
-    nota_col: str = "nota",
-    analysis_col: str = "analise",
-    labels: list[str] | None = None,
-    weight_col: str | None = None,
+    df: DataFrame, nota_col: str = "nota", analysis_col: str = "analise", weight_col: str | None = None
 ) -> DataFrame:
-    """A3: rows per (note, label) as one column per label, zeros filled.
-
-    Rows with a null note or label are dropped. ``labels`` fixes the column
-    set; by default it is the label alphabet plus any other label present
-    (found with one small distinct aggregation, size-checked).
-    """
-    base = df.where(F.col(nota_col).isNotNull())
+    """A3: rows per (note, label), every label that occurs, in long form
+    ``(note, label, n)``. Rows with a null note or label are dropped."""
     a = F.col(analysis_col)
-    if labels is None:
-        present = [
-            r[0]
-            for r in base.groupBy(a.alias(analysis_col)).agg(F.count(a).alias("n")).where("n > 0")
-            .limit(MAX_CROSSTAB_LABELS + 1).collect()
-        ]
-        if len(present) > MAX_CROSSTAB_LABELS:
-            raise ValueError(f"more than {MAX_CROSSTAB_LABELS} distinct labels; not a crosstab")
-        labels = sorted(present)
-    # Null labels count in no column; notes with only null labels are dropped
-    # after the aggregate (see label_distribution).
     return (
-        base.groupBy(F.col(nota_col).alias(nota_col))
-        .agg(
-            *[_count_if(a == lbl, weight_col).alias(lbl) for lbl in labels],
-            _count_if(a.isNotNull(), weight_col).alias("__labelled"),
-        )
-        .where(F.col("__labelled") > 0)
-        .drop("__labelled")
-        .orderBy(nota_col)
+        df.where(F.col(nota_col).isNotNull())
+        .groupBy(F.col(nota_col).alias(nota_col), a.alias(analysis_col))
+        .agg(_count_if(a.isNotNull(), weight_col).alias("n"))
+        .where(F.col("n") > 0)
+        .orderBy(nota_col, analysis_col)
     )
 
 
+def wide_crosstab(long: DataFrame, labels: list[str], nota_col: str = "nota", analysis_col: str = "analise") -> DataFrame:
+    """A3 as one column per given label, zeros filled; ``long`` comes from
+    :func:`note_label_crosstab`. Labels that are not given have no column."""
+    cells = [F.coalesce(F.sum(F.when(F.col(analysis_col) == x, F.col("n"))), F.lit(0)).alias(x) for x in labels]
+    return long.groupBy(nota_col).agg(*cells).orderBy(nota_col)
+
+
 def worst_notes(
     df: DataFrame, nota_col: str = "nota", analysis_col: str = "analise", top: int = 10, weight_col: str | None = None
 ) -> DataFrame:

@@ -35,7 +35,6 @@ from cometa.functions.text import (
     trim_ws,
     words_with_digit_count,
 )
-from cometa.session import tune_for_wide_expressions
 from cometa.operators.rules import (
     ALLOWED_TOKENS,
     CODE_03_NOTES,
@@ -45,6 +44,9 @@ from cometa.operators.rules import (
     default_rules,
 )
 
+# ---------------------------------------------------------------------------
+# The patterns of the rules.
+# ---------------------------------------------------------------------------
 # Single-word allowed tokens (a word can never equal a two-word token).
 _SINGLE_WORD_TOKENS = [t for t in ALLOWED_TOKENS if " " not in t]
 # Bounded occurrences of different tokens never overlap (each one is a whole
@@ -57,6 +59,7 @@ _DEVICE_ID_RE = bounded(rf"[A-Z]{{1,2}}{DIGIT}+")
 _LETTER_RE = "[A-ZÁ-Ú]"
 _READING_RE = rf"^(103|55){DIGIT}{{1,6}}$"
 _READING_PREFIX_RE = "^(103|55)"
+# ---------------------------------------------------------------------------
 
 
 def only_allowed_tokens(c: Column) -> Column:
@@ -129,7 +132,7 @@ def _pole(f: Feats, rule: Rule | None = None) -> Column:
 
 
 def _matching_text(f: Feats, rule: Rule | None = None) -> Column:
-    return F.when(F.length(f.c) < 1, "CI").otherwise("C")
+    return F.lit("C")
 
 
 def _campaign(f: Feats, rule: Rule | None = None) -> Column:
@@ -260,7 +263,6 @@ def with_audit_label(
     """V0 as staged projections: trimmed text, then shared features (only for
     the notes that read them), then the ordered CASE. Same result as
     :func:`audit_label`; each regex runs at most once per row."""
-    tune_for_wide_expressions(df.sparkSession)
     rules = rules if rules is not None else default_rules()
     feat_notes = sorted({r.nota for r in rules if r.required in _USES_FEATS})
     n, c, lt, rn, fr = "__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cometa.operators import stats
-from cometa.plans.joins import MAX_LOOKUP_ROWS, collect_small
-from cometa.session import shared_path
+from cometa.session import materialize
 from cometa.operators.validate import audit, reset_analysis, resolve_roles, standardize_analysis
-from cometa.sources.csv_audit import read_audit_csv, write_validated
+from cometa.sources.csv_audit import csv_reader, read_audit_csv, write_validated
 
 ANALYSIS = "ANÁLISE"
 
@@ -61,21 +60,15 @@ def run_audit(
                       legacy_last_match=legacy_last_match)
     write_validated(validated, output_path, fmt=fmt, sep=sep)
     # statistics read the written table: the audit is not recomputed
-    if fmt == "csv":
-        persisted = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(output_path)
+    if fmt == "csv":  # quoted fields may hold newlines: the extract reader's options
+        persisted = csv_reader(spark, sep, multi_line=True).csv(output_path)
     else:
         persisted = spark.read.format(fmt).load(output_path)
     # one aggregation over the written table: rows per (note, label), at most
     # notes x labels rows; every statistic below is derived from it
     nota_written = nota_col if nota_col in persisted.columns else None
     counts = stats.note_label_counts(persisted, nota_written, ANALYSIS)
-    local = collect_small(counts, MAX_LOOKUP_ROWS)
-    if local is None:  # unusually many distinct notes: keep it as a table
-        path = shared_path(spark, f"audit_counts_{int(t0 * 1000)}")
-        counts.write.mode("overwrite").parquet(path)
-        counts = spark.read.parquet(path)
-    else:
-        counts = local
+    counts = materialize(counts, "audit_counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     run_log = stats.run_log_row(spark, total, time.time() - t0, output_path)
     if run_log_path:
@@ -87,7 +80,8 @@ def run_audit(
         distribution=stats.label_distribution(counts, "analise", weight_col=w).withColumnRenamed("analise", ANALYSIS),
         kpi=stats.conformity_kpi(counts, "analise", weight_col=w),
         badges=stats.label_badges(counts, "analise", weight_col=w),
-        crosstab=stats.note_label_crosstab(counts, "nota", "analise", weight_col=w).withColumnRenamed("nota", nota_written)
+        crosstab=stats.note_label_crosstab(counts, "nota", "analise", weight_col=w)
+        .withColumnsRenamed({"nota": nota_written, "analise": ANALYSIS})
         if analyze and nota_written
         else None,
         worst=stats.worst_notes(counts, "nota", "analise", weight_col=w).withColumnRenamed("nota", nota_written)

@@ -1,6 +1,7 @@
 """Registered audit queries over the derived audit table (see ``sources.derived``).
 
-Each builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame.
+Each builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame: no job runs
+before an action.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from cometa.operators.validate import (
     only_allowed_tokens,
     reset_analysis,
 )
-from cometa.plans.joins import lookup_join
 from cometa.plans.partitioning import spread_for_cpu
 from cometa.sources.derived import derived_audit_table
 from cometa.sources.tables import table
@@ -104,10 +104,11 @@ audit_sem_leitura = _audit_notes(["R111"])
 
 
 def rules_join(spark, sf_dir):
-    """Note -> rule lookup (left outer; a miss has no rule)."""
+    """Note -> rule lookup (left outer; a miss has no rule). The rules are
+    19 constant rows, so they are broadcast as they are."""
     d = aud(spark, sf_dir).withColumn("nota_key", trim_ws(F.col("nota")))
     rules = rules_frame(spark).select(F.col("nota").alias("nota_key"), "required", "description")
-    return lookup_join(d, rules, "nota_key", how="left").select("k", "nota", "required", "description")
+    return d.join(F.broadcast(rules), "nota_key", "left").select("k", "nota", "required", "description")
 
 
 def label_distribution(spark, sf_dir):
@@ -119,9 +120,7 @@ def audit_totals(spark, sf_dir):
 
 
 def note_label_crosstab(spark, sf_dir):
-    from cometa.operators.rules import LABELS
-
-    return stats.note_label_crosstab(audited(spark, sf_dir), "nota", "analise", labels=LABELS)
+    return stats.note_label_crosstab(audited(spark, sf_dir), "nota", "analise")
 
 
 def worst_notes(spark, sf_dir):

@@ -1,46 +1,23 @@
-"""Join strategy helpers: broadcast only behind a size check.
+"""Joining a lookup table that is computed from a large one.
 
-A lookup side (rule table, class list, vocabulary, per-class counts) is
-computed once with ``limit(max_rows + 1).collect()``. When that proves it
-small, the collected rows become a local table that is broadcast, so the
-lookup's own lineage (often an aggregation over the big table) runs once
-instead of once for the check and again inside the join. When the side is
-larger, the join is left to Spark's shuffle join (AQE may still switch it to
-a broadcast from measured sizes, and splits skewed partitions).
+The lookup side (class list, per-class counts, vocabulary) is evaluated once and
+written to the shared folder, then joined from there. Spark knows a written
+table's size in bytes and broadcasts it only below its own threshold
+(``spark.sql.autoBroadcastJoinThreshold``); beyond it the join is a shuffle join
+whose frequent keys adaptive execution splits. There is no bound on rows, the
+result is the same at every size, and nothing is collected.
 
-Tables that grow with the data by design (one row per route, per document,
-...) should not come here at all: join them directly.
+Tables that grow with the data by design (one row per route, per document, ...)
+should not come here at all: join them directly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows we are willing to collect and ship to every executor for a lookup.
-MAX_LOOKUP_ROWS = 100_000
+from cometa.session import materialize
 
 
-def collect_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
-    """``df`` as a local table when it has at most ``max_rows`` rows, else None.
-
-    Evaluates ``df`` once, reading at most ``max_rows + 1`` rows.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Join ``big`` with a lookup table, broadcasting a local copy when it is
-    proven small."""
-    local = collect_small(small, max_rows)
-    if local is None:
-        return big.join(small, on=on, how=how)
-    return big.join(F.broadcast(local), on=on, how=how)
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``big`` with a lookup table that is evaluated once."""
+    return big.join(materialize(small, "lookup"), on=on, how=how)

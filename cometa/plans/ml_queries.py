@@ -42,14 +42,13 @@ def rare_class_filter(spark, sf_dir):
 
 
 def class_weights(spark, sf_dir):
-    w = mp.balanced_class_weights(mp.drop_rare_classes(docs(spark, sf_dir), "label"), "label")
+    w = mp.balanced_class_weights(docs(spark, sf_dir), "label", min_count=2)
     return w.select("label", "n", F.round("weight", 6).alias("weight"))
 
 
 def label_encode(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    model = mp.fit_label_encoder(d, "source", "source_idx")
-    return model.transform(d).select("doc_id", "source", F.col("source_idx").cast("int").alias("source_idx"))
+    return mp.encode_labels(d, "source", mp.class_table(d, "source"), "source_idx")
 
 
 def encode_unk(spark, sf_dir):

@@ -9,7 +9,36 @@ derived table. Unicode behaviour is covered by the golden tests.
 
 from __future__ import annotations
 
-from cometa.operators.rules import ALLOWED_TOKENS, COMMENT_OPTIONAL_NOTES, LABELS, NON_CONFORMING, RULE_TABLE
+# ---------------------------------------------------------------------------
+# The rules restated for the oracle alone, so that a wrong value
+# in the engine can't pass on both sides.
+# ---------------------------------------------------------------------------
+LABELS = ["C", "SC", "UCE", "EE", "FL", "CFP", "CI", "NI"]
+NON_CONFORMING = ["CFP", "SC", "FL", "NI", "EE", "CI", "UCE"]
+ALLOWED_TOKENS = ["NR DI", "NR RE", "NR IM", "SELO", "ZELO", "S", "R"]
+COMMENT_OPTIONAL_NOTES = ["T161", "L131", "P191", "T171", "L121"]
+RULE_TABLE = [
+    ("B111", "MEDIDOR_LEITURA", "Local Cons. Implantado em Duplicidade"),
+    ("P111", "MEDIDOR_LEITURA", "E.M. Substituído ou Número Incorreto"),
+    ("P131", "MEDIDOR_LEITURA", "E.M. Vizinho Não Cadastrado"),
+    ("T171", "MEDIDOR_LEITURA_FUNCAO", "Data/Hora do E.M. Incorreta"),
+    ("E101", "POSTE_FORMAT", "Poste Inclinado ou Quebrado"),
+    ("E111", "POSTE_FORMAT", "Objeto, Árvore, Imóvel Encostado/Próximo à Rede"),
+    ("P231", "POSTE_FORMAT", "Iluminação Pública Acesa Durante o Dia"),
+    ("C111", "TEXTO_CONDIZENTE", "Bairro Incorreto"),
+    ("C121", "TEXTO_CONDIZENTE", "Rua Incorreta"),
+    ("C131", "TEXTO_CONDIZENTE", "Número da Porta/Porta Incorreto"),
+    ("C151", "TEXTO_CONDIZENTE", "Atividade Incorreta"),
+    ("C161", "TEXTO_CONDIZENTE", "Quant. Incorreta de Dígitos do E.M."),
+    ("C181", "TEXTO_CONDIZENTE", "Número do Poste Incorreto"),
+    ("P191", "TEXTO_CONDIZENTE", "U.C. Vizinha Com Ligação Clandestina"),
+    ("R161", "TEXTO_CONDIZENTE", "Ponto de Referência Incorreto"),
+    ("L131", "CAMPANHA", "Campanha 2"),
+    ("R111", "MEDIDOR_SEM_LEITURA", "Medidor Alocado Incorretamente"),
+    ("T161", "APENAS_FUNCAO", "Função Não Existe no PDA"),
+    ("T181", "FUNCAO_LEITURA", "Função Não Existe no Sistema"),
+]
+# ---------------------------------------------------------------------------
 
 AUD_SQL = """
 SELECT k, nota,
@@ -30,10 +59,15 @@ SELECT k, nota,
   WHEN 13 THEN 'MV0' || CAST(a AS VARCHAR(20)) || ' NR DI'
   WHEN 14 THEN 'S' || CAST(200000 + b AS VARCHAR(20)) || ' T181 01 ' || CAST(a AS VARCHAR(20))
   WHEN 15 THEN '103' || CAST(b AS VARCHAR(20))
+  WHEN 16 THEN 'poste m' || CAST(100000 + a AS VARCHAR(20))
+  WHEN 17 THEN 'não há ligação É'
+  WHEN 18 THEN CAST(a AS VARCHAR(20)) || ' ² ² ² ² ² ² ² ²'
+  WHEN 19 THEN 't181 01 ' || CAST(b AS VARCHAR(20))
+  WHEN 20 THEN 'Ó ' || CAST(a AS VARCHAR(20)) || ' ' || CAST(b AS VARCHAR(20))
   ELSE 'poste M' || CAST(100000 + a AS VARCHAR(20)) END AS comentario,
- CASE WHEN nota = 'L121' AND mod(b, 2) = 0 THEN 'C' WHEN mod(a, 5) = 0 THEN 'NI' ELSE NULL END AS analise_previa
+ CASE WHEN nota = 'L121' AND mod(b, 2) = 0 THEN 'C' WHEN nota = 'L121' AND mod(b, 3) = 0 THEN 'OK' WHEN mod(a, 5) = 0 THEN 'NI' ELSE NULL END AS analise_previa
 FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS a, l_suppkey AS b,
-   mod(l_partkey * 31 + l_suppkey * 7 + l_linenumber, 17) AS tpl,
+   mod(l_partkey * 31 + l_suppkey * 7 + l_linenumber, 22) AS tpl,
    CASE mod(l_orderkey, 21) WHEN 0 THEN 'B111' WHEN 1 THEN 'P111' WHEN 2 THEN 'P131' WHEN 3 THEN 'T171'
     WHEN 4 THEN 'E101' WHEN 5 THEN 'E111' WHEN 6 THEN 'P231' WHEN 7 THEN 'C111' WHEN 8 THEN 'C121'
     WHEN 9 THEN 'C131' WHEN 10 THEN 'C151' WHEN 11 THEN 'C161' WHEN 12 THEN 'C181' WHEN 13 THEN 'P191'
@@ -65,7 +99,7 @@ def _letters(x: str) -> str:
 
 
 def _notes(required: str) -> str:
-    return _q([n for n, req, _, _ in RULE_TABLE if req == required])
+    return _q([n for n, req, _ in RULE_TABLE if req == required])
 
 
 _MEDIDOR = r"""CASE WHEN runs_ = 0 THEN 'NI' WHEN letters_ THEN 'CFP'
@@ -91,7 +125,7 @@ v AS (
   SELECT *, CASE
     WHEN n_ = 'L121' THEN NULL
     WHEN comentario IS NULL OR c_ = '' THEN CASE WHEN n_ IN ({_q(COMMENT_OPTIONAL_NOTES)}) THEN 'C' ELSE 'SC' END
-    WHEN regexp_matches(c_, '[^\\w\\s]') THEN 'UCE'
+    WHEN regexp_matches(c_, '[^\\p{{L}}\\p{{N}}_\\s]') THEN 'UCE'
     WHEN contains(c_, '   ') THEN 'EE'
     WHEN n_ IN ('T181', 'R111') AND (starts_with(c_, '03') OR regexp_matches(c_, '\\b03\\b')) THEN 'CFP'
     WHEN tokens_only_ AND n_ IN ({_q(COMMENT_OPTIONAL_NOTES)}) THEN 'C'
@@ -110,7 +144,7 @@ v AS (
            WHEN len(list_filter(words_, lambda w: {_RESIDUE} <> ''
                  AND NOT regexp_matches({_RESIDUE}, '[0-9]')
                  AND {_RESIDUE} NOT IN ({_q(ALLOWED_TOKENS)}))) > 0 THEN 'CFP'
-           WHEN len(list_filter(words_, lambda w: regexp_matches(w, '\\d'))) > 8 THEN 'CFP'
+           WHEN len(list_filter(words_, lambda w: regexp_matches(w, '[\\d²]'))) > 8 THEN 'CFP'
            ELSE 'C' END
     WHEN n_ IN ({_notes('APENAS_FUNCAO')}) THEN CASE WHEN regexp_matches(c_, '^\\d{{2}}$') THEN 'C' ELSE 'CFP' END
     WHEN n_ IN ({_notes('FUNCAO_LEITURA')}) THEN
@@ -126,8 +160,7 @@ r AS (
   SELECT k, nota, comentario, COALESCE(CASE WHEN n_ = 'L121' THEN analise_previa END, v0) AS analise FROM v)
 """
 
-_RULES_VALUES = ", ".join(f"({_q([n])}, {_q([req])}, {_q([desc])})" for n, req, desc, _ in RULE_TABLE)
-_CROSSTAB_COLS = ", ".join(f"count(*) FILTER (WHERE analise = '{lbl}') AS \"{lbl}\"" for lbl in LABELS)
+_RULES_VALUES = ", ".join(f"({_q([n])}, {_q([req])}, {_q([desc])})" for n, req, desc in RULE_TABLE)
 _BADGE_COLS = ", ".join(f"count(*) FILTER (WHERE analise = '{lbl}') AS \"{lbl}\"" for lbl in LABELS)
 _BADGE_UNNEST = " UNION ALL ".join(f"SELECT '{lbl}' AS label, \"{lbl}\" AS n FROM b" for lbl in LABELS)
 
@@ -137,7 +170,7 @@ ORACLE = {
     + "SELECT k, nota, comentario, analise_previa, COALESCE(analise_previa, v0) AS analise FROM v",
     "audit_reset": AUDIT_CTES + "SELECT k, nota, comentario, analise FROM r",
     "audit_special_chars": AUDIT_CTES
-    + "SELECT k, comentario, COALESCE(regexp_matches(c_, '[^\\w\\s]'), false) AS flag FROM v",
+    + "SELECT k, comentario, COALESCE(regexp_matches(c_, '[^\\p{L}\\p{N}_\\s]'), false) AS flag FROM v",
     "audit_excess_space": AUDIT_CTES + "SELECT k, comentario, COALESCE(contains(c_, '   '), false) AS flag FROM v",
     "audit_token_only": AUDIT_CTES + "SELECT k, comentario, COALESCE(tokens_only_, false) AS flag FROM v",
     "audit_letters": AUDIT_CTES + "SELECT k, comentario, COALESCE(letters_, false) AS flag FROM v",
@@ -155,7 +188,7 @@ ORACLE = {
     + "SELECT count(*) AS total_rows, count(analise) AS filled_rows, "
     "count(*) FILTER (WHERE analise IS NULL) AS empty_rows FROM r",
     "note_label_crosstab": AUDIT_CTES
-    + f"SELECT nota, {_CROSSTAB_COLS} FROM r WHERE nota IS NOT NULL AND analise IS NOT NULL GROUP BY nota",
+    + "SELECT nota, analise, count(*) AS n FROM r WHERE nota IS NOT NULL AND analise IS NOT NULL GROUP BY nota, analise",
     "worst_notes": AUDIT_CTES
     + "SELECT nota, count(*) AS n_nonconforming FROM r WHERE nota IS NOT NULL AND analise IS DISTINCT FROM 'C' "
     "GROUP BY nota ORDER BY n_nonconforming DESC, nota LIMIT 10",

@@ -4,6 +4,7 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # The audit fuses ~40 regex checks into one CASE; whole-stage code that big
 # exceeds HotSpot's 8000-byte JIT limit and runs interpreted (measured 2x
 # slower). This documented knob makes Spark fall back to per-expression
-# codegen for just those subtrees.
+# codegen for just those subtrees. ``local_session`` sets it; the operators
+# never change a caller's session (see "Cluster settings" in the README).
 HUGE_METHOD_KEY = "spark.sql.codegen.hugeMethodLimit"
 JIT_METHOD_LIMIT = "8000"
 
@@ -43,11 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    filesystem path). Only when it is unset -- local tests -- do we pick a
-    scratch folder of our own.
+    filesystem path). Only in a one-machine ``local`` session where it is
+    unset -- tests -- do we pick a scratch folder of our own; on a cluster a
+    folder of the driver's machine would hold only part of each table.
     """
     conf_dir = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not conf_dir:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cometa-ckpt-", dir=os.environ.get("COMETA_SCRATCH", "/tmp"))
         spark.conf.set(CHECKPOINT_KEY, conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -61,12 +66,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def tune_for_wide_expressions(spark: SparkSession) -> None:
-    """Lower ``hugeMethodLimit`` to the JIT limit unless the user set it."""
-    if spark.conf.get(HUGE_METHOD_KEY, "65535") == "65535":
-        spark.conf.set(HUGE_METHOD_KEY, JIT_METHOD_LIMIT)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a parquet table under the shared checkpoint folder
     and return it read back: the lineage is cut (later passes -- class

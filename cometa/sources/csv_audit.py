@@ -31,15 +31,15 @@ DATE_COLUMN = "Data"
 
 
 def normalize_header(name: str, legacy_double_strip: bool = False) -> str:
-    """Strip, drop CR/LF, drop '.', spaces to '_'.
+    """Outer white space goes, then line ends and dots inside go and each
+    space becomes an underscore.
 
-    ``legacy_double_strip`` strips once more after dropping CR/LF (one of the
-    older scripts did).
+    ``legacy_double_strip`` strips once more where dropping line ends has
+    bared white space (one of the older scripts did).
     """
-    n = str(name).strip().replace("\n", "").replace("\r", "")
-    if legacy_double_strip:
-        n = n.strip()
-    return n.replace(".", "").replace(" ", "_")
+    outer = str(name).strip()
+    one_line = re.sub(r"[\r\n]", "", outer)
+    return re.sub(r"[. ]", lambda m: "_" if m[0] == " " else "", one_line.strip() if legacy_double_strip else one_line)
 
 
 def normalize_columns(df: DataFrame, legacy_double_strip: bool = False) -> DataFrame:
@@ -75,9 +75,10 @@ def keep_dated(df: DataFrame, date_col: str = DATE_COLUMN, required: bool = Fals
     return df.where(d.isNotNull() & (d != ""))
 
 
-def _reader(spark: SparkSession, sep: str, multi_line: bool):
+def csv_options(reader, sep: str, multi_line: bool):
+    """The options of every extract reader, batch or stream."""
     return (
-        spark.read.option("sep", sep)
+        reader.option("sep", sep)
         .option("header", True)
         .option("inferSchema", False)
         .option("quote", '"')
@@ -88,6 +89,44 @@ def _reader(spark: SparkSession, sep: str, multi_line: bool):
     )
 
 
+def csv_reader(spark: SparkSession, sep: str, multi_line: bool):
+    return csv_options(spark.read, sep, multi_line)
+
+
+def list_files(spark: SparkSession, pattern: str, exclude: list[str] | None = None) -> list[str]:
+    """The files that a path, folder or glob names, sorted, through the file
+    system that Spark reads; hidden files and paths holding an excluded string
+    (compared with the decoded path) are left out."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for found in fs.globStatus(path) or []:
+        inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+        out += [f.getPath().toString() for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return sorted(f for f in out if not any(x in f for x in exclude or []))
+
+
+def concat_tables(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables, columns matched by name, missing ones null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def read_by_header(spark: SparkSession, files: list[str], sep: str, multi_line: bool, legacy_double_strip: bool = False) -> DataFrame:
+    """One scan per distinct header, columns matched by their normalized names.
+
+    A scan applies one header to all of its files, so files are grouped by the
+    header that Spark reads from each (metadata only) before they are scanned.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        groups.setdefault(tuple(csv_reader(spark, sep, multi_line).csv(f).columns), []).append(f)
+    return concat_tables([normalize_columns(csv_reader(spark, sep, multi_line).csv(own), legacy_double_strip) for own in groups.values()])
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Spread the rule work when the scan has fewer splits than cores (one
     unsplittable multi-line file); many files already give many splits and
@@ -105,12 +144,14 @@ def read_audit_csv(
 ) -> DataFrame:
     """Scan -> normalized headers -> null spellings -> dated rows.
 
-    A directory or glob reads every file; rows longer than the header are
-    truncated and shorter ones padded with nulls (PERMISSIVE).
+    A directory or glob reads every file and matches columns by name; rows
+    longer than their header are truncated and shorter ones padded with nulls
+    (PERMISSIVE).
     """
-    raw = _reader(spark, sep, multi_line).csv(path)
-    df = normalize_columns(raw, legacy_double_strip)
-    df = null_na_tokens(df)
+    files = list_files(spark, path)
+    if not files:
+        raise ValueError(f"no file found for {path}")
+    df = null_na_tokens(read_by_header(spark, files, sep, multi_line, legacy_double_strip))
     return _spread(keep_dated(df, required=date_required))
 
 
@@ -118,19 +159,19 @@ def read_training_csvs(
     spark: SparkSession, pattern: str, exclude: list[str] | None = None, sep: str = ";", multi_line: bool = True
 ) -> DataFrame:
     """All files matching ``pattern`` whose full path contains none of
-    ``exclude``; raises when nothing is left. Files are expected to share
-    one header (they are read by one scan)."""
-    try:
-        raw = _reader(spark, sep, multi_line).csv(pattern)
-    except Exception as exc:  # noqa: BLE001 - no file matched
-        raise ValueError(f"no training file found for {pattern}") from exc
-    path = F.col("_metadata.file_path")
-    for x in exclude or []:
-        raw = raw.where(~path.contains(x))
-    df = null_na_tokens(normalize_columns(raw))
-    if df.limit(1).count() == 0:
+    ``exclude``, columns matched by name; raises when no file is left."""
+    files = list_files(spark, pattern, exclude)
+    if not files:
         raise ValueError(f"no training file left for {pattern} after excluding {exclude}")
-    return _spread(df)
+    return _spread(null_na_tokens(read_by_header(spark, files, sep, multi_line)))
+
+
+def read_train_and_target(spark: SparkSession, train: str, target: str, exclude: list[str] | None = None, sep: str = ";", multi_line: bool = True) -> DataFrame:
+    """S6 + U1: training and target extracts as one table, columns matched by
+    name; ``part`` is 'train' or 'target'."""
+    a = read_training_csvs(spark, train, exclude, sep, multi_line).withColumn("part", F.lit("train"))
+    b = null_na_tokens(read_by_header(spark, list_files(spark, target), sep, multi_line)).withColumn("part", F.lit("target"))
+    return concat_tables([a, b])
 
 
 def read_labelled_csv(
@@ -144,7 +185,7 @@ def read_labelled_csv(
 ) -> DataFrame:
     """S5 + P7: project (comentario, classificacao[, sigla]) and drop rows
     without text or class; a missing sigla is kept."""
-    raw = null_na_tokens(_reader(spark, sep, multi_line).csv(path))
+    raw = null_na_tokens(csv_reader(spark, sep, multi_line).csv(path))
     cols = [F.col(f"`{text_col}`").alias("comentario"), F.col(f"`{class_col}`").alias("classificacao")]
     if sigla_col:
         cols.append(F.col(f"`{sigla_col}`").alias("sigla"))

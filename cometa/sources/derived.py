@@ -27,7 +27,8 @@ def _s(c: Column) -> Column:
 
 
 def _comment(tpl: Column, a: Column, b: Column) -> Column:
-    """One of 17 comment templates (ASCII only)."""
+    """One of 22 comment templates: codes and readings in either case, accents,
+    superscripts (digits that are no decimals) and free text."""
     templates = [
         F.concat(_s(a), F.lit(" "), _s(b)),
         _s(a),
@@ -45,6 +46,11 @@ def _comment(tpl: Column, a: Column, b: Column) -> Column:
         F.concat(F.lit("MV0"), _s(a), F.lit(" NR DI")),
         F.concat(F.lit("S"), _s(b + 200000), F.lit(" T181 01 "), _s(a)),
         F.concat(F.lit("103"), _s(b)),
+        F.concat(F.lit("poste m"), _s(a + 100000)),
+        F.lit("não há ligação É"),
+        F.concat(_s(a), F.lit(" ² ² ² ² ² ² ² ²")),
+        F.concat(F.lit("t181 01 "), _s(b)),
+        F.concat(F.lit("Ó "), _s(a), F.lit(" "), _s(b)),
     ]
     expr = None
     for i, t in enumerate(templates):
@@ -59,10 +65,11 @@ def derived_audit_table(lineitem: DataFrame) -> DataFrame:
     """
     a = F.col("l_partkey")
     b = F.col("l_suppkey")
-    tpl = (a * 31 + b * 7 + F.col("l_linenumber")) % 17
+    tpl = (a * 31 + b * 7 + F.col("l_linenumber")) % 22
     notes = F.array(*[F.lit(n) for n in NOTE_BY_ORDER_MOD_21])
     nota = F.element_at(notes, (F.col("l_orderkey") % 21 + 1).cast("int"))
-    prior = F.when((nota == "L121") & (b % 2 == 0), "C").when(a % 5 == 0, "NI")
+    # people also write labels that are not in the rules' alphabet
+    prior = F.when((nota == "L121") & (b % 2 == 0), "C").when((nota == "L121") & (b % 3 == 0), "OK").when(a % 5 == 0, "NI")
     return lineitem.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
         nota.alias("nota"),

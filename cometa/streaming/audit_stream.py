@@ -15,20 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cometa.plans.audit_job import ANALYSIS, prepare
 from cometa.session import shared_path
-from cometa.sources.csv_audit import keep_dated, normalize_columns, null_na_tokens
+from cometa.sources.csv_audit import csv_options, csv_reader, keep_dated, normalize_columns, null_na_tokens
 
 
 def audit_stream(spark: SparkSession, input_dir: str, sep: str = ";", sample_path: str | None = None) -> DataFrame:
     """The streaming audited DataFrame. File streams need a schema: it is
     taken from the header of ``sample_path`` (default: the input folder)."""
-    schema = (
-        spark.read.option("sep", sep).option("header", True).option("inferSchema", False)
-        .csv(sample_path or input_dir).schema
-    )
-    raw = (
-        spark.readStream.schema(schema).option("sep", sep).option("header", True)
-        .option("quote", '"').option("escape", '"').option("multiLine", True).csv(input_dir)
-    )
+    schema = csv_reader(spark, sep, multi_line=True).csv(sample_path or input_dir).schema
+    raw = csv_options(spark.readStream, sep, multi_line=True).schema(schema).csv(input_dir)
     df = keep_dated(null_na_tokens(normalize_columns(raw)))
     df, nota_col, comment_col = prepare(df)
     from cometa.operators.validate import audit

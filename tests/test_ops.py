@@ -25,7 +25,7 @@ def test_stratified_split_exact_multi_bucket(spark):
         F.col("id").alias("key"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("label")
     )
     one = mp.stratified_split(df, "label", "key", 0.8, seed=42)
-    many = mp.stratified_split(df, "label", "key", 0.8, seed=42, rows_per_bucket=50)  # ~42 buckets
+    many = mp.stratified_split(df, "label", "key", 0.8, seed=42, buckets=37)
     a = {(r.key, r.split) for r in one.collect()}
     b = {(r.key, r.split) for r in many.collect()}
     assert a == b and len(a) == 3000
@@ -39,13 +39,62 @@ def test_with_previous_multi_bucket(spark):
     from cometa.sources.tables import table
 
     pts = route_points(table(spark, SF01, "customer"))
-    got = geo.with_previous(pts, "route_id", "seq", ["lat"], rows_per_bucket=7)  # many buckets per route
+    got = geo.with_previous(pts, "route_id", "seq", ["lat"], buckets=7)
     w = Window.partitionBy("route_id").orderBy("seq")
     want = pts.select("route_id", "seq", F.lag("seq").over(w).alias("prev_seq"), F.lag("lat").over(w).alias("prev_lat"))
     g = {tuple(r) for r in got.select("route_id", "seq", "prev_seq", "prev_lat").collect()}
     assert g == {tuple(r) for r in want.collect()}
 
 
+def test_with_previous_outlier_null_route_and_empty(spark):
+    """A far outlier leaves the buckets even; an empty table keeps its types."""
+    pts = spark.range(4000).select(F.lit("r").alias("route"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("seq"))
+    pts = pts.unionByName(spark.createDataFrame([(None, 5), (None, 9)], "route string, seq long"))
+    got = geo.with_previous(pts, "route", "seq", [], buckets=16)
+    w = Window.partitionBy("route").orderBy("seq")
+    want = pts.select("route", "seq", F.lag("seq").over(w).alias("prev_seq"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    cut = spark.createDataFrame([(x,) for x in range(1, 4001)], "x long").agg(F.percentile_approx("x", [k / 16 for k in range(1, 16)], 10_000)).first()[0]
+    assert len(set(cut)) == 15
+    empty = geo.with_previous(pts.limit(0), "route", "seq", [])
+    assert empty.schema["prev_seq"].dataType.simpleString() == "bigint" and empty.collect() == []
+
+
+def test_crosstab_and_split_take_any_number_of_labels(spark):
+    df = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 3).alias("nota"), F.concat(F.lit("label"), F.col("id") % 1500).alias("analise"), "id")
+    assert stats.note_label_crosstab(df, "nota", "analise").agg(F.sum("n"), F.count("*")).first()[:] == (3000, 1500)
+    classes = mp.class_table(df, "analise")
+    got = [r.value for r in classes.orderBy("idx").collect()]
+    assert got == sorted(got) and [r.idx for r in classes.orderBy("idx").collect()] == list(range(1500))
+    per = mp.stratified_split(df, "analise", "id", 0.5).groupBy("analise", "split").count().collect()
+    assert len(per) == 3000 and {r["count"] for r in per} == {1}
+
+
+def test_split_sends_no_text_through_a_window(spark):
+    from cometa.plans.ml_queries import labelled
+
+    plan = mp.stratified_split(labelled(spark, SF001), "label", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    inside = [x for x in plan.splitlines() if "Window" in x]
+    assert inside and not any("text" in x for x in inside)
+
+
+def test_labelling_leaves_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        with_audit_label(spark.createDataFrame([("B111", "1")], "nota string, comentario string"), "nota", "comentario").collect()
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_superscript_words_count_as_digits(spark):
+    rows = [("R111", "1 ² ² ² ² ² ² ² ²"), ("R111", "1 ² ² ² ² ² ² ²"), ("R111", "1 ① ③ ٣ ² ² ² ² ²")]
+    got = with_audit_label(spark.createDataFrame(rows, "nota string, comentario string"), "nota", "comentario", "a").collect()
+    # circled digits are str.isdigit() too
+    assert [r.a for r in got] == ["CFP", "C", "UCE" if not "①".isalnum() else "CFP"]
+
+
 @pytest.mark.parametrize("c,other,text", [(0, 0, "0,0%"), (0, 5, "N/A"), (200, 25, "12,50%")])
 def test_kpi_cases(spark, c, other, text):
     rows = [("B111", "C")] * c + [("B111", "FL")] * other + [("L121", None)]
@@ -56,8 +105,10 @@ def test_distribution_crosstab_worst(spark):
     rows = [("B111", "C"), ("B111", "FL"), ("B111", None), ("P111", "C"), (None, "SC"), ("L121", None)]
     df = _labels(spark, rows)
     assert {tuple(r) for r in stats.label_distribution(df, "analise").collect()} == {("C", 2), ("FL", 1), ("SC", 1)}
-    ct = {r.nota: r.asDict() for r in stats.note_label_crosstab(df, "nota", "analise").collect()}
-    assert set(ct) == {"B111", "P111"} and ct["B111"]["C"] == 1 and ct["B111"]["FL"] == 1
+    long = stats.note_label_crosstab(df, "nota", "analise")
+    assert {tuple(r) for r in long.collect()} == {("B111", "C", 1), ("B111", "FL", 1), ("P111", "C", 1)}
+    wide = stats.wide_crosstab(long, ["C", "FL", "EE"])
+    assert {tuple(r) for r in wide.collect()} == {("B111", 1, 1, 0), ("P111", 1, 0, 0)}
     worst = [tuple(r) for r in stats.worst_notes(df, "nota", "analise").collect()]
     assert worst == [("B111", 2), ("L121", 1)]  # null label counts as non-conforming
     tot = stats.audit_totals(df, "analise").first()
@@ -207,15 +258,23 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bounded_lookup_is_a_broadcast_local_table(spark):
-    """A class table aggregated from the big table is computed once (collected
-    under its bound) and joined as a broadcast local table, not re-aggregated."""
+def test_lookup_is_evaluated_once_and_joined_by_its_size(spark):
+    """A class table aggregated from the big table is written once; Spark
+    broadcasts it by its size in bytes, and does not aggregate it again."""
     from cometa.plans.ml_queries import docs
 
-    plan = _plan(mp.drop_rare_classes(docs(spark, SF001), "label"))
-    # driver-held rows: LocalTableScan or ExistingRDD depending on how they were built
-    assert "BroadcastHashJoin" in plan and ("LocalTableScan" in plan or "ExistingRDD" in plan)
-    assert "HashAggregate" not in plan
+    d = docs(spark, SF001)
+    plan = _plan(mp.drop_rare_classes(d, "label"))
+    assert "BroadcastHashJoin" in plan and "HashAggregate" not in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = mp.drop_rare_classes(d, "label")
+        assert "BroadcastHashJoin" not in _plan(rows)
+        n = rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert n == mp.drop_rare_classes(d, "label").count()
 
 
 def test_audit_adds_no_exchange_and_spread_runs_no_job(spark):
