@@ -15,7 +15,7 @@ the map side), so one vector held by a third of all rows is one code: an answer
 never needs more than k ids of one code. As segments widen with the logarithm of
 the rows, a probe meets about one code. Probes and candidates are joined by
 (segment, value) in shuffles that Spark may split where a value is frequent; the
-driver only counts open queries. Every step's state is a written table.
+driver only counts open queries. Every step's best neighbours are a written table.
 
 Ties in distance go to the smaller id. Defined results: a row counts as its own
 neighbour, as queries run against all rows; rows with a null vector or id are
@@ -114,7 +114,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "
     codes = save(own.groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids")), "hamming_codes")
     asked = save(coded(queries).distinct(), "hamming_queries")
 
-    left = save(asked.select(F.col("code").alias("query")).distinct(), "hamming_open")
+    left = asked.select(F.col("code").alias("query")).distinct()
+    open_queries = left.count()
     m, widest = len(bounds), max(b - a for a, b in bounds)
     steps = [(s, list(range(m))) for s in (0, 1)] + [(s, [j]) for s in range(2, widest + 1) for j in range(m)]
     best, closed = None, []
@@ -126,9 +127,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "
         radius = m * s + segments[-1]
         done = best.where((F.col("rank") == k) & (F.col("distance") <= radius)).select("query")
         closed.append(best.join(done, "query", "left_semi"))
-        left = save(left.join(done, "query", "left_anti"), "hamming_open")
-        if left.isEmpty():
+        open_queries -= done.count()
+        if not open_queries:
             break
+        left = left.join(done, "query", "left_anti")
     else:  # every value of every segment was probed: fewer than k ids
         closed.append(best.join(left, "query", "left_semi"))
     answers = closed[0]
