@@ -2,7 +2,7 @@
 re-aimed at distributed estimators.
 
 * M1/M2  random forest over category codes of (note, comment)
-* M3     note one-hot + token uni/bi/tri-gram TF-IDF -> weighted multinomial naive Bayes
+* M3     note one-hot + token uni/bi/tri-gram TF-IDF, unit length -> weighted logistic regression
 * M4     note one-hot + cached text embedding -> weighted logistic regression
 * M5/M10 two-stage: text -> class; (class, text) -> consistency code; review
           when either confidence is below the threshold
@@ -10,17 +10,29 @@ re-aimed at distributed estimators.
 * M8     saved-model compatibility by class-table contents; M9 loss history
 
 Encodings that could grow with the data never pass through the driver: the
-comment code is a hash (not a collected dictionary), text features are hashed
-(``HashingTF``), and class tables are size-checked.
+comment code is a 64-bit hash in two numbers (not a collected dictionary), and
+text features are hashed (``HashingTF``). The label and note indexers of a fitted
+model live on the driver, as the model's own coefficients do: a row of them per
+class and per note.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, NGram, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import (
+    IDF,
+    HashingTF,
+    NGram,
+    Normalizer,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +42,8 @@ from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
 from cometa.session import materialize
 
-COMMENT_CODE_BUCKETS = 1 << 20
-TEXT_FEATURES = 1 << 16
+TEXT_FEATURES = 1 << 14
+COMMENT_CODES = ["comment_high", "comment_low"]
 
 
 def _weighted(train: DataFrame, label_col: str) -> DataFrame:
@@ -43,28 +55,45 @@ def _label_indexer(label_col: str) -> StringIndexer:
 
 
 def _category_indexer(col: str) -> StringIndexer:
-    # fitted on training rows; unseen categories get their own index
+    # the index after the last is the unknown category's
     return StringIndexer(inputCol=col, outputCol=f"{col}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
 
 
-def decode_prediction(pred: DataFrame, model: PipelineModel, out_col: str, prefix: str = "") -> DataFrame:
-    """M7 + J3: class name of the arg-max, confidence and review flag."""
+def _category_stage(train: DataFrame, col: str, also: DataFrame | None):
+    """The category indexer: fitted on the training rows and, if given, on the
+    target rows too, so a category of the target has an index of its own."""
+    if also is None:
+        return _category_indexer(col)
+    return _category_indexer(col).fit(train.select(col).unionByName(also.select(col)).where(F.col(col).isNotNull()))
+
+
+def decode_prediction(
+    pred: DataFrame, model: PipelineModel, out_col: str, prefix: str = "", total_col: str | None = None
+) -> DataFrame:
+    """M7 + J3: class name of the arg-max, confidence and review flag;
+    ``total_col`` adds the sum of the class probabilities."""
     labels = [s for s in model.stages if isinstance(s, StringIndexerModel) and s.getOutputCol() == "label_idx"][0].labels
     p = vector_to_array(F.col("probability"))
     out = pred.withColumn("__p", p)
     out = em.with_confidence(out, "__p", prefix=prefix)
+    if total_col:
+        out = out.withColumn(total_col, F.aggregate("__p", F.lit(0.0), lambda a, x: a + x))
     names = F.array(*[F.lit(x) for x in labels])
     return out.withColumn(out_col, F.element_at(names, F.col(f"{prefix}pred_idx") + 1)).drop(
-        "__p", "probability", "rawPrediction", "prediction"
+        "__p", "probability", "rawPrediction", "prediction", "label_idx"
     )
 
 
 # -- M1 / M2 --------------------------------------------------------------------
 
 
-def comment_code(c) -> F.Column:
-    """Category code of a comment as a bounded hash (no driver dictionary)."""
-    return F.pmod(F.xxhash64(c), F.lit(COMMENT_CODE_BUCKETS)).cast("double")
+def with_comment_code(df: DataFrame, comment_col: str) -> DataFrame:
+    """The comment's category code as the halves of its 64-bit hash, each
+    exact in a double, so unlike comments have unlike codes; null is -1."""
+    h = F.xxhash64(F.col(comment_col))
+    code = {COMMENT_CODES[0]: F.shiftright(h, 32), COMMENT_CODES[1]: h.bitwiseAND(F.lit(0xFFFFFFFF))}
+    known = F.col(comment_col).isNotNull()
+    return df.withColumns({c: F.when(known, x.cast("double")).otherwise(-1.0) for c, x in code.items()})
 
 
 def fit_forest(
@@ -74,24 +103,27 @@ def fit_forest(
     label_col: str,
     trees: int = 100,
     seed: int = 42,
-    max_depth: int = 10,
+    max_depth: int = 30,
     balanced: bool = False,
 ) -> PipelineModel:
-    """M1/M2 (and M2b with ``trees=200, balanced=True``): random forest over
-    the note index and the comment code; ``balanced`` weights every row by
-    its class's balanced weight (A10) through ``weightCol``."""
-    prepared = train.withColumn("comment_code", F.coalesce(comment_code(F.col(comment_col)), F.lit(-1.0)))
+    """M1/M2 (and M2b with ``trees=200, max_depth=10, balanced=True``): random
+    forest over the note index and the comment code. The original sets no
+    depth; 30 is the most that MLlib has. ``balanced`` weights every row by its
+    class's balanced weight (A10). The note index is an ordinary number to the
+    trees (its category metadata is dropped), so any number of notes works."""
+    prepared = with_comment_code(train, comment_col)
     if balanced:
         prepared = _weighted(prepared, label_col)
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth
+        featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=512
     )
     if balanced:
         forest = forest.setWeightCol("weight")
     stages = [
         _label_indexer(label_col),
         _category_indexer(nota_col),
-        VectorAssembler(inputCols=[f"{nota_col}_idx", "comment_code"], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, `{nota_col}_idx` + 0.0D AS nota_code FROM __THIS__"),
+        VectorAssembler(inputCols=["nota_code", *COMMENT_CODES], outputCol="features"),
         forest,
     ]
     return Pipeline(stages=stages).fit(prepared)
@@ -104,7 +136,7 @@ def forest_fill(
     label_col: str,
     trees: int = 100,
     seed: int = 42,
-    max_depth: int = 10,
+    max_depth: int = 30,
     balanced: bool = False,
 ) -> DataFrame:
     """M1/M2 + U2: train on labelled rows, label the rest, return kept rows
@@ -114,7 +146,7 @@ def forest_fill(
     # the output read it instead of recomputing the input's lineage
     train = materialize(train, "forest_train")
     model = fit_forest(train, nota_col, comment_col, label_col, trees, seed, max_depth, balanced)
-    scored = model.transform(todo.withColumn("comment_code", F.coalesce(comment_code(F.col(comment_col)), F.lit(-1.0))))
+    scored = model.transform(with_comment_code(todo, comment_col))
     filled = decode_prediction(scored, model, "__pred").withColumn(label_col, F.col("__pred"))
     cols = df.columns
     return train.select(*cols, F.lit("kept").alias("origin")).unionByName(
@@ -126,7 +158,7 @@ def forest_fill(
 
 
 def text_feature_stages(text_col: str, prefix: str = "") -> list:
-    """Token uni/bi/tri-grams, hashed term frequencies, IDF."""
+    """Token uni/bi/tri-grams, hashed term frequencies, IDF, unit length."""
     tok, bi, tri, allg = f"{prefix}tok", f"{prefix}bi", f"{prefix}tri", f"{prefix}grams"
     return [
         _TokenStage(text_col, tok),
@@ -134,7 +166,9 @@ def text_feature_stages(text_col: str, prefix: str = "") -> list:
         NGram(n=3, inputCol=tok, outputCol=tri),
         _ConcatStage([tok, bi, tri], allg),
         HashingTF(numFeatures=TEXT_FEATURES, inputCol=allg, outputCol=f"{prefix}tf"),
-        IDF(inputCol=f"{prefix}tf", outputCol=f"{prefix}tfidf", minDocFreq=1),
+        IDF(inputCol=f"{prefix}tf", outputCol=f"{prefix}idf", minDocFreq=1),
+        # unit length: a long text is no surer than a short one
+        Normalizer(p=2.0, inputCol=f"{prefix}idf", outputCol=f"{prefix}tfidf"),
     ]
 
 
@@ -173,20 +207,21 @@ class _ConcatStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn(self.getOrDefault(self.outputCol), F.concat(*self.getOrDefault(self.inputCols)))
 
 
-def _text_feature_model(train: DataFrame, text_col: str, label_col: str, nota_col: str | None, prefix: str) -> PipelineModel:
+def _text_feature_model(
+    train: DataFrame, text_col: str, label_col: str, nota_col: str | None, prefix: str, also: DataFrame | None
+) -> PipelineModel:
     stages = [_label_indexer(label_col)] + text_feature_stages(text_col, prefix)
     inputs = [f"{prefix}tfidf"]
     if nota_col:
-        stages += [_category_indexer(nota_col), mp.one_hot_encoder(f"{nota_col}_idx", f"{nota_col}_vec")]
+        stages += [_category_stage(train, nota_col, also), mp.one_hot_encoder(f"{nota_col}_idx", f"{nota_col}_vec")]
         inputs = [f"{nota_col}_vec"] + inputs
     stages += [VectorAssembler(inputCols=inputs, outputCol="features")]
     return Pipeline(stages=stages).fit(train)
 
 
-def _nb(smoothing: float) -> NaiveBayes:
-    # one aggregation pass over the data, whatever its size
-    return NaiveBayes(
-        featuresCol="features", labelCol="label_idx", weightCol="weight", smoothing=smoothing, modelType="multinomial"
+def _regression(reg_param: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="features", labelCol="label_idx", weightCol="weight", regParam=reg_param, maxIter=max_iter, standardization=False
     )
 
 
@@ -195,27 +230,31 @@ def fit_text_classifier(
     text_col: str,
     label_col: str,
     nota_col: str | None = None,
-    smoothing: float = 1.0,
+    reg_param: float = 0.001,
     prefix: str = "",
+    also: DataFrame | None = None,
 ) -> PipelineModel:
-    """M3: (note one-hot +) text n-gram TF-IDF -> multinomial naive Bayes with
-    balanced class weights."""
-    return select_by_macro_f1(train, None, text_col, label_col, (smoothing,), prefix, nota_col)
+    """M3: (note one-hot +) text n-gram TF-IDF -> logistic regression with
+    balanced class weights; ``also``: target rows whose notes get an index."""
+    return select_by_macro_f1(train, None, text_col, label_col, (reg_param,), prefix, nota_col, also)
 
 
 def fit_vector_classifier(
-    train: DataFrame, vec_col: str, label_col: str, nota_col: str | None = None, reg_param: float = 0.01, max_iter: int = 50
+    train: DataFrame,
+    vec_col: str,
+    label_col: str,
+    nota_col: str | None = None,
+    reg_param: float = 0.01,
+    max_iter: int = 50,
+    also: DataFrame | None = None,
 ) -> PipelineModel:
     """M4: (note one-hot +) frozen embedding -> weighted logistic regression."""
     stages = [_label_indexer(label_col)]
     inputs = ["__vec"]
     if nota_col:
-        stages += [_category_indexer(nota_col), mp.one_hot_encoder(f"{nota_col}_idx", f"{nota_col}_vec")]
+        stages += [_category_stage(train, nota_col, also), mp.one_hot_encoder(f"{nota_col}_idx", f"{nota_col}_vec")]
         inputs = [f"{nota_col}_vec"] + inputs
-    stages += [
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label_idx", weightCol="weight", regParam=reg_param, maxIter=max_iter),
-    ]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), _regression(reg_param, max_iter)]
     prepared = _weighted(train, label_col).withColumn("__vec", array_to_vector(F.col(vec_col)))
     return Pipeline(stages=stages).fit(prepared)
 
@@ -237,35 +276,34 @@ def select_by_macro_f1(
     val: DataFrame | None,
     text_col: str,
     label_col: str,
-    smoothings=(1.0, 0.1),
+    reg_params=(0.001, 0.01),
     prefix: str = "",
     nota_col: str | None = None,
+    also: DataFrame | None = None,
+    max_iter: int = 30,
 ) -> PipelineModel:
     """M5: keep the candidate with the best validation macro F1.
 
-    Features are fitted once and persisted (recomputable from lineage if an
-    executor is lost); only the classifier is refitted per candidate.
+    Features are fitted once and written as narrow tables (label, weight,
+    vector); only the classifier is refitted per candidate.
     """
     weighted = _weighted(train, label_col)
-    feats = _text_feature_model(weighted, text_col, label_col, nota_col, prefix)
-    tr = feats.transform(weighted).select("label_idx", "weight", "features").persist()
-    va = feats.transform(val).persist() if val is not None and len(smoothings) > 1 else None
+    feats = _text_feature_model(weighted, text_col, label_col, nota_col, prefix, also)
+    tr = materialize(feats.transform(weighted).select("label_idx", "weight", "features"), "model_features")
+    va = None
+    if val is not None and len(reg_params) > 1:
+        va = materialize(feats.transform(val).select(label_col, "label_idx", "features"), "model_validation")
     best, best_f1 = None, -1.0
-    try:
-        for sm in smoothings:
-            clf = _nb(sm).fit(tr)
-            model = PipelineModel(stages=list(feats.stages) + [clf])
-            if va is None:
-                return model
-            scored = decode_prediction(clf.transform(va), model, "__pred")
-            rep = em.per_class_report(em.confusion_counts(scored, label_col, "__pred"))
-            f1 = em.report_averages(rep).first()["macro_f1"] or 0.0
-            if f1 > best_f1:
-                best, best_f1 = model, f1
-    finally:
-        tr.unpersist()
-        if va is not None:
-            va.unpersist()
+    for reg in reg_params:
+        clf = _regression(reg, max_iter).fit(tr)
+        model = PipelineModel(stages=list(feats.stages) + [clf])
+        if va is None:
+            return model
+        scored = decode_prediction(clf.transform(va), model, "__pred")
+        rep = em.per_class_report(em.confusion_counts(scored, label_col, "__pred"))
+        f1 = em.report_averages(rep).first()["macro_f1"] or 0.0
+        if f1 > best_f1:
+            best, best_f1 = model, f1
     return best
 
 
@@ -315,6 +353,17 @@ def save_model(model: PipelineModel, path: str, classes: DataFrame, meta: dict |
     ).json(f"{path}/meta")
 
 
+def fit_or_load(
+    spark: SparkSession, path: str, classes: DataFrame, meta: dict, fit: Callable[[], PipelineModel]
+) -> PipelineModel:
+    """M8 in the training flow: a compatible saved model, else a new one, saved."""
+    model = load_if_compatible(spark, path, classes, meta)
+    if model is None:
+        model = fit()
+        save_model(model, path, classes, meta)
+    return model
+
+
 def load_if_compatible(spark: SparkSession, path: str, classes: DataFrame, meta: dict | None = None) -> PipelineModel | None:
     """M8: reuse a saved model only if its class table has the same contents
     (not just the same size) and the same metadata; else None (retrain)."""

@@ -1,11 +1,18 @@
-"""Registered model queries (training + inference). Model outputs cannot be
-matched value-for-value across libraries, so these have no oracle SQL: the
-driver checks rows only; tests check the contracts."""
+"""Registered model queries (training + inference).
+
+Predicted values cannot be matched across libraries, so the queries that return
+them have no oracle SQL. Each has a contract query beside it that does: one row
+per row to predict, with what must hold of it (a known class, probabilities that
+sum to 1, a review flag that says confidence < 0.6, kept rows unchanged).
+Training runs jobs while the query is built.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
 from cometa.operators import models as md
 from cometa.operators.embed_cache import embed_with_cache
@@ -21,20 +28,46 @@ def rf_predict(spark, sf_dir):
     return out.select("k", "nota", "comentario", F.col("analise_previa").alias("analise"), "origin")
 
 
-def _train_val(spark, sf_dir, label_col="label"):
-    d = docs(spark, sf_dir)
-    train_all, todo = mp.split_labelled(d, label_col)
-    kept = mp.drop_rare_classes(train_all, label_col)
-    split = materialize(mp.stratified_split(kept, label_col, "doc_id", train_share=0.8, seed=42), "text_split")
-    return split.where("split = 'train'"), split.where("split = 'val'"), todo
+def rf_contract(spark, sf_dir):
+    """M1/M2 contract: every row once; a kept label is unchanged, a filled one is a class of training."""
+    classes = aud(spark, sf_dir).where(F.col("analise_previa").isNotNull()).select(F.col("analise_previa").alias("analise")).distinct()
+    rows = rf_predict(spark, sf_dir).join(classes.withColumn("known", F.lit(True)), "analise", "left")
+    kept = F.when(F.col("origin") == "kept", F.col("analise"))
+    return rows.select("k", "nota", "comentario", "origin", kept.alias("kept_label"), F.coalesce("known", F.lit(False)).alias("known_class"))
 
 
-def text_predict(spark, sf_dir):
-    """M3 + M7: source + text n-grams -> class of unlabelled documents."""
-    train, _val, todo = _train_val(spark, sf_dir)
-    model = md.fit_text_classifier(train, "text", "label", nota_col="source")
-    out = md.decode_prediction(model.transform(todo), model, "pred_label")
-    return out.select(
+def _text_docs(spark, sf_dir) -> DataFrame:
+    """Documents with the text cast that training uses (a null text is 'nan')."""
+    return docs(spark, sf_dir).withColumn("text", mp.as_text(F.col("text")))
+
+
+def _train_val(d: DataFrame, label_col: str, share: float, name: str) -> tuple[DataFrame, DataFrame]:
+    kept = mp.drop_rare_classes(d, label_col)
+    split = materialize(mp.stratified_split(kept, label_col, "doc_id", train_share=share, seed=42), name)
+    return split.where("split = 'train'"), split.where("split = 'val'")
+
+
+def _text_model(spark, sf_dir):
+    train_all, todo = mp.split_labelled(_text_docs(spark, sf_dir), "label")
+    train, val = _train_val(train_all, "label", 0.8, "text_split")
+    return md.fit_text_classifier(train, "text", "label", nota_col="source", also=todo), val, todo
+
+
+def _embedding_model(spark, sf_dir):
+    emb = embed_with_cache(_text_docs(spark, sf_dir), "text", shared_path(spark, "embedding_cache"))
+    train_all, todo = mp.split_labelled(emb, "label")
+    train, val = _train_val(train_all, "label", 0.8, "embedding_split")
+    model = md.fit_vector_classifier(train, "embedding", "label", nota_col="source", also=todo)
+    return model, md.vectorize(val, "embedding"), md.vectorize(todo, "embedding")
+
+
+def _predicted(model, todo) -> DataFrame:
+    return md.decode_prediction(model.transform(todo), model, "pred_label", total_col="total")
+
+
+def _prediction(spark, sf_dir, fit) -> DataFrame:
+    model, _, todo = fit(spark, sf_dir)
+    return _predicted(model, todo).select(
         "doc_id",
         F.col("pred_label").alias("label"),
         F.col("confidence").alias("confianca_previsao"),
@@ -42,55 +75,113 @@ def text_predict(spark, sf_dir):
     )
 
 
-def embedding_predict(spark, sf_dir):
-    """M4 + J2/E6: source + cached text embedding -> class."""
-    d = docs(spark, sf_dir)
-    cache = shared_path(spark, "embedding_cache")
-    emb = embed_with_cache(d, "text", cache)
-    train, todo = mp.split_labelled(emb, "label")
-    # written once: class weights and the classifier read it instead of
-    # recomputing the scan, the label join and the cache join
-    train = materialize(mp.drop_rare_classes(train, "label"), "embedding_train")
-    model = md.fit_vector_classifier(train, "embedding", "label", nota_col="source")
-    out = md.decode_prediction(model.transform(md.vectorize(todo, "embedding")), model, "pred_label")
+def _contract(spark, sf_dir, fit) -> DataFrame:
+    model, _, todo = fit(spark, sf_dir)
+    trained = mp.class_support(docs(spark, sf_dir), "label").where(F.col("n") >= 2)
+    classes = trained.select(F.col("label").alias("pred_label"), F.lit(True).alias("known"))
+    out = _predicted(model, todo).join(classes, "pred_label", "left")
     return out.select(
         "doc_id",
-        F.col("pred_label").alias("label"),
-        F.col("confidence").alias("confianca_previsao"),
-        F.col("review").alias("revisar_manualmente"),
+        F.coalesce("known", F.lit(False)).alias("known_class"),
+        (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("review") == (F.col("confidence") < em.REVIEW_THRESHOLD)).alias("flag_is_threshold"),
     )
 
 
-def two_stage_infer(spark, sf_dir):
-    """M5 + M10: stage 1 text -> source class; stage 2 (class, text) -> OK or
-    TOX; run on unlabelled documents."""
-    d = docs(spark, sf_dir)
-    lab, todo = mp.split_labelled(d, "label")
+def text_predict(spark, sf_dir):
+    """M3 + M7: source + text n-grams -> class of unlabelled documents."""
+    return _prediction(spark, sf_dir, _text_model)
+
+
+def embedding_predict(spark, sf_dir):
+    """M4 + J2/E6: source + cached text embedding -> class."""
+    return _prediction(spark, sf_dir, _embedding_model)
+
+
+def text_contract(spark, sf_dir):
+    return _contract(spark, sf_dir, _text_model)
+
+
+def embedding_contract(spark, sf_dir):
+    return _contract(spark, sf_dir, _embedding_model)
+
+
+def text_report(spark, sf_dir):
+    """A12 of M3 on its held-out split, by class."""
+    model, val, _ = _text_model(spark, sf_dir)
+    return md.evaluate(model, val, "label")[0]
+
+
+def text_history(spark, sf_dir):
+    """M9 of M3: the objective by iteration."""
+    return md.training_history(_text_model(spark, sf_dir)[0])
+
+
+def embedding_join(spark, sf_dir):
+    """Every document with whether it has a vector, and of length 1."""
+    emb = embed_with_cache(docs(spark, sf_dir), "text", shared_path(spark, "embedding_cache"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return emb.select("doc_id", F.col("embedding").isNotNull().alias("has_vector"), F.round(norm, 3).alias("norm"))
+
+
+def _two_stages(spark, sf_dir):
+    """M5: stage 1 text -> source class; stage 2 (class, text) -> OK or TOX,
+    trained on the column that inference builds."""
+    lab, todo = mp.split_labelled(_text_docs(spark, sf_dir), "label")
     lab = lab.withColumn("sigla", F.when(F.col("toxic") == 1, "TOX").otherwise("OK"))
-    s1_split = materialize(mp.stratified_split(lab, "source", "doc_id", 0.85, seed=42), "stage1_split")
-    stage1 = md.select_by_macro_f1(
-        s1_split.where("split = 'train'"), s1_split.where("split = 'val'"), "text", "source", prefix="s1"
-    )
-    ctx = lab.withColumn("ctx", mp.stage2_text(F.col("source"), F.col("text")))
-    s2_split = materialize(mp.stratified_split(ctx, "sigla", "doc_id", 0.85, seed=42), "stage2_split")
-    stage2 = md.select_by_macro_f1(
-        s2_split.where("split = 'train'"), s2_split.where("split = 'val'"), "ctx", "sigla", prefix="s2"
-    )
-    stage2 = _rebind_text(stage2, "__ctx")
+    ctx = lab.withColumn("__ctx", mp.stage2_text(F.col("source"), F.col("text")))
+    s1_train, s1_val = _train_val(lab, "source", 0.85, "stage1_split")
+    s2_train, s2_val = _train_val(ctx, "sigla", 0.85, "stage2_split")
+    stage1 = md.select_by_macro_f1(s1_train, s1_val, "text", "source", prefix="s1")
+    stage2 = md.select_by_macro_f1(s2_train, s2_val, "__ctx", "sigla", prefix="s2")
+    return stage1, stage2, todo
+
+
+def two_stage_infer(spark, sf_dir):
+    """M5 + M10 on unlabelled documents."""
+    stage1, stage2, todo = _two_stages(spark, sf_dir)
     return md.two_stage_infer(todo.select("doc_id", "text"), "text", stage1, stage2)
 
 
-def _rebind_text(model, col):
-    """Point the first stage of a text pipeline at another input column."""
-    for st in model.stages:
-        if isinstance(st, md._TokenStage):
-            st._set(inputCol=col)
-    return model
+def two_stage_contract(spark, sf_dir):
+    """M10 contract: one row per unlabelled document; codes of the alphabet; confidences in range."""
+    out = two_stage_infer(spark, sf_dir)
+    sure = [F.col(c).between(0, 1) for c in ("confianca_classificacao", "confianca_sigla")]
+    low = F.least("confianca_classificacao", "confianca_sigla")
+    # the flag compares before rounding to 3 places
+    flag = F.when(F.col("revisar_manualmente"), low <= em.REVIEW_THRESHOLD).otherwise(low >= em.REVIEW_THRESHOLD)
+    return out.select(
+        "doc_id",
+        F.col("sigla").isin("OK", "TOX").alias("known_code"),
+        F.col("classificacao").isNotNull().alias("has_class"),
+        (sure[0] & sure[1]).alias("in_range"),
+        flag.alias("flag_is_threshold"),
+    )
 
 
 QUERIES = {
     "rf_predict": rf_predict,
+    "rf_contract": rf_contract,
     "text_predict": text_predict,
+    "text_contract": text_contract,
+    "text_report": text_report,
+    "text_history": text_history,
     "embedding_predict": embedding_predict,
+    "embedding_contract": embedding_contract,
+    "embedding_join": embedding_join,
     "two_stage_infer": two_stage_infer,
+    "two_stage_contract": two_stage_contract,
 }
+
+_TODO = "FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
+
+
+def oracles(audit_table: str) -> dict[str, str]:
+    return {
+        "rf_contract": f"""SELECT k, nota, comentario, CASE WHEN analise_previa IS NULL THEN 'filled' ELSE 'kept' END AS origin,
+            analise_previa AS kept_label, true AS known_class FROM ({audit_table})""",
+        "text_contract": f"SELECT doc_id, true AS known_class, true AS sums_to_one, true AS flag_is_threshold {_TODO}",
+        "embedding_contract": f"SELECT doc_id, true AS known_class, true AS sums_to_one, true AS flag_is_threshold {_TODO}",
+        "embedding_join": "SELECT doc_id, text IS NOT NULL AS has_vector, CASE WHEN text IS NOT NULL THEN 1.0::DOUBLE END AS norm FROM documents",
+        "two_stage_contract": f"SELECT doc_id, true AS known_code, true AS has_class, true AS in_range, true AS flag_is_threshold {_TODO}",
+    }

@@ -149,3 +149,69 @@ def test_streaming_default_checkpoint_under_shared_dir(spark, tmp_path):
 
     base = ensure_checkpoint_dir(spark).replace("file:", "")
     assert any(n.startswith("audit_stream_") for n in os.listdir(base))
+
+
+def test_files_are_matched_by_name(spark, tmp_path):
+    """Swapped, missing and extra columns, an excluded first file, and a path with a space."""
+    from cometa.sources.csv_audit import read_train_and_target, read_training_csvs
+
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "a AGO X.csv").write_text("A;B;C\n1;2;3\n", encoding="utf-8")
+    (folder / "b.csv").write_text("Nota leit;Coment;Data\nB111;um;d1\n", encoding="utf-8")
+    (folder / "c.csv").write_text("Data;Coment;Extra;Nota leit\nd2;dois;e;P111\n", encoding="utf-8")
+    (folder / "d.csv").write_text("Nota leit\nP131\n", encoding="utf-8")
+    df = read_training_csvs(spark, f"{folder}/*.csv", exclude=["AGO X"])
+    got = {(r.Nota_leit, r.Coment, r.Data, r.Extra) for r in df.collect()}
+    assert got == {("B111", "um", "d1", None), ("P111", "dois", "d2", "e"), ("P131", None, None, None)}
+    with pytest.raises(ValueError):
+        read_training_csvs(spark, f"{folder}/*.csv", exclude=["with space"])
+    both = read_train_and_target(spark, f"{folder}/b.csv", f"{folder}/c.csv")
+    assert {(r.Nota_leit, r.part) for r in both.collect()} == {("B111", "train"), ("P111", "target")}
+
+
+def test_date_is_mandatory_where_asked(spark, tmp_path):
+    from cometa.sources.csv_audit import read_audit_csv
+
+    p = tmp_path / "x.csv"
+    p.write_text("Nota leit;Coment\nB111;um\n", encoding="utf-8")
+    assert read_audit_csv(spark, str(p)).count() == 1
+    with pytest.raises(KeyError):
+        read_audit_csv(spark, str(p), date_required=True)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_statistics_agree_with_quoted_newlines(spark, tmp_path, fmt):
+    p = tmp_path / "q.csv"
+    p.write_text('"Nota\nleit";Comentleitura;Data\nC111;"linha um\nlinha dois";d\nC111;texto;d\n', encoding="utf-8")
+    run = run_audit(spark, str(p), str(tmp_path / f"out_{fmt}"), fmt=fmt)
+    assert run.run_log.first()["total_rows"] == 2
+    assert {r[ANALYSIS]: r["n"] for r in run.distribution.collect()} == {"C": 2}
+
+
+def test_stream_equals_batch_on_a_header_with_a_newline(spark, tmp_path):
+    from cometa.plans.audit_job import prepare
+    from cometa.operators.validate import audit
+    from cometa.sources.csv_audit import read_audit_csv
+    from cometa.streaming.audit_stream import start_audit_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "q.csv").write_text('"Nota\nleit";Comentleitura;Data\nC111;"um\ndois";d\nB111;x;d\n', encoding="utf-8")
+    query = start_audit_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    query.awaitTermination(120)
+    df, nota, comment = prepare(read_audit_csv(spark, str(folder)))
+    batch = audit(df, comment_col=comment, nota_col=nota, analysis_col=ANALYSIS)
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, streamed.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize(
+    "raw,once,twice",
+    [(" Nota leit ", "Nota_leit", "Nota_leit"), ("A.B\r\nC", "ABC", "ABC"), ("x \n", "x", "x"), ("\n y\n .z", "y_z", "y_z"), ("a\r b", "a_b", "a_b")],
+)
+def test_header_clauses(raw, once, twice):
+    from cometa.sources.csv_audit import normalize_header
+
+    assert normalize_header(raw) == once
+    assert normalize_header(raw, legacy_double_strip=True) == twice

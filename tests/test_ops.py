@@ -295,3 +295,78 @@ def test_filters_reach_the_scan_through_the_spread(spark):
     scan = spark.read.parquet(f"{SF001}/lineitem.parquet")
     plan = _plan(spread_for_cpu(scan).where(F.col("l_quantity") > 10).select("l_orderkey"))
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
+
+
+def test_forest_takes_a_hundred_notes_and_tells_comments_apart(spark):
+    from cometa.operators import models as md
+
+    df = spark.range(600).select(
+        F.concat(F.lit("n"), F.col("id") % 100).alias("nota"),
+        F.concat(F.lit("c"), F.col("id")).alias("comentario"),
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 100 < 50, "A").otherwise("B").alias("y"),
+    )
+    out = md.forest_fill(df, "nota", "comentario", "y", trees=5, max_depth=8)
+    assert out.count() == 600 and out.where(F.col("y").isNull()).count() == 0
+    coded = md.with_comment_code(spark.range(200_000).select(F.col("id").cast("string").alias("c")), "c")
+    assert coded.select(*md.COMMENT_CODES).distinct().count() == 200_000
+
+
+def test_text_confidence_is_usable(spark):
+    """Confidences are spread, not saturated at 1."""
+    from cometa.plans import model_queries as mq
+
+    model, _, todo = mq._text_model(spark, SF001)
+    c = [r.confidence for r in mq._predicted(model, todo).collect()]
+    assert sum(x > 0.99 for x in c) < 0.1 * len(c) and max(c) - min(c) > 0.2
+
+
+def test_saved_model_is_reused(spark, tmp_path):
+    from cometa.operators import models as md
+    from cometa.plans.ml_queries import labelled
+
+    lab = labelled(spark, SF001).select("text", "label")
+    classes, calls = mp.class_table(lab, "label"), []
+
+    def fit():
+        calls.append(1)
+        return md.fit_text_classifier(lab, "text", "label")
+
+    for _ in range(2):
+        md.fit_or_load(spark, str(tmp_path / "model"), classes, {"v": 1}, fit)
+    assert len(calls) == 1
+
+
+def test_embedding_of_null_and_hot_texts(spark, tmp_path):
+    from cometa.operators.embed_cache import embed_with_cache
+
+    rows = [(k, "same text here") for k in range(300)] + [(k, None) for k in range(300, 600)] + [(k, f"text {k}") for k in range(600, 650)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    out = embed_with_cache(df, "text", str(tmp_path / "cache"))
+    assert out.count() == 650 and out.where(F.col("embedding").isNull()).count() == 300
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # the vectors are a plain table, so a hot text can be split
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cometa.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_audit_builders_run_no_job(spark):
+    import __spark_entry__ as e
+    from cometa.plans.audit_queries import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    scan = {n: None for n in QUERIES}
+    spark.read.parquet(f"{SF001}/lineitem.parquet")  # its footer read may be a job
+    for name in scan:
+        before = len(tracker.getJobIdsForGroup(None))
+        e.queries()[name](spark, SF001)
+        # reading a Parquet schema is the only job that a builder may start
+        assert len(tracker.getJobIdsForGroup(None)) - before <= 1, name
