@@ -322,3 +322,28 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
 
 def query(docs: DataFrame) -> DataFrame:
     return join(docs)
+
+
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS} + 1, 1) + 1)) AS i FROM w WHERE len(ws) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {WORDS} - 1), ' ') AS s FROM starts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE m * (1 + {THRESHOLD}) >= {THRESHOLD} * (x.n + y.n) - 1e-9
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), class AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM class LEFT JOIN degree USING (doc_id)
+"""

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cometa.llm import repeats
+from cometa.llm.common import WORD
 from cometa.llm.repeats import BYTE_CODE, Rolling, Rule, Units, scramble
 
 LENGTH = 35
@@ -116,3 +117,26 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, blocks: int =
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs)
+
+
+SQL = f"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), starts AS (
+  SELECT r, ws, unnest(range(1, len(ws) - {LENGTH} + 2)) AS i FROM w
+), keyed AS (
+  SELECT r, i, md5(array_to_string(list_slice(ws, i, i + {LENGTH} - 1), ' ')) AS phrase FROM starts
+), tied AS (
+  SELECT r, i FROM keyed QUALIFY count(*) OVER (PARTITION BY phrase) > 1
+), words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), judged AS (
+  SELECT words.r, word, p,
+    coalesce(max(i) OVER (PARTITION BY words.r ORDER BY p) > p - {LENGTH}, false) AS gone
+  FROM words LEFT JOIN tied ON words.r = tied.r AND words.p = tied.i
+), kept AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""

@@ -36,6 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_dedup_suffixes": suffix_dedup.SQL,
+    "op6_join_jaccard": chosen_path.SQL,
+    "op9_dedup_phrases": phrase_dedup.SQL,
     "op4_search_hamming": hamming_search.SQL,
     "op7_mix_sources": mixing.SQL,
 }

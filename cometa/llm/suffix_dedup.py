@@ -92,3 +92,31 @@ def dedup(docs: DataFrame, length: int = LENGTH, order: int = ORDER, blocks: int
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs)
+
+
+# Bytes as pairs of hexadecimal digits, so that offsets are bytes.
+SQL = f"""
+WITH b AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), starts AS (
+  SELECT r, x, unnest(range(0, length(x) // 2 - {LENGTH} + 1)) AS i FROM b
+), keyed AS (
+  SELECT r, i, md5(substring(x, 2 * i + 1, {2 * LENGTH})) AS k FROM starts
+), tied AS (
+  SELECT r, i FROM keyed QUALIFY count(*) OVER (PARTITION BY k) > 1
+), runs AS (
+  SELECT r, i, i - {LENGTH} > lag(i) OVER (PARTITION BY r ORDER BY i) OR lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL AS head FROM tied
+), spans AS (
+  SELECT r, run, min(i) AS start, max(i) + {LENGTH} AS stop
+  FROM (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM runs) GROUP BY r, run
+), gaps AS (
+  SELECT r, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS since FROM spans
+), cut AS (
+  SELECT gaps.r, string_agg(substring(x, 2 * since + 1, 2 * (start - since)), '' ORDER BY start) AS kept,
+    max(stop) AS stop, sum(stop - start) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN b USING (r) GROUP BY gaps.r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN cut USING (r)
+"""
