@@ -157,18 +157,20 @@ def leaves(records: DataFrame, threshold: float, runs: int) -> DataFrame:
     return save(out.join(once, "path", "left_semi"), "path_leaves")
 
 
-def pivot_rows(keys: list[bytes], tokens: np.ndarray, close: float, link: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """((record, pivot) of records near a pivot, the pivots)."""
-    rest, edges, pivots = np.argsort(np.array(keys, dtype=object), kind="stable"), [], []
-    everyone = rest
+def pivot_rows(keys: list[bytes], tokens: np.ndarray, close: float, link: float) -> tuple[np.ndarray, list[int]]:
+    """(the member that names each record's cluster, the pivots). Records near one pivot are one cluster."""
+    rest, pivots = np.argsort(np.array(keys, dtype=object), kind="stable"), []
+    root = np.empty(len(rest), dtype=np.int64)
+    root[rest] = np.arange(len(rest))  # by place in the order of keys
+    order = rest
     while len(rest):
         p = int(rest[0])
         pivots.append(p)
-        near = (tokens[everyone] == tokens[p]).mean(axis=1)
-        edges += [(int(i), p) for i in everyone[near >= link] if i != p]
+        near = np.unique(root[(tokens == tokens[p]).mean(axis=1) >= link])
+        root[np.isin(root, near)] = near[0]
         rest = rest[1:]
         rest = rest[(tokens[rest] == tokens[p]).mean(axis=1) < close]
-    return edges, pivots
+    return order[root], pivots
 
 
 def clusters(records: DataFrame, leaf: DataFrame) -> DataFrame:
@@ -181,11 +183,12 @@ def clusters(records: DataFrame, leaf: DataFrame) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             keys = table.column("key").to_pylist()
             rows = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            edges, pivots = pivot_rows(keys, rows, close, link)
-            a = [keys[i] for i, _ in edges] + [keys[p] for p in pivots]
-            b = [keys[p] for _, p in edges] + [keys[p] for p in pivots]
-            n = len(a)
-            return pa.table({"path": pa.array([table.column("path")[0].as_py()] * n, pa.int64()), "n": pa.array([table.column("n")[0].as_py()] * n, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            root, pivots = pivot_rows(keys, rows, close, link)
+            path, n = table.column("path")[0].as_py(), table.column("n")[0].as_py()
+            # a row joins each record to its cluster; where other blocks hold records of the leaf, each pivot has a row (itself twice)
+            out = [(k, keys[r]) for k, r in zip(keys, root) if k != keys[r]] + [(keys[p], keys[p]) for p in pivots if n > BLOCK]
+            a, b = zip(*out) if out else ((), ())
+            return pa.table({"path": pa.array([path] * len(a), pa.int64()), "n": pa.array([n] * len(a), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
         return run
 
