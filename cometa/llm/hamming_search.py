@@ -15,7 +15,8 @@ the map side), so one vector held by a third of all rows is one code: an answer
 never needs more than k ids of one code. As segments widen with the logarithm of
 the rows, a probe meets about one code. Probes and candidates are joined by
 (segment, value) in shuffles that Spark may split where a value is frequent; the
-driver only counts open queries. Every step's best neighbours are a written table.
+driver only asks whether queries are left. Every step's state is a written table,
+and nothing is broadcast.
 
 Ties in distance go to the smaller id. Defined results: a row counts as its own
 neighbour, as queries run against all rows; rows with a null vector or id are
@@ -67,10 +68,12 @@ def masks(width: int, weight: int) -> Column:
     return F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(width), weight)])
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest (distance, id) of each query code."""
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def nearest(found: DataFrame, k: int, radius: int) -> DataFrame:
+    """The k nearest (distance, id) of each query code; closed: the k-th is within the radius."""
+    own = W.partitionBy("query")
+    best = found.withColumn("rank", F.row_number().over(own.orderBy("distance", "id"))).where(F.col("rank") <= k)
+    kth = F.max(F.when(F.col("rank") == k, F.col("distance"))).over(own)
+    return best.withColumn("closed", F.coalesce(kth <= radius, F.lit(False)))
 
 
 def step(queries: DataFrame, codes: DataFrame, bounds: list[tuple[int, int]], s: int, segments: list[int]) -> DataFrame:
@@ -89,7 +92,7 @@ def step(queries: DataFrame, codes: DataFrame, bounds: list[tuple[int, int]], s:
     for j in segments[1:]:
         probe, table = probe.unionByName(probes(j)), table.unionByName(index(j))
     apart = F.zip_with("query", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    pairs = probe.join(table, ["segment", "value"]).select("query", "segment", "ids", apart.alias("apart"))
+    pairs = probe.join(table.hint("merge"), ["segment", "value"]).select("query", "segment", "ids", apart.alias("apart"))
     before = [(F.get("apart", F.lit(i)) > s) | (F.col("segment") <= i) for i in range(m)]
     after = [(F.get("apart", F.lit(i)) >= s) | (F.col("segment") >= i) for i in range(m)]
     first = F.lit(True)
@@ -114,31 +117,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "
     codes = save(own.groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids")), "hamming_codes")
     asked = save(coded(queries).distinct(), "hamming_queries")
 
-    left = asked.select(F.col("code").alias("query")).distinct()
-    open_queries = left.count()
+    left = save(asked.select(F.col("code").alias("query")).distinct(), "hamming_open")
     m, widest = len(bounds), max(b - a for a, b in bounds)
     steps = [(s, list(range(m))) for s in (0, 1)] + [(s, [j]) for s in range(2, widest + 1) for j in range(m)]
-    best, closed = None, []
+    best, answers = None, None
     for s, segments in steps:
         found = step(left, codes, bounds, s, segments)
         if best is not None:
-            found = found.unionByName(best.join(left, "query", "left_semi").select("query", "distance", "id"))
-        best = save(nearest(found, k), "hamming_best")
-        radius = m * s + segments[-1]
-        done = best.where((F.col("rank") == k) & (F.col("distance") <= radius)).select("query")
-        closed.append(best.join(done, "query", "left_semi"))
-        open_queries -= done.count()
-        if not open_queries:
+            found = found.unionByName(best.where(~F.col("closed")).select("query", "distance", "id"))
+        best = save(nearest(found, k, m * s + segments[-1]), "hamming_best")
+        closed = best.where("closed")
+        answers = closed if answers is None else answers.unionByName(closed)
+        left = save(left.join(closed.select("query").hint("merge"), "query", "left_anti"), "hamming_open")
+        if left.isEmpty():
             break
-        left = left.join(done, "query", "left_anti")
     else:  # every value of every segment was probed: fewer than k ids
-        closed.append(best.join(left, "query", "left_semi"))
-    answers = closed[0]
-    for more in closed[1:]:
-        answers = answers.unionByName(more)
-    return asked.join(answers.withColumnRenamed("id", "neighbor"), asked["code"] == answers["query"]).select(
-        F.col("id").alias("query_id"), "rank", F.col("neighbor").alias("neighbor_id"), "distance"
-    )
+        answers = answers.unionByName(best.where(~F.col("closed")))
+    own = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+    return own.join(answers.hint("merge"), "query").select("query_id", "rank", F.col("id").alias("neighbor_id"), "distance")
 
 
 def query(vectors: DataFrame) -> DataFrame:
