@@ -80,7 +80,7 @@ def seeds_within(seed: int, reach: int):
 
 def rule(length: int = LENGTH, seed: int = SEED) -> Rule:
     reach = length - seed + 1
-    return Rule(length, seed, reach, units, seeds_within(seed, reach), 2 / (reach + 1) / 6)
+    return Rule(length, seed, reach, units, seeds_within(seed, reach), 1 / 6, 2 / (reach + 1) / 6)
 
 
 def factors(indexed: np.ndarray, length: int) -> list[tuple[int, int]]:

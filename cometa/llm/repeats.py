@@ -101,7 +101,8 @@ class Units:
 class Rule:
     """W units a window, seeds of ``seed`` units within ``reach`` units of a window's start (seed + reach - 1 = W).
 
-    units: of a chunk's bytes and text bounds; seeds: positions in the units that may serve as seeds.
+    units: of a chunk's bytes and text bounds; seeds: positions in the units that may serve as seeds;
+    units_a_byte and seeds_a_byte: about how many there are, for the number of buckets.
     """
 
     window: int
@@ -109,7 +110,8 @@ class Rule:
     reach: int
     units: Callable[[np.ndarray, np.ndarray], Units]
     seeds: Callable[[Units], np.ndarray]
-    density: float
+    units_a_byte: float
+    seeds_a_byte: float
 
 
 @dataclass
@@ -267,7 +269,7 @@ def bits_for(keys: float) -> int:
 def covered(packed: DataFrame, rule: Rule, judge: Callable[[dict, Units, np.ndarray], pa.RecordBatch], schema: str, blocks: int) -> DataFrame:
     """Run the three steps over a table of ``chunks``; judge makes the rows of a chunk from its units and tied window starts."""
     total = packed.agg(F.sum(F.element_at("bounds", -1))).first()[0] or 0
-    seed_bits, window_bits = bits_for(total * rule.density), bits_for(total * rule.density / 2 * rule.reach)
+    seed_bits, window_bits = bits_for(total * rule.seeds_a_byte), bits_for(total * rule.units_a_byte)
     window_bits = min(max(window_bits, int(blocks).bit_length()), 30)
     sent = "chunk long, bucket int, data binary"
 

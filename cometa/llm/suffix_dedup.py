@@ -67,7 +67,7 @@ def rule(length: int = LENGTH, order: int = ORDER) -> Rule:
         own = np.arange(u.bounds[-1]) - np.repeat(u.bounds[:-1], np.diff(u.bounds))
         return np.flatnonzero(inside[own % v])
 
-    return Rule(length, length - v + 1, v, units, seeds, len(residues) / v)
+    return Rule(length, length - v + 1, v, units, seeds, 1.0, len(residues) / v)
 
 
 def judge(length: int):
