@@ -1,8 +1,8 @@
 """Quality rules: base rules, then robust multivariate outliers by language and source.
 
 Each whole text gives exact counts. The documents that pass the base rules are
-grouped by language and source, and every group gets a minimum covariance
-determinant (MCD) estimate of five transformed statistics: log words, log
+grouped by language and source, and every group of ``LEAST_ROWS`` or more gets a
+minimum covariance determinant (MCD) estimate of five transformed statistics: log words, log
 characters per word, and the square roots of symbols per character, repeated
 lines per word and repeated words per word. Concentration steps run over all
 rows of all groups together: with the current centre and covariance every row
@@ -11,6 +11,11 @@ the smallest distances gives the next centre and covariance. The start is the
 group's medians and quartile ranges. After ``STEPS`` steps comes the usual
 reweighting step, and a row whose distance passes ``CUTOFF`` is rejected.
 
+A smaller group is judged by an estimate of the same kind pooled over all passing
+rows of its language, or, where its language has fewer than ``LEAST_ROWS`` passing
+rows, over all passing rows of the table, however few. So every row that passes
+the base rules has a distance.
+
 Scale: the texts are read once, in Arrow batches, and the statistics are
 written; each step is one aggregation of that narrow table by (group, distance
 bin), combined before the shuffle, so a source that holds a third of all rows
@@ -22,9 +27,8 @@ A floor on the covariance (``FLOOR``, in transformed units) keeps groups apart
 whose statistics hardly vary, such as a source without symbols.
 
 Defined results: a null or empty text has no words, and fails the base rules; a
-null language or source is a group of its own; a group of fewer than
-``LEAST_ROWS`` passing rows has no estimate and rejects nothing; repeated rows
-count as often as they stand; an empty table gives an empty result. Only the
+null language or source is a group of its own, and a null language a language;
+repeated rows count as often as they stand; an empty table gives an empty result. Only the
 named columns of the input are read.
 """
 
@@ -50,6 +54,7 @@ SUBSET_FACTOR, REWEIGHT_FACTOR, REWEIGHT_AT, CUTOFF = 1.4120710601890483, 1.0555
 STATS = ["x1", "x2", "x3", "x4", "x5"]
 FLOOR = [0.2, 0.1, 0.04, 0.06, 0.12]
 BINS, PER_OCTAVE, LOWEST = 960, 32, -10
+EVERYTHING = "A"  # the pool of all rows
 PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -127,7 +132,21 @@ def with_statistics(counted: DataFrame) -> DataFrame:
     }
     failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
     part = [F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), c)) for c in ("lang", "source")]
-    return counted.withColumns(x | {"base_failed": failed, "part": F.concat_ws("\x01", *part)})
+    return counted.withColumns(x | {"base_failed": failed, "part": F.concat_ws("\x01", *part), "language": F.concat(F.lit("L"), part[0])})
+
+
+def judged_by(passed: DataFrame) -> DataFrame:
+    """part and used: the group, language or whole table whose estimate judges the group."""
+    groups = passed.groupBy("part", "language").agg(F.count("*").alias("rows"))
+    languages = groups.groupBy("language").agg(F.sum("rows").alias("language_rows"))
+    used = F.when(F.col("rows") >= LEAST_ROWS, F.col("part")).when(F.col("language_rows") >= LEAST_ROWS, F.col("language")).otherwise(EVERYTHING)
+    return groups.join(languages, "language").select("part", used.alias("used"))
+
+
+def members(passed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every passing row once for each estimate that it belongs to, its group's and the pools', as far as they are used."""
+    wanted = groups.select(F.col("used").alias("part")).distinct()
+    return passed.select(F.explode(F.array("part", "language", F.lit(EVERYTHING))).alias("part"), *STATS).join(wanted, "part", "left_semi")
 
 
 def distance() -> Column:
@@ -142,7 +161,7 @@ def distance() -> Column:
 def first_estimate(rows: DataFrame) -> DataFrame:
     """Medians, and quartile ranges as independent scales."""
     wanted = [F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in STATS]
-    own = rows.groupBy("part").agg(F.count("*").alias("rows"), *wanted).where(F.col("rows") >= LEAST_ROWS)
+    own = rows.groupBy("part").agg(*wanted)
     scale = {x: F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(STATS, FLOOR)}
     inverse = [1.0 / (scale[STATS[i]] * scale[STATS[j]]) if i == j else F.lit(0.0) for i, j in PAIRS]
     return own.select("part", F.array(*[F.get(x, F.lit(1)) for x in STATS]).alias("centre"), F.array(*inverse).alias("inverse"))
@@ -177,15 +196,18 @@ def next_estimate(rows: DataFrame, estimate: DataFrame, last: bool) -> DataFrame
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null without an estimate) and kept."""
+    """doc_id, the counts, base_failed, distance (null if base_failed) and kept."""
     rows = save(with_statistics(count_statistics(docs)), "quality_statistics")
     passed = rows.where(~F.col("base_failed"))
-    estimate = save(first_estimate(passed), "quality_estimate")
+    groups = save(judged_by(passed), "quality_groups")
+    pooled = save(members(passed, groups), "quality_members")
+    estimate = save(first_estimate(pooled), "quality_estimate")
     for step in range(STEPS + 1):
-        estimate = save(next_estimate(passed, estimate, step == STEPS), "quality_estimate")
+        estimate = save(next_estimate(pooled, estimate, step == STEPS), "quality_estimate")
+    own = save(groups.join(estimate.withColumnRenamed("part", "used"), "used"), "quality_estimate")
     far = F.when(~F.col("base_failed"), distance())
-    judged = rows.join(estimate, "part", "left").withColumn("distance", far)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+    judged = rows.join(own, "part", "left").withColumn("distance", far)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
 
 
 def query(docs: DataFrame) -> DataFrame:

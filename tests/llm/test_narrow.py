@@ -162,6 +162,27 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[2000 + k].kept and got[2000 + k].distance is None for k in range(20))  # too few for an estimate
 
 
+def test_quality_judges_small_groups_by_pools(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def clean():
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300)))
+
+    def ridden():
+        return " ".join(f"#w%{rng.randrange(5000)}$" for _ in range(150))
+
+    rows = [(k, clean(), "en", "s") for k in range(200)]
+    rows += [(1000 + k, clean(), "en", f"tail{k % 10}") for k in range(40)]  # judged by their language
+    rows += [(2000 + k, clean(), "xx", "few") for k in range(10)]  # by all rows
+    rows += [(3000 + k, ridden(), ["en", "xx", None][k % 3], ["tail1", "few", None][k % 3]) for k in range(9)]
+    got = {r.doc_id: r for r in quality.query(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert [k for k in got if k < 3000 and not got[k].kept] == []
+    assert [k for k in got if k >= 3000 and got[k].kept] == []
+
+
 def test_quality_estimate_is_the_minimum_determinant_kind():
     """One group's solve equals the mean and covariance of its nearest rows."""
     import pandas as pd
