@@ -23,8 +23,14 @@ costs each task at most ``BINS`` rows. The steps' estimates are solved on the
 executors, one group at a time from at most ``BINS`` rows of sums, and joined
 back as a small written table.
 
-A floor on the covariance (``FLOOR``, in transformed units) keeps groups apart
-whose statistics hardly vary, such as a source without symbols.
+Counts vary by chance, so no scale is taken smaller than counting noise: the
+square root of a Poisson count has a standard deviation of one half, which for
+symbols per character is half of one symbol's share, and likewise for a line and
+a window of 8 words. The noise is a lower bound, not added: on the estimate's
+variance in every direction (with the mean noise of its rows), and on each row's
+own scales, so that one symbol in a short text is no outlier. Log words and log
+characters per word have the fixed bounds 0.2 and 0.1. A row whose distance is
+over the 99.9% point of chi-square is rejected, so one outlying statistic is enough.
 
 Defined results: a null or empty text has no words, and fails the base rules; a
 null language or source is a group of its own, and a null language a language;
@@ -49,10 +55,11 @@ WINDOW = 8
 SUBSET, STEPS, LEAST_ROWS = 0.75, 6, 50
 # Chi-square with 5 degrees of freedom. Consistency factors of the
 # 75% subset and of the reweighting at 97.5%, that 97.5% point, and the cutoff
-# (one in a million under the normal law).
-SUBSET_FACTOR, REWEIGHT_FACTOR, REWEIGHT_AT, CUTOFF = 1.4120710601890483, 1.055533110040659, 12.83250199403002, 35.88818688440405
+# (the 99.9% point).
+SUBSET_FACTOR, REWEIGHT_FACTOR, REWEIGHT_AT, CUTOFF = 1.4120710601890483, 1.055533110040659, 12.83250199403002, 20.515005652432873
 STATS = ["x1", "x2", "x3", "x4", "x5"]
-FLOOR = [0.2, 0.1, 0.04, 0.06, 0.12]
+NOISE = ["v1", "v2", "v3", "v4", "v5"]  # the square of a row's least scales
+FLOOR = [1e-3] * 5  # keeps a covariance of equal rows regular
 BINS, PER_OCTAVE, LOWEST = 960, 32, -10
 EVERYTHING = "A"  # the pool of all rows
 PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
@@ -130,9 +137,16 @@ def with_statistics(counted: DataFrame) -> DataFrame:
         "x4": F.sqrt(F.col("n_dup_lines") / (words + 1)),
         "x5": F.sqrt(F.col("n_repeat_words") / (words + 1)),
     }
+    v = {
+        "v1": F.lit(0.04),
+        "v2": F.lit(0.01),
+        "v3": 0.25 / (chars + 1),
+        "v4": 0.25 / (words + 1),
+        "v5": 0.25 * WINDOW / (words + 1),
+    }
     failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
     part = [F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), c)) for c in ("lang", "source")]
-    return counted.withColumns(x | {"base_failed": failed, "part": F.concat_ws("\x01", *part), "language": F.concat(F.lit("L"), part[0])})
+    return counted.withColumns(x | v | {"base_failed": failed, "part": F.concat_ws("\x01", *part), "language": F.concat(F.lit("L"), part[0])})
 
 
 def judged_by(passed: DataFrame) -> DataFrame:
@@ -146,25 +160,25 @@ def judged_by(passed: DataFrame) -> DataFrame:
 def members(passed: DataFrame, groups: DataFrame) -> DataFrame:
     """Every passing row once for each estimate that it belongs to, its group's and the pools', as far as they are used."""
     wanted = groups.select(F.col("used").alias("part")).distinct()
-    return passed.select(F.explode(F.array("part", "language", F.lit(EVERYTHING))).alias("part"), *STATS).join(wanted, "part", "left_semi")
+    return passed.select(F.explode(F.array("part", "language", F.lit(EVERYTHING))).alias("part"), *STATS, *NOISE).join(wanted, "part", "left_semi")
 
 
 def distance() -> Column:
-    """The squared Mahalanobis distance of x1..x5 from the joined estimate."""
+    """The squared Mahalanobis distance of x1..x5 from the joined estimate, each scale at least the row's noise."""
+    off = [(F.col(x) - F.get("centre", F.lit(k))) * F.least(F.lit(1.0), F.get("scale", F.lit(k)) / F.sqrt(v)) for k, (x, v) in enumerate(zip(STATS, NOISE))]
     out = F.lit(0.0)
     for k, (i, j) in enumerate(PAIRS):
-        d = (F.col(STATS[i]) - F.get("centre", F.lit(i))) * (F.col(STATS[j]) - F.get("centre", F.lit(j)))
-        out = out + F.get("inverse", F.lit(k)) * d * (1.0 if i == j else 2.0)
+        out = out + F.get("inverse", F.lit(k)) * off[i] * off[j] * (1.0 if i == j else 2.0)
     return out
 
 
 def first_estimate(rows: DataFrame) -> DataFrame:
     """Medians, and quartile ranges as independent scales."""
     wanted = [F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in STATS]
-    own = rows.groupBy("part").agg(*wanted)
-    scale = {x: F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(STATS, FLOOR)}
-    inverse = [1.0 / (scale[STATS[i]] * scale[STATS[j]]) if i == j else F.lit(0.0) for i, j in PAIRS]
-    return own.select("part", F.array(*[F.get(x, F.lit(1)) for x in STATS]).alias("centre"), F.array(*inverse).alias("inverse"))
+    own = rows.groupBy("part").agg(*wanted, *[F.avg(v).alias(v) for v in NOISE])
+    scale = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.sqrt(v), F.lit(f)) for x, v, f in zip(STATS, NOISE, FLOOR)]
+    inverse = [1.0 / (scale[i] * scale[j]) if i == j else F.lit(0.0) for i, j in PAIRS]
+    return own.select("part", F.array(*[F.get(x, F.lit(1)) for x in STATS]).alias("centre"), F.array(*inverse).alias("inverse"), F.array(*scale).alias("scale"))
 
 
 def solve(sums: pd.DataFrame, share: float, factor: float) -> pd.DataFrame:
@@ -178,8 +192,14 @@ def solve(sums: pd.DataFrame, share: float, factor: float) -> pd.DataFrame:
     cov = np.zeros((5, 5))
     for i, j in PAIRS:
         cov[i, j] = cov[j, i] = s[f"x{i + 1}{j + 1}"].sum() / n - centre[i] * centre[j]
-    inverse = np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))
-    return pd.DataFrame({"part": [sums["part"].iloc[0]], "centre": [centre.tolist()], "inverse": [[inverse[i, j] for i, j in PAIRS]]})
+    least = np.sqrt([max(s[v].sum() / n if v in s else 0.0, f * f) for v, f in zip(NOISE, FLOOR)])
+    cov = cov * factor + np.diag(np.square(FLOOR))
+    # in units of the noise, no direction varies less than 1
+    values, axes = np.linalg.eigh(cov / np.outer(least, least))
+    axes = axes / least[:, None]
+    inverse = (axes / np.maximum(values, 1.0)) @ axes.T
+    scale = np.maximum(np.sqrt(np.diag(cov)), least)
+    return pd.DataFrame({"part": [sums["part"].iloc[0]], "centre": [centre.tolist()], "inverse": [[inverse[i, j] for i, j in PAIRS]], "scale": [scale.tolist()]})
 
 
 def next_estimate(rows: DataFrame, estimate: DataFrame, last: bool) -> DataFrame:
@@ -190,9 +210,9 @@ def next_estimate(rows: DataFrame, estimate: DataFrame, last: bool) -> DataFrame
     else:
         octave = F.floor((F.log2(F.col("d") + 1e-12) - LOWEST) * PER_OCTAVE)
         near, share, factor = near.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), octave)).cast("int")), SUBSET, SUBSET_FACTOR
-    sums = [F.sum(x).alias(x) for x in STATS] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"x{i + 1}{j + 1}") for i, j in PAIRS]
+    sums = [F.sum(x).alias(x) for x in STATS + NOISE] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"x{i + 1}{j + 1}") for i, j in PAIRS]
     binned = near.groupBy("part", "bin").agg(F.count("*").alias("n"), *sums)
-    return binned.groupBy("part").applyInPandas(lambda pdf: solve(pdf, share, factor), "part string, centre array<double>, inverse array<double>")
+    return binned.groupBy("part").applyInPandas(lambda pdf: solve(pdf, share, factor), "part string, centre array<double>, inverse array<double>, scale array<double>")
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -183,6 +183,33 @@ def test_quality_judges_small_groups_by_pools(spark):
     assert [k for k in got if k >= 3000 and got[k].kept] == []
 
 
+def test_quality_rejects_one_outlying_statistic(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def clean(n):
+        return [f"w{rng.randrange(10**4, 10**5)}" for _ in range(n)]
+
+    def lines(w):
+        return "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+
+    rows = [(k, lines(clean(rng.randrange(180, 420)))) for k in range(300)]
+    rows += [(900, lines(clean(2500))), (901, lines([x * 2 for x in clean(300)]))]  # x1, x2
+    rows.append((902, lines([x[:-1] + "#" if k < 25 else x for k, x in enumerate(clean(300))])))  # x3: 1.4% of characters
+    own = lines(clean(300)).split("\n")
+    rows.append((903, "\n".join(x + "\n" + own[0] if k % 5 == 1 else x for k, x in enumerate(own))))  # x4: a line of 6 words 11 times
+    w = clean(300)
+    rows.append((904, lines(w + w[100:130])))  # x5: a passage of 30 words twice, 18% of the words
+    rows.append((905, lines([*clean(179), "w1234#"])))  # one symbol is within the noise
+    d = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.query(d).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert got[903].n_repeat_words == 0 and got[904].n_dup_lines <= 4
+    assert [k for k in [*range(300), 905] if not got[k].kept] == []
+    assert [k for k in range(900, 905) if got[k].kept] == []
+
+
 def test_quality_estimate_is_the_minimum_determinant_kind():
     """One group's solve equals the mean and covariance of its nearest rows."""
     import pandas as pd
