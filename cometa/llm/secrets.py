@@ -8,8 +8,10 @@ count of each symbol in the window and the sum of ``c * log2(c)``, and updates
 both for the symbol that enters and the one that leaves. The window's Shannon
 entropy is ``log2(WINDOW) - sum / WINDOW``. Where a window reaches the class's
 threshold, the stretch from the first to the last such window becomes a span,
-unless the candidate is on the allow list (slugs and paths, UUIDs, counting
-sequences, placeholders) or the stretch lies inside a pattern span.
+unless the candidate has an allowed shape (slug or path, UUID, one character) or
+the stretch lies inside a pattern span. Placeholder words and counting sequences
+cut a candidate into parts, each judged as a candidate of its own: only the
+windows that hold or touch such a word are left out.
 
 Everything is a column expression: no Python on the executors, no shuffle, and
 documents without a match skip the array work. A text of any length is scanned
@@ -34,7 +36,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper"]
 
 WINDOW = 20
 # Character classes of the entropy kinds: run, alphabet, what a candidate must
@@ -47,6 +49,9 @@ CLASSES = {
         [r"[0-9]", r"[A-Z]", r"[a-z]"],
         3.8,
     ),
+    # 36 and fewer symbols: random windows have some 3.8 bits, so less is asked
+    "entropy_lower": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", [r"[0-9]", r"[a-z]"], 3.5),
+    "entropy_upper": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", [r"[0-9]", r"[A-Z]"], 3.5),
 }
 ALLOW = [
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*$",
@@ -54,6 +59,8 @@ ALLOW = [
     r"(?i)example|sample|placeholder|changeme|xxxx|0123456789|1234567890|abcdefghij",
     r"^(.)\1*$",
 ]
+WORDS = ALLOW[2]  # may stand anywhere; the others are the shape of a whole candidate
+CUT = "(?i).?(?:" + WORDS.removeprefix("(?i)") + ").?"
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -126,19 +133,33 @@ def hot_stretch(symbols: Column, alphabet: int, least: float) -> Column:
     )
 
 
+def parts(x: Column) -> Column:
+    """A candidate's parts between placeholder words, without the characters that touch one."""
+    pairs = F.arrays_zip(F.split(x["found"], CUT, -1).alias("part"), F.regexp_extract_all(x["found"], F.lit(CUT), F.lit(0)).alias("cut"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.char_length(p["part"])
+        part = F.struct(acc["at"].alias("start"), end.alias("end"), p["part"].alias("found"))
+        return F.struct((end + F.coalesce(F.char_length(p["cut"]), F.lit(0))).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
+
+    walked = F.aggregate(pairs, F.struct(x["start"].alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(x["found"].rlike(WORDS), walked).otherwise(F.array(x))
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """The candidate strings of a class that the allow list doesn't suppress."""
+    """The candidate strings of a class, or their parts, that the allow list doesn't suppress."""
     run, _, must, _ = CLASSES[kind]
 
     def wanted(x: Column) -> Column:
-        ok = F.lit(True)
+        ok = F.char_length(x["found"]) >= WINDOW
         for p in must:
             ok = ok & x["found"].rlike(p)
         for p in ALLOW:
             ok = ok & ~x["found"].rlike(p)
         return ok
 
-    return F.filter(matches(text, run), wanted)
+    return F.filter(F.flatten(F.transform(matches(text, run), parts)), wanted)
 
 
 def entropy_spans(found: Column, kind: str) -> Column:

@@ -113,6 +113,20 @@ def test_secrets_allow_list(spark):
     assert secrets.query(d).first().spans == ""
 
 
+def test_secrets_of_two_classes_and_beside_placeholders(spark):
+    lower, upper, mixed = "q7x2m9kd4vz8w1tb6rj3hn5p", "MZXW6YTBOI2GK3TUNB4Q7JLD", "q8Zt3Lw9Vx2Kp7Rj4Nm6Tb5Yd1"
+    texts = [f"a {lower} b", f"a {upper} b", f"SAMPLE_ID={mixed}", f"{mixed}xxxx{mixed}", f"sample={lower}", "internationalization2", "UPPERCASEHEADINGHEADING1"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.query(d).collect()}
+    assert got[0] == "entropy_lower:2:26" and got[1] == "entropy_upper:2:26"
+    assert got[2] == "entropy_base64:7:36"
+    assert got[3] == "entropy_base64:0:25,entropy_base64:31:56"
+    assert got[4] == "entropy_lower:7:31"
+    assert got[5] == got[6] == ""
+    masked = {r.doc_id: r.text for r in secrets.redact(d.selectExpr("*", "cast(null as long) n_chars")).collect()}
+    assert masked[0] == masked[1] == "a [SECRET] b" and masked[2] == "SAMPLE_[SECRET]"
+
+
 def test_secrets_no_python(spark):
     plan = secrets.scan(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
