@@ -110,18 +110,21 @@ def fit_forest(
     forest over the note index and the comment code. The original sets no
     depth; 30 is the most that MLlib has. ``balanced`` weights every row by its
     class's balanced weight (A10). The note index is an ordinary number to the
-    trees (its category metadata is dropped), so any number of notes works."""
+    trees (its category metadata is dropped), and there are as many bins as
+    notes, so neighbouring notes can be told apart. The comment's halves are cut
+    into as many bins each, so comments beyond that share cells."""
     prepared = with_comment_code(train, comment_col)
+    notes = _category_indexer(nota_col).fit(prepared)
     if balanced:
         prepared = _weighted(prepared, label_col)
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=512
+        featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=512, maxBins=max(32, len(notes.labels) + 1)
     )
     if balanced:
         forest = forest.setWeightCol("weight")
     stages = [
         _label_indexer(label_col),
-        _category_indexer(nota_col),
+        notes,
         SQLTransformer(statement=f"SELECT *, `{nota_col}_idx` + 0.0D AS nota_code FROM __THIS__"),
         VectorAssembler(inputCols=["nota_code", *COMMENT_CODES], outputCol="features"),
         forest,

@@ -370,3 +370,14 @@ def test_audit_builders_run_no_job(spark):
         e.queries()[name](spark, SF001)
         # reading a Parquet schema is the only job that a builder may start
         assert len(tracker.getJobIdsForGroup(None)) - before <= 1, name
+
+
+def test_forest_tells_neighbouring_notes_apart(spark):
+    from cometa.operators import models
+
+    rows = [(f"N{k:03d}", f"c{j}", "odd" if k % 2 else "even") for k in range(64) for j in range(8)]
+    rows += [(f"N{k:03d}", "c3", None) for k in range(64)]
+    df = spark.createDataFrame(rows, "nota string, comentario string, analise string")
+    got = models.forest_fill(df, "nota", "comentario", "analise").where("origin = 'filled'").collect()
+    right = sum(r.analise == ("odd" if int(r.nota[1:]) % 2 else "even") for r in got)
+    assert len(got) == 64 and right >= 58
