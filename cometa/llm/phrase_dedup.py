@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Phrase dedup by a tie search over window keys (no Lempel-Ziv parse).
 
 A word goes if it is covered by ``LENGTH`` consecutive words of one document whose
 sequence also starts anywhere else, in the same document or another.
@@ -9,11 +9,8 @@ or more. Seeds keep the index small: among the ``REACH`` stretches of ``SEED``
 words in a phrase, the one with the smallest key is its seed, wherever the phrase
 stands, so a phrase whose seeds occur once can't be in the index and is not sent.
 
-Each text is then factored greedily: where the phrase at a word is indexed, a
-factor starts and grows word by word as long as the phrase that ends at the new
-word is indexed in whatever block holds it; the phrase over each factor boundary
-is looked up in the same way, so factors that overlap merge, and a factor of
-fewer than LENGTH words is no duplicate. The spans of the factors go.
+The windows whose 96-bit keys are tied cover the words that go; overlapping
+windows merge to one interval. There is no parse and no boundary look-up.
 
 Defined results: a null text has no words; a text of fewer than LENGTH words keeps
 all; equal texts with LENGTH words or more go whole; a very long text is a chunk
