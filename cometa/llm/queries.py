@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity
+from cometa.llm import chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity, wavelet
 from cometa.llm.common import documents
 
 
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_score_toxicity": _toxicity,
     "op9_dedup_phrases": _on_documents(phrase_dedup.query),
     "op10_shard": _on_documents(sharding.query),
+    "op11_write_wavelet": _on_documents(wavelet.query),
 }
 
 ORACLE: dict[str, str] = {
