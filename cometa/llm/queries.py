@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity, wavelet
+from cometa.llm import box_codes, chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity, wavelet
 from cometa.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.query(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return box_codes.query(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": _on_documents(pieces.query),
     "op2_scan_secrets": _on_documents(secrets.query),
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_dedup_phrases": _on_documents(phrase_dedup.query),
     "op10_shard": _on_documents(sharding.query),
     "op11_write_wavelet": _on_documents(wavelet.query),
+    "op13_code_boxes": _codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -42,4 +47,5 @@ ORACLE: dict[str, str] = {
     "op9_dedup_phrases": phrase_dedup.SQL,
     "op4_search_hamming": hamming_search.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op13_code_boxes": box_codes.SQL,
 }
