@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cometa.llm import box_codes, chosen_path, hamming_search, mixing, phrase_dedup, pieces, quality, secrets, sharding, suffix_dedup, toxicity, wavelet
+from cometa.llm import box_codes, chosen_path, hamming_search, mixing, phrase_dedup, phrase_mining, pieces, quality, secrets, sharding, suffix_dedup, toxicity, wavelet
 from cometa.llm.common import documents
 
 
@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_dedup_phrases": _on_documents(phrase_dedup.query),
     "op10_shard": _on_documents(sharding.query),
     "op11_write_wavelet": _on_documents(wavelet.query),
+    "op12_mine_phrases": _on_documents(phrase_mining.query),
     "op13_code_boxes": _codes,
 }
 
@@ -47,5 +48,6 @@ ORACLE: dict[str, str] = {
     "op9_dedup_phrases": phrase_dedup.SQL,
     "op4_search_hamming": hamming_search.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op12_mine_phrases": phrase_mining.SQL,
     "op13_code_boxes": box_codes.SQL,
 }
