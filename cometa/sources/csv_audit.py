@@ -2,11 +2,12 @@
 
 Every column is read as STRING (leading zeros in codes and serial numbers
 matter to the rules). ``multiLine`` is on by default because quoted fields --
-headers included -- may contain newlines; such files cannot be split, so when the
-scan has fewer splits than the cluster has cores (one large file) it is
-followed by a round-robin repartition that spreads the per-row rule work;
-a folder of many files is left as it is. Pass ``multi_line=False`` for
-extracts known to hold one record per line (splittable).
+headers included -- may contain newlines. Spark reads such a file in one task, so
+files larger than a split are read by ``csv_split`` instead, from all their splits,
+with the same rows. When a scan has fewer splits than the cluster has cores it is
+followed by a round-robin repartition that spreads the per-row rule work; a
+folder of many files is left as it is. Pass ``multi_line=False`` for extracts
+known to hold one record per line. Headers are read by the executors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cometa.plans.partitioning import spread_for_cpu
+from cometa.sources.csv_split import listing, read_headers, read_split_csv, split_bytes
 
 # ---------------------------------------------------------------------------
 # Spellings read as null by the original CSV reader (its
@@ -93,18 +95,22 @@ def csv_reader(spark: SparkSession, sep: str, multi_line: bool):
     return csv_options(spark.read, sep, multi_line)
 
 
-def list_files(spark: SparkSession, pattern: str, exclude: list[str] | None = None) -> list[str]:
-    """The files that a path, folder or glob names, sorted, through the file
-    system that Spark reads; hidden files and paths holding an excluded string
-    (compared with the decoded path) are left out."""
+def list_sizes(spark: SparkSession, pattern: str, exclude: list[str] | None = None) -> dict[str, int]:
+    """The files that a path, folder or glob names, sorted, with their bytes,
+    through the file system that Spark reads; hidden files and paths holding an
+    excluded string (compared with the decoded path) are left out."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(pattern)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
+    out = {}
     for found in fs.globStatus(path) or []:
         inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
-        out += [f.getPath().toString() for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"]
-    return sorted(f for f in out if not any(x in f for x in exclude or []))
+        out.update({f.getPath().toString(): f.getLen() for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"})
+    return {f: out[f] for f in sorted(out) if not any(x in f for x in exclude or [])}
+
+
+def list_files(spark: SparkSession, pattern: str, exclude: list[str] | None = None) -> list[str]:
+    return list(list_sizes(spark, pattern, exclude))
 
 
 def concat_tables(tables: list[DataFrame]) -> DataFrame:
@@ -115,16 +121,34 @@ def concat_tables(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_by_header(spark: SparkSession, files: list[str], sep: str, multi_line: bool, legacy_double_strip: bool = False) -> DataFrame:
-    """One scan per distinct header, columns matched by their normalized names.
+def read_by_header(spark: SparkSession, files: dict[str, int] | list[str], sep: str, multi_line: bool, legacy_double_strip: bool = False) -> DataFrame:
+    """Scans by distinct header, columns matched by their normalized names.
 
-    A scan applies one header to all of its files, so files are grouped by the
-    header that Spark reads from each (metadata only) before they are scanned.
+    A scan applies one header to all of its files, so files are grouped by their
+    header, which the executors read. ``files`` may give their bytes; multi-line files larger than a split are read from all their splits.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(csv_reader(spark, sep, multi_line).csv(f).columns), []).append(f)
-    return concat_tables([normalize_columns(csv_reader(spark, sep, multi_line).csv(own), legacy_double_strip) for own in groups.values()])
+    sizes = files if isinstance(files, dict) else dict.fromkeys(files, 0)
+    headers = read_headers(spark, sizes, sep)
+    groups: dict[str, list[str]] = {}
+    for f in sizes:
+        # a file without a record has no columns and no rows, unless its first split is all empty lines
+        header = headers.get(f) or ("\n".join(csv_reader(spark, sep, multi_line).csv(f).columns) if sizes[f] else None)
+        if header is not None:
+            groups.setdefault(header, []).append(f)
+    if not groups:
+        raise ValueError("the files hold no header")
+    tables = []
+    for own in groups.values():
+        names = csv_reader(spark, sep, multi_line).csv(own[0]).columns
+        large = [f for f in own if multi_line and sizes[f] > split_bytes(spark)]
+        small = [f for f in own if f not in set(large)]
+        if small:
+            schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+            with listing(spark, small):
+                tables.append(normalize_columns(csv_reader(spark, sep, multi_line).schema(schema).csv(small), legacy_double_strip))
+        if large:
+            tables.append(normalize_columns(read_split_csv(spark, large, names, sep), legacy_double_strip))
+    return concat_tables(tables)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -148,7 +172,7 @@ def read_audit_csv(
     longer than their header are truncated and shorter ones padded with nulls
     (PERMISSIVE).
     """
-    files = list_files(spark, path)
+    files = list_sizes(spark, path)
     if not files:
         raise ValueError(f"no file found for {path}")
     df = null_na_tokens(read_by_header(spark, files, sep, multi_line, legacy_double_strip))
@@ -160,7 +184,7 @@ def read_training_csvs(
 ) -> DataFrame:
     """All files matching ``pattern`` whose full path contains none of
     ``exclude``, columns matched by name; raises when no file is left."""
-    files = list_files(spark, pattern, exclude)
+    files = list_sizes(spark, pattern, exclude)
     if not files:
         raise ValueError(f"no training file left for {pattern} after excluding {exclude}")
     return _spread(null_na_tokens(read_by_header(spark, files, sep, multi_line)))
@@ -170,7 +194,7 @@ def read_train_and_target(spark: SparkSession, train: str, target: str, exclude:
     """S6 + U1: training and target extracts as one table, columns matched by
     name; ``part`` is 'train' or 'target'."""
     a = read_training_csvs(spark, train, exclude, sep, multi_line).withColumn("part", F.lit("train"))
-    b = null_na_tokens(read_by_header(spark, list_files(spark, target), sep, multi_line)).withColumn("part", F.lit("target"))
+    b = null_na_tokens(read_by_header(spark, list_sizes(spark, target), sep, multi_line)).withColumn("part", F.lit("target"))
     return concat_tables([a, b])
 
 
