@@ -6,25 +6,28 @@
    whose two parts (without its last, without its first word) are proposed. These are
    the proposed phrases and their negative border, the smallest ones not proposed.
 3. A phrase of the border that reaches the support is a failure: phrases around it
-   may have been missed. Such phrases are proposed too and another full pass counts
-   what their longer phrases add; what earlier passes counted is left out. That ends
-   when a pass finds no failure. The frequent phrases are then known with exact
-   counts, whatever the sample held.
+   may have been missed. Such phrases are proposed too, and an expansion pass counts
+   every longer phrase that was not counted yet and whose parts may reach the support:
+   they are proposed, or not counted yet and have such parts themselves. No phrase that
+   can reach the support is left uncounted then, so this closes the border.
+4. These passes count 64-bit keys of phrases, so that no text travels. Two phrases
+   that share a key only raise its count. A last pass therefore counts, as text, the
+   phrases whose keys reached the support, and keeps those that really did.
 
 A pass asks a Bloom filter of fixed size (``FILTER_BITS``) whether a part is
 proposed. A wrong yes makes it count a phrase more, never one less; and since the
 same filters tell which pass counts a phrase, none is counted twice.
 
-Words are counted per language in NumPy over Arrow batches: the words of a batch are
-numbered, phrases are pairs of numbers, and only distinct phrases leave the task, with
-their counts, to be added up by Spark. Candidates then take the counts of their parts
-by joins (salted on the side of the single word, which very many phrases can share),
-and the top list per language is a limited window over them.
+Words are numbered per language over steps of ``STEP`` bytes of text; keys of phrases
+are mixed from keys of words for all places at once, sorted, and leave the task as
+distinct keys with counts, to be added up by Spark. Candidates then take the counts of
+their parts by joins (salted where very many candidates share a part), and the top
+list per language is a limited window over them.
 
 Scale: no task or driver holds a table of phrases. The driver holds one filter (fixed
-size) and broadcasts one a pass; a text's pieces are read in steps of ``STEP`` bytes,
-so memory is bounded by the longest text. Passes: the sample, one full pass, and at
-most two more for each further word of a phrase.
+size) and broadcasts one a pass; memory in a task is bounded by the step and the
+longest text. Passes: the sample, one full pass, an expansion pass if the border fails,
+and the last.
 
 Defined results: a null text is empty; a null language is ``und``; equal rows count
 each; an empty table gives an empty result; extra columns are not read.
@@ -48,13 +51,15 @@ SUPPORT = 10
 SAMPLE = 8
 LEAST = 2
 FILTER_BITS = 1 << 27  # 16 MB
-STEP = 1 << 23
-SALT = 16
+STEP = 1 << 22
+HOLD = 3 << 20  # keys that a task adds up before they leave it
+SHARE = 20_000
 NONE = "und"
-# The bytes that end a piece, those that part words, and lower case of A-Z alone.
+# The bytes that end a piece (as "."), those that part words, and lower case of A-Z alone.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_TABLE = bytes(10 if b in _ENDS else 32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_TABLE = bytes(46 if b in _ENDS else 32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 COUNTS = "lang string, words int, phrase string, n long"
+_TAG = np.uint64(7)  # the low bits of a key are the number of its words
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -66,86 +71,78 @@ def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes (three probes); adding and asking whole arrays."""
+    """A Bloom filter over 64-bit keys (three probes); adding and asking whole arrays."""
 
     def __init__(self, bits: int, cells: np.ndarray | None = None) -> None:
         self.bits = bits
         self.cells = np.zeros(bits // 8, np.uint8) if cells is None else cells
 
-    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+    def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         for k in range(3):
             yield _mix(keys, np.uint64(k + 1)) & np.uint64(self.bits - 1)
 
     def add(self, keys: np.ndarray) -> None:
-        for at in self._places(keys):
+        for at in self.places(keys):
             np.bitwise_or.at(self.cells, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
-        for at in self._places(keys):
+        for at in self.places(keys):
             found &= (self.cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return found
 
 
-class Words(dict):
-    """Numbers of words from 0 in the order met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def numbered(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of a text and its words' numbers, -1 where a piece ends."""
-    text = text.translate(_TABLE).replace(b"\n", b" \n ")
-    words = Words({b"\n": 0, b"": 1})
-    at = np.fromiter(map(words.__getitem__, text.split(b" ")), np.int64)
-    at = at[at != 1] - 1
-    return list(words)[2:], np.where(at < 0, -1, at - 1)
-
-
-def phrase_hash(words: list[bytes], lang: str) -> np.ndarray:
-    """The hash of each word in a language."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-
-
-def counted(text: bytes, lang: str, longest: int, wanted) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, distinct phrases, counts) for phrases of 1 to ``longest`` words.
-
-    ``wanted(words, first, last)`` says, by the hashes of the phrases without their last
-    and without their first word, which of them to count; for one word both are its own.
-    """
-    names, at = numbered(text)
-    if not names:
-        return
-    table = pa.array(names, pa.large_binary())
-    one = phrase_hash(names, lang)
-    ids, real = at, at >= 0
-    # per length: the phrase's number at each place (-1: none), its hash, and the numbers of its words
-    keys, parts = one, [np.arange(len(names))]
-    for size in range(1, longest + 1):
-        if size > 1:
-            real = real[:-1] & (at[size - 1 :] >= 0)
-            code = ids[:-1] * np.int64(len(names)) + at[size - 1 :]  # numbers stay below the square of the text's length
-            found, first, number = np.unique(code[real], return_index=True, return_inverse=True)
-            places = np.flatnonzero(real)[first]
-            head, tail = keys[ids[places]], tails[ids[places + 1]]
-            parts = [at[places + k] for k in range(size)]
-            mine = one[parts[0]]
-            for k in range(1, size):
-                mine = _mix(mine, one[parts[k]])
-            allowed = wanted(size, head, tail)
-            numbers = np.full(len(real), -1, np.int64)
-            numbers[np.flatnonzero(real)] = number
-            ids, keys, n = numbers, mine, np.bincount(number, minlength=len(found))
-        else:
-            allowed, n = wanted(1, one, one), np.bincount(at[at >= 0], minlength=len(names))
-        tails = keys
-        keep = np.flatnonzero(allowed)
-        if len(keep):
-            words = [table.take(pa.array(p[keep])) for p in parts]
-            yield size, (pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if size > 1 else words[0]).cast(pa.string()), n[keep]
+class Text:
+    """The words of a text, numbered, and the keys of its phrases at each place."""
+
+    def __init__(self, text: bytes, lang: str, longest: int) -> None:
+        parts = pc.ascii_split_whitespace(pa.array([text.translate(_TABLE).replace(b".", b" . ")], pa.large_binary()).cast(pa.large_string()))
+        coded = parts.values.dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.words, self.at = coded.dictionary.cast(pa.large_binary()), at
+        ends = np.array([w == "." or not w for w in names], bool)  # an empty word stands only at the text's ends
+        seed = xxhash.xxh64_intdigest(lang.encode())
+        one = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
+        self.one, self.real, self.keys = one, [~ends[at]], [one[at]]
+        for size in range(1, longest):
+            self.real.append(self.real[-1][:-1] & self.real[0][size:])
+            self.keys.append(_mix(self.keys[-1][:-1], self.keys[0][size:]))
+
+    def key(self, size: int) -> np.ndarray:
+        """The keys of the phrases of ``size`` words that start at each place."""
+        return (self.keys[size - 1] & ~_TAG) | np.uint64(size)
+
+    def known(self, size: int, among: Filter) -> np.ndarray:
+        """At which places a phrase of ``size`` words stands that the filter has."""
+        if size == 1:
+            return among.has((self.one & ~_TAG) | np.uint64(1))[self.at] & self.real[0]
+        out = self.real[size - 1].copy()
+        out[out] = among.has(self.key(size)[out])
+        return out
+
+    def phrases(self, size: int, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct phrases that start at the given places, and how often each does."""
+        code = self.at[places].astype(np.int64)
+        for k in range(1, size):
+            if len(code) and int(code.max()) >= 2**62 // len(self.words):
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * len(self.words) + self.at[places + k]
+        _, first, n = np.unique(code, return_index=True, return_counts=True)
+        words = [self.words.take(pa.array(self.at[places[first] + k])) for k in range(size)]
+        return pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())).cast(pa.string()), n
+
+
+def added(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts (1 each if there are none)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    if n is None:
+        return keys[edges], np.diff(np.r_[edges, len(keys)])
+    return keys[edges], np.add.reduceat(n, edges) if len(edges) else n
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -161,42 +158,83 @@ def _steps(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield lang, b"\n".join(texts)
 
 
-def _count(texts: DataFrame, longest: int, wanted) -> DataFrame:
-    """The sums of what ``wanted`` selects: lang, words, phrase, n."""
+def _count_keys(texts: DataFrame, longest: int, first, now, bits: int) -> DataFrame:
+    """key, n of the phrases that a pass counts: all without a filter; with ``now`` the full pass; with ``first`` too (the full pass's filter) the expansion."""
+
+    def wanted(text: Text, filters: list[Filter]) -> Iterator[np.ndarray]:
+        """Of each size, the places whose phrases are counted."""
+        if len(filters) < 2:
+            yield text.real[0]
+            for size in range(2, longest + 1):
+                has = text.known(size - 1, filters[0]) if filters else text.real[size - 1]
+                yield (has[:-1] & has[1:] if filters else has) & text.real[size - 1]
+            return
+        before, proposed = filters
+        yield np.zeros(0, bool)  # the full pass has counted every word
+        alive = text.known(1, proposed)
+        for size in range(2, longest + 1):
+            has = text.known(size - 1, before)
+            fresh = alive[:-1] & alive[1:] & text.real[size - 1] & ~(has[:-1] & has[1:])
+            yield fresh
+            if size < longest:
+                alive = fresh | text.known(size, proposed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = wanted()
+        filters = [Filter(bits, f.value) for f in (first, now) if f is not None]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def let_go() -> Iterator[pa.RecordBatch]:
+            keys, n = added(*(np.concatenate(c) for c in zip(*held)))
+            for k in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 18)].view(np.int64)), pa.array(n[k : k + (1 << 18)])], ["key", "n"])
+
         for batch in batches:
-            for lang, text in _steps(batch):
-                for size, phrases, n in counted(text, lang, longest, ask):
+            for lang, raw in _steps(batch):
+                text = Text(raw, lang, longest)
+                for size, mine in enumerate(wanted(text, filters), 1):
+                    at = np.flatnonzero(mine)
+                    if len(at):
+                        held.append(added(text.key(size)[at]))
+                if sum(len(k) for k, _ in held) > HOLD:
+                    yield from let_go()
+                    held = []
+        if held:
+            yield from let_go()
+
+    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _count_phrases(texts: DataFrame, longest: int, chosen, bits: int) -> DataFrame:
+    """lang, words, phrase, n of the phrases whose keys the filter has; with 0 words, all words of a language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = Filter(bits, chosen.value)
+        for batch in batches:
+            for lang, raw in _steps(batch):
+                text = Text(raw, lang, longest)
+                found = [(0, pa.array([""]), np.array([text.real[0].sum()], np.int64))]
+                for size in range(1, longest + 1):
+                    found.append((size, *text.phrases(size, np.flatnonzero(text.known(size, among)))))
+                for size, phrases, n in found:
                     for k in range(0, len(n), 1 << 16):
                         some, m = phrases.slice(k, 1 << 16), n[k : k + (1 << 16)]
-                        columns = [pa.array([lang]).take(pa.array(np.zeros(len(m), np.int32))), pa.array(np.full(len(m), size, np.int32)), some, pa.array(m)]
+                        columns = [pa.repeat(pa.scalar(lang), len(m)), pa.array(np.full(len(m), size, np.int32)), some, pa.array(m)]
                         yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
 
     return texts.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _filter_of(phrases: DataFrame, bits: int) -> Filter:
-    """The filter of phrases (lang, phrase): built in tasks by ranges of its cells, so that the driver only lays them end to end."""
+def _filter_of(keys: DataFrame, bits: int) -> Filter:
+    """The filter of keys: built in tasks by ranges of its cells, so that the driver only lays them end to end."""
     ranges = 64
     if bits < 8 * ranges or bits & (bits - 1):
         raise ValueError(f"filter_bits must be a power of two from {8 * ranges} on")
     size = bits // ranges
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = Filter.__new__(Filter)
-        probe.bits = bits
+        probe = Filter(bits, np.zeros(0, np.uint8))
         for batch in batches:
-            keys = np.zeros(batch.num_rows, np.uint64)
-            langs = batch.column("lang").to_pylist()
-            for k, phrase in enumerate(batch.column("phrase").to_pylist()):
-                words = phrase_hash(phrase.encode().split(b" "), langs[k])
-                mine = words[:1]
-                for w in words[1:]:
-                    mine = _mix(mine, w)
-                keys[k] = mine[0]
-            at = np.unique(np.concatenate([*probe._places(keys)])).astype(np.int64)
+            at = np.unique(np.concatenate([*probe.places(batch.column("key").to_numpy().view(np.uint64))])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array(at % size)], ["range", "at"])
 
     def cells(key, table):
@@ -204,7 +242,7 @@ def _filter_of(phrases: DataFrame, bits: int) -> Filter:
         bit[table.column("at").to_numpy()] = 1
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "cells": [np.packbits(bit, bitorder="little").tobytes()]})
 
-    set_bits = phrases.select("lang", "phrase").mapInArrow(places, "range int, at long").distinct()
+    set_bits = keys.select("key").mapInArrow(places, "range int, at long").distinct()
     out = Filter(bits)
     for r in set_bits.groupBy("range").applyInArrow(cells, "range int, cells binary").collect():  # the filter, whatever the input
         out.cells[r["range"] * size // 8 : (r["range"] + 1) * size // 8] = np.frombuffer(r["cells"], np.uint8)
@@ -212,56 +250,44 @@ def _filter_of(phrases: DataFrame, bits: int) -> Filter:
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = 3, sample: int = SAMPLE, least: int = LEAST, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, words, phrase, n of every phrase of 1 to ``longest`` words that occurs ``support`` times; lang, n of all words)."""
-    spark = df.sparkSession
+    """(lang, words, phrase, n of every phrase of 1 to ``longest`` (at most 7) words that occurs ``support`` times; lang, n of all words)."""
+    if not 1 <= longest <= int(_TAG):
+        raise ValueError(f"phrases of 1 to {_TAG} words can be counted")
+    context = df.sparkSession.sparkContext
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def everything():
-        return lambda size, head, tail: np.ones(len(head), bool)
-
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    proposed = save(_count(drawn, longest - 1, everything).where(F.col("n") >= least).select("lang", "words", "phrase"), "phrases_proposed")
-    filters: list = []  # of each full pass so far, as broadcasts
-    frequent, total = None, None
-    while True:
-        filters.append(spark.sparkContext.broadcast(_filter_of(proposed, filter_bits).cells))
-        passes = list(filters)
-
-        def wanted():
-            *before, now = [Filter(filter_bits, f.value) for f in passes]
-
-            def ask(size: int, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-                if size == 1:
-                    return np.full(len(head), not before)
-                out = now.has(head) & now.has(tail)
-                for f in before:
-                    out &= ~(f.has(head) & f.has(tail))
-                return out
-
-            return ask
-
-        found = save(_count(texts, longest, wanted).where((F.col("n") >= support) | (F.col("words") == 1)), "phrases_counted")
-        if total is None:
-            total = save(found.where(F.col("words") == 1).groupBy("lang").agg(F.sum("n").alias("n")), "phrases_words")
-        fresh = found.where(F.col("n") >= support)
-        frequent = fresh if frequent is None else frequent.unionByName(fresh)
-        failed = fresh.where(F.col("words") < longest).select("lang", "words", "phrase").join(proposed, ["lang", "words", "phrase"], "left_anti")
-        failed = save(failed, "phrases_failed")
-        if failed.isEmpty():
-            return frequent, total
-        proposed = save(proposed.unionByName(failed), "phrases_proposed")
-
-
-def _salted(candidates: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
-    """Add ``name``, the count of the phrase in column ``part``; both sides are dealt over ``SALT`` keys a phrase."""
-    right = counts.select(F.col("lang"), F.col("phrase").alias(part), F.col("n").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    left = candidates.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int"))
+    proposed = save(_count_keys(drawn, max(1, longest - 1), None, None, filter_bits).where(F.col("n") >= least).select("key"), "phrases_proposed")
+
+    def full_pass(first, now) -> DataFrame:
+        return save(_count_keys(texts, longest, first, now, filter_bits).where(F.col("n") >= support).select("key"), "phrases_counted")
+
+    now = context.broadcast(_filter_of(proposed, filter_bits).cells)
+    frequent = full_pass(None, now)
+    extendable = F.col("key").bitwiseAND(F.lit(int(_TAG))) < longest
+    failed = save(frequent.where(extendable).join(proposed, "key", "left_anti"), "phrases_failed")
+    if not failed.isEmpty():
+        wider = context.broadcast(_filter_of(proposed.unionByName(failed), filter_bits).cells)
+        frequent = frequent.unionByName(full_pass(now, wider))
+    chosen = context.broadcast(_filter_of(frequent, filter_bits).cells)
+    counts = save(_count_phrases(texts, longest, chosen, filter_bits).where((F.col("n") >= support) | (F.col("words") == 0)), "phrases")
+    return counts.where(F.col("words") > 0), counts.where((F.col("words") == 0) & (F.col("n") > 0)).select("lang", "n")
+
+
+def _with_count(candidates: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
+    """Add ``name``, the count of the phrase in column ``part``. A phrase that is part of more than
+    ``SHARE`` candidates is dealt over as many keys on both sides as it has such shares."""
+    many = candidates.groupBy("lang", part).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("keys")).where(F.col("keys") > 1)
+    many = save(many, "phrases_shared")
+    keys = F.coalesce("keys", F.lit(1))
+    right = counts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name)).join(many, ["lang", part], "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), keys - 1))).drop("keys")
+    left = candidates.join(many, ["lang", part], "left").withColumn("salt", F.pmod(F.xxhash64("phrase"), keys).cast("int")).drop("keys")
     return left.join(right, ["lang", part, "salt"]).drop("salt")
 
 
 def scored(frequent: DataFrame, longest: int = 3, share: int = 50) -> DataFrame:
     """lang, phrase, a, l, r, score of the candidates that no longer candidate holds in ``share`` hundredths of their places."""
-    frequent = frequent.withColumn("w", F.split("phrase", " "))
+    counts, frequent = frequent, frequent.withColumn("w", F.split("phrase", " "))
     cand = frequent.where(F.col("words") > 1).withColumnRenamed("n", "a")
 
     def words(start: int, n) -> F.Column:
@@ -282,7 +308,8 @@ def scored(frequent: DataFrame, longest: int = 3, share: int = 50) -> DataFrame:
         for k in range(1, size):
             one = cand.where(F.col("words") == size).select("lang", "phrase", "a", words(1, k).alias("first"), words(k + 1, size - k).alias("rest"), F.lit(k).alias("k"))
             cuts = one if cuts is None else cuts.unionByName(one)
-    cuts = _salted(_salted(cuts, frequent, "first", "l"), frequent, "rest", "r")
+    cuts = save(cuts, "phrases_cut")
+    cuts = _with_count(_with_count(cuts, counts, "first", "l"), counts, "rest", "r")
     number = {c: F.col(c).cast("decimal(18,0)") for c in ("a", "l", "r")}
     top = (number["a"] * number["a"]).cast("decimal(31,0)") * F.lit(1000000).cast("decimal(7,0)")
     cuts = cuts.withColumn("top", top).withColumn("low", number["l"] * number["r"]).withColumn("score", F.expr("top div low"))

@@ -91,15 +91,24 @@ def test_longer_phrases_other_limits(spark, corpus_rows):
     assert got == sorted(brute(corpus_rows, top=7, longest=4, support=6))
 
 
-def test_border_failures_need_more_passes(spark, monkeypatch):
-    """With an empty sample nothing is proposed: words fail first, then pairs, then triples are counted."""
+def test_border_failures_are_closed_by_one_expansion(spark, monkeypatch):
+    """With an empty sample nothing is proposed: the words fail, and the expansion counts all that they can make."""
     rows = [("en", "new york city")] * 12 + [("en", "rare words here")] * 3
-    filters = []
-    real = pm._filter_of
-    monkeypatch.setattr(pm, "_filter_of", lambda p, bits: filters.append(p.count()) or real(p, bits))
+    filters, passes = [], []
+    real, count = pm._filter_of, pm._count_keys
+    monkeypatch.setattr(pm, "_filter_of", lambda keys, bits: filters.append(keys.count()) or real(keys, bits))
+    monkeypatch.setattr(pm, "_count_keys", lambda *a: passes.append(1) or count(*a))
     frequent, total = pm.frequent_phrases(table(spark, rows), sample=10**9, filter_bits=1 << 20)
     assert {r.phrase: r.n for r in frequent.collect()} == {p: 12 for p in ("new", "york", "city", "new york", "york city", "new york city")}
-    assert filters == [0, 3, 5] and total.first().n == 45
+    assert filters == [0, 3, 6] and len(passes) == 3 and total.first().n == 45
+    filters.clear(), passes.clear()
+    pm.frequent_phrases(table(spark, rows), sample=1, least=1, filter_bits=1 << 20)  # all proposed: no failure, no expansion
+    assert len(filters) == 2 and len(passes) == 2
+
+
+def test_parts_that_many_candidates_share_are_dealt_over_keys(spark, corpus_rows, monkeypatch):
+    monkeypatch.setattr(pm, "SHARE", 3)
+    assert listed(pm.top_phrases(table(spark, corpus_rows), filter_bits=1 << 20)) == sorted(brute(corpus_rows))
 
 
 def test_query_on_documents(spark):
@@ -127,11 +136,29 @@ def test_filter_has_what_was_added():
     assert f.has(keys[:2500]).all() and f.has(keys[2500:]).mean() < 0.05
 
 
-def test_counts_of_a_text_equal_plain_counts():
-    text = " ".join(t or "" for _, t in corpus())
-    f, _ = counts([("en", text)], 3)
-    got = {}
-    for _, phrases, n in pm.counted(text.encode(), "en", 3, lambda size, head, tail: np.ones(len(head), bool)):
+def test_phrases_of_a_text_equal_plain_counts():
+    raw = " ".join(t or "" for _, t in corpus())
+    f, _ = counts([("en", raw)], 3)
+    text, got = pm.Text(raw.encode(), "en", 3), {}
+    for size in (1, 2, 3):
+        places = np.flatnonzero(text.real[size - 1])
+        phrases, n = text.phrases(size, places)
         assert phrases.type == pa.string()
         got.update(zip(phrases.to_pylist(), n.tolist()))
+        keys, m = pm.added(text.key(size)[places])
+        assert sorted(m.tolist()) == sorted(n.tolist()) and (keys & np.uint64(7) == size).all()
     assert got == dict(f["en"])
+
+
+def test_added_sums_counts():
+    keys = np.array([5, 3, 5, 9, 3, 5], np.uint64)
+    assert [x.tolist() for x in pm.added(keys)] == [[3, 5, 9], [2, 3, 1]]
+    assert [x.tolist() for x in pm.added(keys, np.array([1, 2, 3, 4, 5, 6]))] == [[3, 5, 9], [7, 10, 4]]
+    assert [x.tolist() for x in pm.added(keys[:0])] == [[], []]
+
+
+def test_keys_that_clash_only_cost_time(spark, corpus_rows, monkeypatch):
+    """With keys cut to a few bits very many phrases share one; the counts as text stay exact."""
+    real = pm._mix
+    monkeypatch.setattr(pm, "_mix", lambda a, b: real(a, b) & np.uint64(0xFFF))
+    assert listed(pm.top_phrases(table(spark, corpus_rows), filter_bits=1 << 20)) == sorted(brute(corpus_rows))
