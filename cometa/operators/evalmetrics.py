@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cometa.session import materialize
+
 REVIEW_THRESHOLD = 0.6
+LEAST_PROBABILITY = 1e-300  # keeps logarithms finite
 
 
 def confusion_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
@@ -97,6 +100,53 @@ def with_confidence(
     ).withColumn(f"{prefix}review", F.col(f"{prefix}confidence") < F.lit(threshold))
 
 
+def with_temperature(df: DataFrame, prob_col: str, temperature: float, out_col: str) -> DataFrame:
+    """Probabilities sharpened or flattened: ``p ** (1 / temperature)``, summing to 1 again; their order stays."""
+    z, t = "__tm_z", F.lit(float(temperature))
+    staged = df.withColumn(z, F.transform(prob_col, lambda x: F.log(F.greatest(x, F.lit(LEAST_PROBABILITY))) / t))
+    return with_softmax(staged, z, out_col).drop(z)
+
+
+def fit_temperature(df: DataFrame, prob_col: str, label_idx: str, steps: int = 8) -> float:
+    """The temperature of least log loss on held-out rows, by Newton steps on its inverse.
+
+    The loss is convex in the inverse, and a step needs two sums over the rows: of
+    ``z_y - E[z]`` and of ``Var[z]``, with ``z`` the log probabilities under the
+    present temperature. The inverse stays within [0.05, 20]. No rows: 1.
+    """
+    z = df.select(F.transform(prob_col, lambda x: F.log(F.greatest(x, F.lit(LEAST_PROBABILITY)))).alias("z"), F.col(label_idx).cast("int").alias("y"))
+    z = materialize(z.withColumn("own", F.get("z", F.col("y"))), "held_out_scores")
+    inverse = 1.0
+    for _ in range(steps):
+        p = with_softmax(z.withColumn("s", F.transform("z", lambda x: x * F.lit(inverse))), "s", "p")
+        both = F.zip_with("p", "z", lambda a, b: F.struct((a * b).alias("one"), (a * b * b).alias("two")))
+        moments = F.aggregate(both, F.struct(F.lit(0.0).alias("one"), F.lit(0.0).alias("two")), lambda a, x: F.struct((a["one"] + x["one"]).alias("one"), (a["two"] + x["two"]).alias("two")))
+        m = p.withColumn("m", moments)
+        got = m.agg(F.avg(F.col("own") - F.col("m.one")).alias("slope"), F.avg(F.col("m.two") - F.col("m.one") * F.col("m.one")).alias("curve")).first()
+        if not got.curve or got.curve <= 1e-12:
+            break
+        inverse = min(20.0, max(0.05, inverse + got.slope / got.curve))
+    return 1.0 / inverse
+
+
+def calibration(df: DataFrame, prob_col: str, label_idx: str, bins: int = 10, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
+    """(log_loss, calibration_error, n_review, n): mean log loss; the mean distance of confidence and
+    accuracy over equal-width bins of confidence, by their rows; rows below the threshold."""
+    p, y = F.col(prob_col), F.col(label_idx).cast("int")
+    rows = with_confidence(df, prob_col, threshold).select(
+        (-F.log(F.greatest(F.get(p, y), F.lit(LEAST_PROBABILITY)))).alias("loss"),
+        "confidence",
+        "review",
+        (F.col("pred_idx") == y).cast("double").alias("hit"),
+    )
+    bin_of = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))
+    per = rows.groupBy(bin_of.alias("bin")).agg(
+        F.sum("loss").alias("loss"), F.sum("confidence").alias("said"), F.sum("hit").alias("hit"), F.count_if("review").alias("review"), F.count(F.lit(1)).alias("n")
+    )
+    n = F.sum("n")
+    return per.agg((F.sum("loss") / n).alias("log_loss"), (F.sum(F.abs(F.col("said") - F.col("hit"))) / n).alias("calibration_error"), F.sum("review").alias("n_review"), n.alias("n"))
+
+
 def review_count(df: DataFrame, flag_col: str = "review") -> DataFrame:
     """Rows flagged for manual review, and all rows."""
     return df.agg(F.count_if(F.col(flag_col)).alias("n_review"), F.count(F.lit(1)).alias("n_total"))

@@ -1,25 +1,27 @@
 """Learned labelling with MLlib: the same contracts as the original models,
 re-aimed at distributed estimators.
 
-* M1/M2  random forest over category codes of (note, comment)
+* M1/M2  random forest over the note and out-of-fold class shares of note, comment and their pair
 * M3     note one-hot + token uni/bi/tri-gram TF-IDF, unit length -> weighted logistic regression
 * M4     note one-hot + cached text embedding -> weighted logistic regression
 * M5/M10 two-stage: text -> class; (class, text) -> consistency code; review
           when either confidence is below the threshold
 * M7     arg-max label, confidence, review flag; J3 decode
-* M8     saved-model compatibility by class-table contents; M9 loss history
+* M8     saved-model reuse by content and class-table contents; M9 loss history by epoch
 
 Encodings that could grow with the data never pass through the driver: the
-comment code is a 64-bit hash in two numbers (not a collected dictionary), and
-text features are hashed (``HashingTF``). The label and note indexers of a fitted
+comment code is a 64-bit hash in two numbers (not a collected dictionary), the key of
+the comment's class shares, and text features are hashed (``HashingTF``). The label and note indexers of a fitted
 model live on the driver, as the model's own coefficients do: a row of them per
 class and per note.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -38,12 +40,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cometa.operators import category_stats as cs
+from cometa.operators import epochs as ep
 from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
-from cometa.session import materialize
+from cometa.session import materialize, shared_path
 
 TEXT_FEATURES = 1 << 14
 COMMENT_CODES = ["comment_high", "comment_low"]
+FOLD = "__fold"
 
 
 def _weighted(train: DataFrame, label_col: str) -> DataFrame:
@@ -68,13 +73,15 @@ def _category_stage(train: DataFrame, col: str, also: DataFrame | None):
 
 
 def decode_prediction(
-    pred: DataFrame, model: PipelineModel, out_col: str, prefix: str = "", total_col: str | None = None
+    pred: DataFrame, model: PipelineModel, out_col: str, prefix: str = "", total_col: str | None = None, temperature: float = 1.0
 ) -> DataFrame:
-    """M7 + J3: class name of the arg-max, confidence and review flag;
-    ``total_col`` adds the sum of the class probabilities."""
+    """M7 + J3: class name of the arg-max, confidence and review flag, of the
+    probabilities at ``temperature``; ``total_col`` adds their sum."""
     labels = [s for s in model.stages if isinstance(s, StringIndexerModel) and s.getOutputCol() == "label_idx"][0].labels
     p = vector_to_array(F.col("probability"))
     out = pred.withColumn("__p", p)
+    if temperature != 1.0:
+        out = em.with_temperature(out, "__p", temperature, "__p")
     out = em.with_confidence(out, "__p", prefix=prefix)
     if total_col:
         out = out.withColumn(total_col, F.aggregate("__p", F.lit(0.0), lambda a, x: a + x))
@@ -96,6 +103,31 @@ def with_comment_code(df: DataFrame, comment_col: str) -> DataFrame:
     return df.withColumns({c: F.when(known, x.cast("double")).otherwise(-1.0) for c, x in code.items()})
 
 
+@dataclass
+class ForestModel:
+    """M1/M2: the forest and the category statistics that make its features."""
+
+    pipeline: PipelineModel
+    statistics: dict[str, cs.CategoryStatistics]
+    comment_col: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows to predict with the forest's probabilities."""
+        return self.pipeline.transform(_category_features(df.withColumn(FOLD, F.lit(cs.ALL)), self.statistics, self.comment_col))
+
+
+def _category_features(df: DataFrame, statistics: dict[str, cs.CategoryStatistics], comment_col: str) -> DataFrame:
+    out = with_comment_code(df, comment_col)
+    for name, s in statistics.items():
+        out = s.shares(out, FOLD, name).withColumn(name, array_to_vector(F.col(name)))
+    return out
+
+
+def with_forest_fold(train: DataFrame, seed: int = 42) -> DataFrame:
+    """Deal the training rows into folds by their place; to be written before it is used."""
+    return train.withColumn(FOLD, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(cs.FOLDS)).cast("int"))
+
+
 def fit_forest(
     train: DataFrame,
     nota_col: str,
@@ -105,18 +137,29 @@ def fit_forest(
     seed: int = 42,
     max_depth: int = 30,
     balanced: bool = False,
-) -> PipelineModel:
+) -> ForestModel:
     """M1/M2 (and M2b with ``trees=200, max_depth=10, balanced=True``): random
-    forest over the note index and the comment code. The original sets no
-    depth; 30 is the most that MLlib has. ``balanced`` weights every row by its
-    class's balanced weight (A10). The note index is an ordinary number to the
-    trees (its category metadata is dropped), and there are as many bins as
-    notes, so neighbouring notes can be told apart. The comment's halves are cut
-    into as many bins each, so comments beyond that share cells."""
-    prepared = with_comment_code(train, comment_col)
-    notes = _category_indexer(nota_col).fit(prepared)
+    forest over the note index and, for the note, the comment and the pair of
+    both, the share of each class among the category's other rows (out of fold,
+    see ``category_stats``), so any number of comments can be told apart. The
+    original sets no depth; 30 is the most that MLlib has. ``balanced`` weights
+    every row by its class's balanced weight (A10). The note index is an
+    ordinary number to the trees (its category metadata is dropped), and there
+    are as many bins as notes, so neighbouring notes can be told apart too.
+
+    ``train`` has the fold of :func:`with_forest_fold`."""
+    coded = with_comment_code(train, comment_col)
+    keys = {"note_shares": [nota_col], "comment_shares": COMMENT_CODES, "pair_shares": [nota_col, *COMMENT_CODES]}
+    statistics: dict[str, cs.CategoryStatistics] = {}
+    classes = None
+    for name, cols in keys.items():
+        statistics[name] = cs.fit_statistics(coded, cols, label_col, FOLD, classes)
+        classes = statistics[name].classes
+    prepared = _category_features(train, statistics, comment_col)
     if balanced:
         prepared = _weighted(prepared, label_col)
+    prepared = materialize(prepared, "forest_features")
+    notes = _category_indexer(nota_col).fit(prepared)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=max_depth, maxMemoryInMB=512, maxBins=max(32, len(notes.labels) + 1)
     )
@@ -126,10 +169,10 @@ def fit_forest(
         _label_indexer(label_col),
         notes,
         SQLTransformer(statement=f"SELECT *, `{nota_col}_idx` + 0.0D AS nota_code FROM __THIS__"),
-        VectorAssembler(inputCols=["nota_code", *COMMENT_CODES], outputCol="features"),
+        VectorAssembler(inputCols=["nota_code", *keys], outputCol="features"),
         forest,
     ]
-    return Pipeline(stages=stages).fit(prepared)
+    return ForestModel(Pipeline(stages=stages).fit(prepared), statistics, comment_col)
 
 
 def forest_fill(
@@ -145,12 +188,11 @@ def forest_fill(
     """M1/M2 + U2: train on labelled rows, label the rest, return kept rows
     followed by filled rows with ``origin`` = kept | filled."""
     train, todo = mp.split_labelled(df, label_col)
-    # written once: the indexer fits, the forest's passes and the kept rows of
-    # the output read it instead of recomputing the input's lineage
-    train = materialize(train, "forest_train")
+    # written once: the statistics, the indexer fits and the kept rows of the
+    # output read it instead of recomputing the input's lineage
+    train = materialize(with_forest_fold(train, seed), "forest_train")
     model = fit_forest(train, nota_col, comment_col, label_col, trees, seed, max_depth, balanced)
-    scored = model.transform(with_comment_code(todo, comment_col))
-    filled = decode_prediction(scored, model, "__pred").withColumn(label_col, F.col("__pred"))
+    filled = decode_prediction(model.transform(todo), model.pipeline, "__pred").withColumn(label_col, F.col("__pred"))
     cols = df.columns
     return train.select(*cols, F.lit("kept").alias("origin")).unionByName(
         filled.select(*cols, F.lit("filled").alias("origin"))
@@ -310,6 +352,83 @@ def select_by_macro_f1(
     return best
 
 
+def fit_by_epochs(
+    train: DataFrame,
+    val: DataFrame,
+    stages: list,
+    inputs: list[str],
+    label_col: str,
+    folder: str,
+    by: str = "loss",
+    patience: int = ep.PATIENCE,
+    max_epochs: int = ep.MAX_EPOCHS,
+    penalty: float = ep.PENALTY,
+) -> PipelineModel:
+    """M3/M4/M5: features fitted on ``train``, then softmax regression by epochs,
+    the best by the validation rows kept (see ``epochs``). Training rows have
+    balanced class weights, validation rows count once each. States are written
+    to ``folder``, from which a training that was cut short goes on; with them the
+    temperature that calibrates the confidence on the validation rows."""
+    weighted = _weighted(train, label_col)
+    feats = Pipeline(stages=[_label_indexer(label_col), *stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(weighted)
+    both = weighted.withColumn("train", F.lit(True)).unionByName(val.withColumns({"weight": F.lit(1.0), "train": F.lit(False)}))
+    rows = materialize(feats.transform(both).select("train", "label_idx", "weight", "features"), "model_features")
+    trained = ep.train_epochs(rows, len(feats.stages[0].labels), folder, max_epochs, patience, by, penalty)
+    last = ep.regression_model(trained.weights)
+    held = last.transform(rows.where(~F.col("train"))).select("label_idx", vector_to_array("probability").alias("p"))
+    found = rows.sparkSession.createDataFrame([(em.fit_temperature(held, "p", "label_idx"),)], "temperature double")
+    found.coalesce(1).write.mode("overwrite").parquet(f"{folder}/temperature")
+    return PipelineModel(stages=[*feats.stages, last])
+
+
+def temperature_of(spark: SparkSession, folder: str) -> float:
+    """M7: the temperature that the validation rows of a model's training gave."""
+    return spark.read.parquet(f"{folder}/temperature").first()[0]
+
+
+def text_stages(train: DataFrame, text_col: str, nota_col: str | None = None, also: DataFrame | None = None, prefix: str = "") -> tuple[list, list[str]]:
+    """M3: stages and input columns of (note one-hot +) text features."""
+    note, inputs = _note_stages(train, nota_col, also)
+    return [*note, *text_feature_stages(text_col, prefix)], [*inputs, f"{prefix}tfidf"]
+
+
+def vector_stages(train: DataFrame, nota_col: str | None = None, also: DataFrame | None = None) -> tuple[list, list[str]]:
+    """M4: stages and input columns of (note one-hot +) an embedding (see :func:`vectorize`)."""
+    note, inputs = _note_stages(train, nota_col, also)
+    return note, [*inputs, "__vec"]
+
+
+def _note_stages(train: DataFrame, nota_col: str | None, also: DataFrame | None) -> tuple[list, list[str]]:
+    if not nota_col:
+        return [], []
+    return [_category_stage(train, nota_col, also), mp.one_hot_encoder(f"{nota_col}_idx", f"{nota_col}_vec")], [f"{nota_col}_vec"]
+
+
+def content_key(df: DataFrame, cols: list[str], meta: dict) -> str:
+    """A name for a model trained on these rows, in any order, with these
+    parameters: the number of rows and two sums of their hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    found = df.agg(F.count(F.lit(1)), *sums).first()
+    return hashlib.sha256(json.dumps([*map(str, found), cols, meta], sort_keys=True).encode()).hexdigest()[:32]
+
+
+def fit_or_reuse(rows: DataFrame, cols: list[str], label_col: str, meta: dict, fit: Callable[[str], PipelineModel]) -> tuple[PipelineModel, str]:
+    """M8 by content: the model saved under these rows and parameters, else
+    ``fit(folder)``, saved there; with it its folder, which holds the history too.
+
+    ``rows`` are all rows that training reads (labelled, validation, target) and
+    ``cols`` the columns it reads from them."""
+    spark = rows.sparkSession
+    folder = shared_path(spark, f"model_{content_key(rows, cols, meta)}")
+    classes = rows.where(F.col(label_col).isNotNull()).select(label_col).distinct()
+    return fit_or_load(spark, folder, classes, meta, lambda: fit(folder)), folder
+
+
+def epoch_history(spark: SparkSession, folder: str) -> DataFrame:
+    """M9: epoch, training loss, validation loss and macro F1 of a model's training."""
+    return ep.read_metrics(spark, folder)
+
+
 def training_history(model: PipelineModel) -> DataFrame:
     """M9: objective per iteration of the final iterative classifier."""
     last = model.stages[-1]
@@ -324,14 +443,15 @@ def two_stage_infer(
     stage1: PipelineModel,
     stage2: PipelineModel,
     threshold: float = em.REVIEW_THRESHOLD,
+    temperatures: tuple[float, float] = (1.0, 1.0),
 ) -> DataFrame:
     """Class with confidence, then consistency code on the context text
     built from the *predicted* class; review when either confidence is below
     ``threshold`` (compared before rounding)."""
-    s1 = decode_prediction(stage1.transform(comments), stage1, "classificacao", prefix="s1_")
+    s1 = decode_prediction(stage1.transform(comments), stage1, "classificacao", prefix="s1_", temperature=temperatures[0])
     s1 = s1.select(*comments.columns, "classificacao", F.col("s1_confidence").alias("c1"))
     s1 = s1.withColumn("__ctx", mp.stage2_text(F.col("classificacao"), F.col(text_col)))
-    s2 = decode_prediction(stage2.transform(s1), stage2, "sigla", prefix="s2_")
+    s2 = decode_prediction(stage2.transform(s1), stage2, "sigla", prefix="s2_", temperature=temperatures[1])
     return s2.select(
         F.col(text_col).alias("comentario"),
         *[c for c in comments.columns if c != text_col],

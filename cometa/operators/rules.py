@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -69,6 +70,32 @@ class Rule:
     funcao_invalida: str | None = None
     formato_especifico: str | None = None
 
+    def has_function(self, c: Column) -> Column:
+        """Whether the comment holds one of the rule's functions (a substring test, not a token test)."""
+        found = F.lit(False)
+        for fn in self.funcoes_validas:
+            found = found | c.contains(fn)
+        return found
+
+    def has_format(self, c: Column) -> Column:
+        """Whether the rule's pattern matches the comment; a rule without one matches nothing."""
+        return c.rlike(self.formato_especifico) if self.formato_especifico else F.lit(False)
+
+
+@dataclass(frozen=True)
+class RuleColumns:
+    """A rule's parameters as columns: those of each row's own rule, joined to it."""
+
+    funcoes_validas: Column
+    funcao_invalida: Column
+    formato_especifico: Column
+
+    def has_function(self, c: Column) -> Column:
+        return F.coalesce(F.exists(self.funcoes_validas, lambda fn: c.contains(fn)), F.lit(False))
+
+    def has_format(self, c: Column) -> Column:
+        return F.coalesce(F.regexp_like(c, self.formato_especifico), F.lit(False))
+
 
 def default_rules() -> list[Rule]:
     out = []

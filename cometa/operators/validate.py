@@ -41,8 +41,10 @@ from cometa.operators.rules import (
     COMMENT_OPTIONAL_NOTES,
     MANUAL_NOTE,
     Rule,
+    RuleColumns,
     default_rules,
 )
+from cometa.plans.joins import lookup_join
 
 # ---------------------------------------------------------------------------
 # The patterns of the rules.
@@ -113,11 +115,7 @@ def _meter_reading(f: Feats, rule: Rule | None = None) -> Column:
 
 
 def _meter_reading_function(f: Feats, rule: Rule | None = None) -> Column:
-    funcs = list(rule.funcoes_validas) if rule is not None else []
-    has_function = F.lit(False)
-    for fn in funcs:
-        # substring test, not a token test
-        has_function = has_function | f.c.contains(fn)
+    has_function = rule.has_function(f.c) if rule is not None else F.lit(False)
     return F.when(~has_function, "NI").otherwise(_meter_reading(f, rule))
 
 
@@ -153,6 +151,11 @@ def _meter_without_reading(f: Feats, rule: Rule | None = None) -> Column:
     )
 
 
+def _format(f: Feats, rule: Rule | RuleColumns | None = None) -> Column:
+    """Extension content type: the comment matches the rule's own pattern."""
+    return F.when(rule.has_format(f.c) if rule is not None else F.lit(False), "C").otherwise("CFP")
+
+
 def _function_only(f: Feats, rule: Rule | None = None) -> Column:
     return F.when(f.c.rlike(rf"^{DIGIT}{{2}}$"), "C").otherwise("CFP")
 
@@ -172,7 +175,16 @@ def _function_reading(f: Feats, rule: Rule | None = None) -> Column:
     )
 
 
-Validator = Callable[[Feats, "Rule | None"], Column]
+_N, _C, _LETTERS, _RUNS, _FIRST = _STAGED = ["__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"]
+_PARAMS = ["funcoes_validas", "funcao_invalida", "formato_especifico"]
+
+
+def _feats() -> Feats:
+    """The staged features."""
+    return Feats(c=F.col(_C), letters=F.col(_LETTERS), runs=F.col(_RUNS), first=F.col(_FIRST))
+
+
+Validator = Callable[[Feats, "Rule | RuleColumns | None"], Column]
 
 VALIDATORS: dict[str, Validator] = {
     "MEDIDOR_LEITURA": _meter_reading,
@@ -183,6 +195,7 @@ VALIDATORS: dict[str, Validator] = {
     "MEDIDOR_SEM_LEITURA": _meter_without_reading,
     "APENAS_FUNCAO": _function_only,
     "FUNCAO_LEITURA": _function_reading,
+    "FORMATO": _format,
 }
 
 # Content types whose validators read the shared features (letters / digit
@@ -218,7 +231,7 @@ def content_label(nota: Column, f: Feats, rules: list[Rule] | None = None) -> Co
     return F.lit("C") if expr is None else expr.otherwise("C")
 
 
-def _label(nota: Column, comment_raw: Column, f: Feats, rules: list[Rule] | None) -> Column:
+def _label(nota: Column, comment_raw: Column, f: Feats, content: Column) -> Column:
     c = f.c
     empty = comment_raw.isNull() | (c == "")
     optional = nota.isin(COMMENT_OPTIONAL_NOTES)
@@ -230,7 +243,7 @@ def _label(nota: Column, comment_raw: Column, f: Feats, rules: list[Rule] | None
         .when(c.contains("   "), "EE")
         .when(code_03, "CFP")
         .when(optional & only_allowed_tokens(c), "C")
-        .otherwise(content_label(nota, f, rules))
+        .otherwise(content)
     )
 
 
@@ -250,7 +263,8 @@ def audit_label(nota_col: Column | str, comment_col: Column | str, rules: list[R
     features once per row.
     """
     comment_raw = _col(comment_col)
-    return _label(_norm_nota(_col(nota_col)), comment_raw, raw_feats(trim_ws(comment_raw.cast("string"))), rules)
+    nota, f = _norm_nota(_col(nota_col)), raw_feats(trim_ws(comment_raw.cast("string")))
+    return _label(nota, comment_raw, f, content_label(nota, f, rules))
 
 
 def with_audit_label(
@@ -265,18 +279,42 @@ def with_audit_label(
     :func:`audit_label`; each regex runs at most once per row."""
     rules = rules if rules is not None else default_rules()
     feat_notes = sorted({r.nota for r in rules if r.required in _USES_FEATS})
-    n, c, lt, rn, fr = "__cm_n", "__cm_c", "__cm_letters", "__cm_runs", "__cm_first"
-    staged = df.withColumns({n: _norm_nota(F.col(nota_col)), c: trim_ws(F.col(comment_col).cast("string"))})
-    need = F.col(n).isin(feat_notes) & (F.col(c) != "")
-    staged = staged.withColumns(
+    staged = _staged(df, nota_col, comment_col, F.col(_N).isin(feat_notes))
+    return staged.withColumn(out_col, _label(F.col(_N), F.col(comment_col), _feats(), content_label(F.col(_N), _feats(), rules))).drop(*_STAGED)
+
+
+def _staged(df: DataFrame, nota_col: str, comment_col: str, uses_features: Column) -> DataFrame:
+    """The trimmed note and comment, then the shared features of the rows that read them."""
+    staged = df.withColumns({_N: _norm_nota(F.col(nota_col)), _C: trim_ws(F.col(comment_col).cast("string"))})
+    c, need = F.col(_C), uses_features & (F.col(_C) != "")
+    return staged.withColumns(
         {
-            lt: F.when(need, has_disallowed_letters(F.col(c))),
-            rn: F.when(need, digit_run_count(F.col(c))),
-            fr: F.when(need, first_digit_run(F.col(c))),
+            _LETTERS: F.when(need, has_disallowed_letters(c)),
+            _RUNS: F.when(need, digit_run_count(c)),
+            _FIRST: F.when(need, first_digit_run(c)),
         }
     )
-    f = Feats(c=F.col(c), letters=F.col(lt), runs=F.col(rn), first=F.col(fr))
-    return staged.withColumn(out_col, _label(F.col(n), F.col(comment_col), f, rules)).drop(n, c, lt, rn, fr)
+
+
+def with_table_rules(df: DataFrame, nota_col: str, comment_col: str, rules: DataFrame, out_col: str = "analise") -> DataFrame:
+    """V0 with the rules of a table (see ``rules.RULES_SCHEMA``): each row takes its
+    note's content type and parameters by a join, and the content type's validator
+    reads the parameters from the row. The plan has one branch a registered content
+    type, however many rules there are; the table is broadcast while it is small. A
+    note without a rule, or with a content type that no validator has, is conforming.
+    A note with two rules ends the job."""
+    twice = F.raise_error(F.concat(F.lit("two rules for note "), F.col("nota"))).cast("string")
+    own = rules.groupBy(trim_ws(F.col("nota")).alias("nota")).agg(F.count("*").alias("__n"), *[F.first(c).alias(f"__rule_{c}") for c in ["required", *_PARAMS]])
+    own = own.withColumn("__rule_required", F.when(F.col("__n") > 1, twice).otherwise(F.col("__rule_required"))).drop("__n")
+    joined = lookup_join(df.withColumn("__rule_nota", _norm_nota(F.col(nota_col))), own.withColumnRenamed("nota", "__rule_nota"), "__rule_nota")
+    required = F.col("__rule_required")
+    staged = _staged(joined, nota_col, comment_col, F.coalesce(required.isin(sorted(_USES_FEATS)), F.lit(False)))
+    params = RuleColumns(*[F.col(f"__rule_{c}") for c in _PARAMS])
+    content = F.lit("C")
+    for name, builder in VALIDATORS.items():
+        content = F.when(required == name, builder(_feats(), params)).otherwise(content)
+    labelled = staged.withColumn(out_col, _label(F.col(_N), F.col(comment_col), _feats(), content))
+    return labelled.drop(*_STAGED, "__rule_nota", *[f"__rule_{c}" for c in ["required", *_PARAMS]])
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cometa.operators import stats
 from cometa.session import materialize
 from cometa.operators.validate import audit, reset_analysis, resolve_roles, standardize_analysis
-from cometa.sources.csv_audit import csv_reader, read_audit_csv, write_validated
+from cometa.sources.csv_audit import csv_reader, read_audit_csv, validated_path, write_validated
 
 ANALYSIS = "ANÁLISE"
 
@@ -44,7 +44,7 @@ def prepare(df: DataFrame, analysis_col: str = ANALYSIS) -> tuple[DataFrame, str
 def run_audit(
     spark: SparkSession,
     input_path: str,
-    output_path: str,
+    output_path: str | None = None,
     sep: str = ";",
     multi_line: bool = True,
     fmt: str = "parquet",
@@ -52,7 +52,9 @@ def run_audit(
     legacy_last_match: bool = False,
     run_log_path: str | None = None,
 ) -> AuditRun:
+    """Audit the extracts under ``input_path`` into ``output_path`` (default: ``<input>_VALIDADO`` beside the input)."""
     t0 = time.time()
+    output_path = output_path or validated_path(input_path)
     df = read_audit_csv(spark, input_path, sep=sep, multi_line=multi_line)
     df, nota_col, comment_col = prepare(df)
     before = stats.audit_totals(df, ANALYSIS)

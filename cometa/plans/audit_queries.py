@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from cometa.functions.text import digit_run_count, first_digit_run, has_special_char, trim_ws
 from cometa.operators import stats
-from cometa.operators.rules import rules_frame
+from cometa.operators.rules import RULES_SCHEMA, rules_frame
 from cometa.operators.validate import (
     audit,
     with_audit_label,
     has_disallowed_letters,
     only_allowed_tokens,
     reset_analysis,
+    with_table_rules,
 )
 from cometa.plans.partitioning import spread_for_cpu
+from cometa.session import materialize
 from cometa.sources.derived import derived_audit_table
 from cometa.sources.tables import table
 
@@ -145,7 +147,24 @@ def fill_and_merge(spark, sf_dir):
     return out.select("k", "nota", "comentario", "analise", origin.alias("origin"))
 
 
+# Rules of a user's own: other notes, types and parameters than the fixed table's.
+CUSTOM_RULES = [
+    ("Z999", "FORMATO", "two numbers", None, None, r"^\d+ \d+$"),
+    ("C111", "MEDIDOR_LEITURA", "a reading instead of a text", None, None, None),
+    ("T171", "MEDIDOR_LEITURA_FUNCAO", "other functions", ["7", "55"], None, None),
+    ("R161", "FORMATO", "a pole", None, None, r"^poste [mM]\d{6}$"),
+    ("P131", "NOT A TYPE", "no validator", None, None, None),
+]
+
+
+def audit_custom_rules(spark, sf_dir):
+    """V16 as data: the rules come from a written table and are evaluated by joined parameters."""
+    rules = materialize(spark.createDataFrame(CUSTOM_RULES, RULES_SCHEMA), "custom_rules")
+    return with_table_rules(aud(spark, sf_dir), "nota", "comentario", rules).select("k", "nota", "comentario", "analise")
+
+
 QUERIES = {
+    "audit_custom_rules": audit_custom_rules,
     "audit_rows": audit_rows,
     "audit_preserve": audit_preserve,
     "audit_reset": audit_reset,

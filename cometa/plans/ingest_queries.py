@@ -17,21 +17,26 @@ from cometa.operators import mlprep as mp
 from cometa.operators.validate import resolve_roles, standardize_analysis
 from cometa.plans.audit_queries import aud
 from cometa.plans.ml_queries import docs
-from cometa.plans.oracle_audit import AUD_SQL
+from cometa.plans.oracle_audit import AUD_SQL, AUDIT_CTES
 from cometa.session import shared_path
 from cometa.sources.csv_audit import concat_tables, read_audit_csv, write_validated
 from cometa.sources.tables import table
+from cometa.streaming.audit_stream import start_audit_stream, totals_of
 
 
-def _extract(spark, sf_dir) -> str:
-    """Write the extract; every seventh record has no date."""
+def _layouts(spark, sf_dir) -> dict[str, DataFrame]:
+    """The extract in two layouts; every seventh record has no date."""
     a = aud(spark, sf_dir).withColumn("Data", F.when(F.col("k") % 7 != 0, "2024-08-01"))
     k, nota, text, prior, date = (F.col(c) for c in ("k", "nota", "comentario", "analise_previa", "Data"))
     first = [k.alias("N. Serie"), nota.alias("Nota leit"), text.alias("Coment\nleitura"), prior.alias("Análise"), date]
     second = [date, prior.alias("Análise "), text.alias("Comentleitura"), F.lit("x").alias("Extra"), nota.alias(" Nota leit"), k.alias("N Serie")]
+    return {"a layout": a.where(k % 2 == 0).select(*first), "b layout": a.where(k % 2 != 0).select(*second)}
+
+
+def _extract(spark, sf_dir) -> str:
     folder = shared_path(spark, f"extract_{uuid.uuid4().hex}")
-    write_validated(a.where(k % 2 == 0).select(*first), f"{folder}/a layout", fmt="csv")
-    write_validated(a.where(k % 2 != 0).select(*second), f"{folder}/b layout", fmt="csv")
+    for name, rows in _layouts(spark, sf_dir).items():
+        write_validated(rows, f"{folder}/{name}", fmt="csv")
     return f"{folder}/*"
 
 
@@ -74,18 +79,30 @@ def concat_by_name(spark, sf_dir) -> DataFrame:
     return concat_tables([c, s])
 
 
+def stream_totals(spark, sf_dir) -> DataFrame:
+    """A1/A3/A5 on the stream: running totals per (note, label) in micro-batches of three
+    files. The stream ends after the first layout and starts again when the second is there."""
+    folder = shared_path(spark, f"stream_{uuid.uuid4().hex}")
+    for name, rows in _layouts(spark, sf_dir).items():
+        write_validated(rows, f"{folder}/in/{name}", fmt="csv")
+        start_audit_stream(spark, f"{folder}/in/*", f"{folder}/out", files_per_batch=3).awaitTermination()
+    return totals_of(spark, f"{folder}/out")
+
+
 QUERIES = {
     "csv_ingest": csv_ingest,
     "header_roles": header_roles,
     "label_decode": label_decode,
     "fill_sentinel": fill_sentinel,
     "concat_by_name": concat_by_name,
+    "stream_totals": stream_totals,
 }
 
 ORACLE = {
     "csv_ingest": f"""SELECT k, nota, NULLIF(comentario, '') AS comentario, analise_previa,
         CASE WHEN k % 2 <> 0 THEN 'x' END AS "Extra" FROM ({AUD_SQL}) WHERE k % 7 <> 0""",
     "header_roles": f"SELECT nota, NULLIF(comentario, '') AS comentario, analise_previa AS analise FROM ({AUD_SQL}) WHERE k % 7 <> 0",
+    "stream_totals": AUDIT_CTES + "SELECT nota, analise, count(*) AS n FROM r WHERE k % 7 <> 0 GROUP BY nota, analise",
     "label_decode": "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS idx, source FROM documents",
     "fill_sentinel": "SELECT d.doc_id, COALESCE(l.quality, -1) AS quality, COALESCE(l.toxic, -1) AS toxic "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",

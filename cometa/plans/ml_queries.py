@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cometa.operators import category_stats as cs
 from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
 from cometa.operators.embed_cache import cache_misses
@@ -111,6 +112,16 @@ def _scored_audit(spark, sf_dir):
     return with_audit_label(aud(spark, sf_dir), "nota", "comentario", "pred")
 
 
+def category_statistics(spark, sf_dir):
+    """For each record and class, the class's smoothed share among the other
+    records of the same comment (outside the record's fold)."""
+    a = cs.with_fold(aud(spark, sf_dir), "analise_previa", F.col("k"))
+    stats = cs.fit_statistics(a, ["comentario"], "analise_previa")
+    rows = stats.shares(a, "fold", "shares").select("k", "fold", F.posexplode("shares").alias("at", "share"))
+    classes = F.array(*[F.lit(c) for c in stats.classes])
+    return rows.select("k", "fold", F.element_at(classes, F.col("at") + 1).alias("label"), F.round("share", 9).alias("share"))
+
+
 def report_by_class(spark, sf_dir):
     conf = em.confusion_counts(_scored_audit(spark, sf_dir), "analise_previa", "pred")
     r = em.per_class_report(conf)
@@ -159,6 +170,7 @@ QUERIES = {
     "class_support": class_support,
     "rare_class_filter": rare_class_filter,
     "class_weights": class_weights,
+    "category_statistics": category_statistics,
     "label_encode": label_encode,
     "encode_unk": encode_unk,
     "one_hot": one_hot,

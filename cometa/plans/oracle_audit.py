@@ -164,7 +164,25 @@ _RULES_VALUES = ", ".join(f"({_q([n])}, {_q([req])}, {_q([desc])})" for n, req,
 _BADGE_COLS = ", ".join(f"count(*) FILTER (WHERE analise = '{lbl}') AS \"{lbl}\"" for lbl in LABELS)
 _BADGE_UNNEST = " UNION ALL ".join(f"SELECT '{lbl}' AS label, \"{lbl}\" AS n FROM b" for lbl in LABELS)
 
+# The pre-checks of every note, then the custom rules of ``audit_custom_rules`` as a CASE.
+CUSTOM = AUDIT_CTES.split("v AS (")[0] + f"""
+v AS (
+  SELECT k, nota, comentario, CASE
+    WHEN n_ = 'L121' THEN NULL
+    WHEN comentario IS NULL OR c_ = '' THEN CASE WHEN n_ IN ({_q(COMMENT_OPTIONAL_NOTES)}) THEN 'C' ELSE 'SC' END
+    WHEN regexp_matches(c_, '[^\\p{{L}}\\p{{N}}_\\s]') THEN 'UCE'
+    WHEN contains(c_, '   ') THEN 'EE'
+    WHEN n_ IN ('T181', 'R111') AND (starts_with(c_, '03') OR regexp_matches(c_, '\\b03\\b')) THEN 'CFP'
+    WHEN tokens_only_ AND n_ IN ({_q(COMMENT_OPTIONAL_NOTES)}) THEN 'C'
+    WHEN n_ = 'Z999' THEN CASE WHEN regexp_matches(c_, '^\\d+ \\d+$') THEN 'C' ELSE 'CFP' END
+    WHEN n_ = 'R161' THEN CASE WHEN regexp_matches(c_, '^poste [mM]\\d{{6}}$') THEN 'C' ELSE 'CFP' END
+    WHEN n_ = 'C111' THEN {_MEDIDOR}
+    WHEN n_ = 'T171' THEN CASE WHEN NOT (contains(c_, '7') OR contains(c_, '55')) THEN 'NI' ELSE {_MEDIDOR} END
+    ELSE 'C' END AS analise FROM f)
+SELECT k, nota, comentario, analise FROM v"""
+
 ORACLE = {
+    "audit_custom_rules": CUSTOM,
     "audit_rows": AUDIT_CTES + "SELECT k, nota, comentario, v0 AS analise FROM v",
     "audit_preserve": AUDIT_CTES
     + "SELECT k, nota, comentario, analise_previa, COALESCE(analise_previa, v0) AS analise FROM v",

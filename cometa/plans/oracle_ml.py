@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cometa.operators.mlprep import SEQUENCE_LENGTH, STAGE2_PREFIX, STAGE2_SEPARATOR, UNK, VOCAB_MAX_TOKENS
-from cometa.plans.oracle_audit import AUDIT_CTES
+from cometa.plans.oracle_audit import AUD_SQL, AUDIT_CTES
 
 DOCS = """
 WITH docs AS (
@@ -49,7 +49,25 @@ s AS (SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred_
              list_max(p) AS confidence, list_max(p) < 0.6 AS review FROM p)
 """
 
+# A cross join of records and classes; the Spark side joins counts instead.
+CATEGORY_STATISTICS = f"""
+WITH r AS (SELECT k, comentario, analise_previa AS c,
+    CASE WHEN analise_previa IS NULL THEN -1 ELSE CAST(('0x' || substr(md5(CAST(k AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) END AS fold
+  FROM ({AUD_SQL})),
+classes AS (SELECT DISTINCT c AS label FROM r WHERE c IS NOT NULL),
+n AS (SELECT comentario, fold, c AS label, count(*) AS n FROM r WHERE c IS NOT NULL GROUP BY ALL),
+folds AS (SELECT DISTINCT fold FROM r),
+prior AS (SELECT f.fold, l.label, sum(CASE WHEN n.label = l.label THEN n.n ELSE 0 END) / sum(n.n) AS p
+  FROM folds f CROSS JOIN classes l JOIN n ON n.fold <> f.fold GROUP BY ALL),
+cells AS (SELECT DISTINCT comentario, fold FROM r),
+counted AS (SELECT s.comentario, s.fold, l.label, coalesce(sum(CASE WHEN n.label = l.label THEN n.n END), 0) AS hit, coalesce(sum(n.n), 0) AS total
+  FROM cells s CROSS JOIN classes l LEFT JOIN n ON n.comentario IS NOT DISTINCT FROM s.comentario AND n.fold <> s.fold GROUP BY ALL)
+SELECT r.k, r.fold, t.label, round((t.hit + 10.0 * p.p) / (t.total + 10.0), 9) AS share
+FROM r JOIN counted t ON t.comentario IS NOT DISTINCT FROM r.comentario AND t.fold = r.fold JOIN prior p ON p.fold = r.fold AND p.label = t.label
+"""
+
 ORACLE = {
+    "category_statistics": CATEGORY_STATISTICS,
     "pending_split": DOCS
     + "SELECT doc_id, CASE WHEN label IS NOT NULL THEN 'train' ELSE 'predict' END AS split FROM docs",
     "class_support": DOCS + "SELECT label, count(*) AS n FROM lab GROUP BY label",

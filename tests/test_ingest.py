@@ -215,3 +215,75 @@ def test_header_clauses(raw, once, twice):
 
     assert normalize_header(raw) == once
     assert normalize_header(raw, legacy_double_strip=True) == twice
+
+
+def _stream(spark, folder, **options):
+    from cometa.streaming.audit_stream import start_audit_stream
+
+    start_audit_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ckpt", totals_dir=f"{folder}/totals", **options).awaitTermination(120)
+
+
+def _totals(spark, folder):
+    from cometa.streaming.audit_stream import running_totals
+
+    return {(r.nota, r.analise): r.n for r in running_totals(spark, f"{folder}/totals").collect()}
+
+
+def _batch_totals(spark, folder):
+    run = run_audit(spark, f"{folder}/in", f"{folder}/bout", analyze=False)
+    return {(r[0], r[1]): r[2] for r in run.validated.groupBy(run.nota_col, ANALYSIS).count().collect()}
+
+
+def test_stream_labels_two_layouts_as_the_batch_does(spark, tmp_path):
+    """The columns of the second file stand in another order; by position its labels would be wrong."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Nota_leit;Comentleitura;Data\nB111;12345 678;d\n", encoding="utf-8")
+    (tmp_path / "in" / "b.csv").write_text("Comentleitura;Extra;Nota_leit;Data\n67890;e;B111;d\nnada;e;C111;d\n", encoding="utf-8")
+    _stream(spark, tmp_path)
+    streamed = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out"))
+    got = sorted(map(tuple, streamed.select("Nota_leit", "Comentleitura", ANALYSIS).collect()))
+    batch = run_audit(spark, str(tmp_path / "in"), str(tmp_path / "bout"), analyze=False).validated
+    assert got == sorted(map(tuple, batch.select("Nota_leit", "Comentleitura", ANALYSIS).collect()))
+    assert ("B111", "67890", "FL") in got
+
+
+def test_stream_totals_survive_restarts_and_repeated_batches(spark, tmp_path):
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        _write(str(tmp_path / "in" / f"m{k}.csv"), [HEADER] + ROWS[: 2 + k])
+    _stream(spark, tmp_path, files_per_batch=1)
+    first = _totals(spark, tmp_path)
+    assert first == _batch_totals(spark, tmp_path)
+    # the driver is lost before it logs the last batch: the batch is run again
+    last = max((tmp_path / "ckpt" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    shutil.copy(last, tmp_path / "kept")
+    last.unlink()
+    crc = last.with_name(f".{last.name}.crc")
+    if crc.exists():
+        crc.unlink()
+    (tmp_path / "in" / "n.csv").write_text("Data;Nota_leit;Comentleitura\nd;C111;texto\n", encoding="utf-8")
+    _stream(spark, tmp_path, files_per_batch=1)
+    assert _totals(spark, tmp_path) == _batch_totals(spark, tmp_path)
+    assert sum(_totals(spark, tmp_path).values()) == sum(first.values()) + 1
+
+
+def test_folded_totals_equal_the_sum_of_batches(spark, tmp_path):
+    from cometa.streaming.audit_stream import TOTALS, running_totals, write_totals
+
+    want = {}
+    for k in range(7):
+        rows = [(f"N{k % 2}", "C", k + 1), (None, None, 1)]
+        for _ in range(1 + k % 3):  # some batches are repeated
+            write_totals(spark.createDataFrame(rows, TOTALS), str(tmp_path), k, fold_every=3)
+        for n, a, x in rows:
+            want[n, a] = want.get((n, a), 0) + x
+    assert {(r.nota, r.analise): r.n for r in running_totals(spark, str(tmp_path)).collect()} == want
+    assert running_totals(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_job_names_its_output_after_the_input(spark, tmp_path):
+    _write(str(tmp_path / "m.csv"), [HEADER] + ROWS)
+    run = run_audit(spark, str(tmp_path / "m.csv"), analyze=False)
+    assert (tmp_path / "m_VALIDADO").is_dir() and run.validated.count() == len(ROWS) - 1
