@@ -2,41 +2,52 @@
 
 A vector's code has one bit per dimension (1 where the component is positive).
 The code is cut into m segments of about log2(rows) bits, and every segment is an
-index: (segment number, value) -> codes. A step (s, j) probes segment j of each
-open query with all values at Hamming distance s from the query's own. After the
-steps up to (s, j) in order, a code that was not found differs by s + 1 or more in
-the segments up to j and by s or more in the others, so every code within distance
-m * s + j has been found. A query closes when it has k verified neighbours and the
-k-th distance is within that radius; the others go on. A pair of codes is verified
-in the first step that meets it, so it is never handled twice.
+index: (segment number, value) -> codes. Step s probes every segment of each open
+query with all values at Hamming distance s from the query's own. After it, a code
+that was not found differs by s + 1 or more in every segment, so every code within
+distance m * s + m - 1 has been found. A query closes when it has k verified
+neighbours and the k-th distance is within that radius; the others go on. A pair of
+codes is verified in the first segment of the first step that meets it, so it is
+never handled twice.
+
+Each index is written once, in blocks of at most some ``BLOCK`` codes, sorted by the
+segment's value; the blocks of an index are told apart by the leading bits of the value
+(and, where very many codes share these, by a hash). A step sends each open query, in
+blocks too, to the leading bits within distance s of its own. Where a block of queries
+meets a block of codes, the probes for the rest of the value are looked up in the sorted
+values, or all values compared where that is less work, and only each query's k best
+leave the task: neither probes nor candidates are rows.
 
 Scale: equal codes are collapsed first, each with its k smallest ids (combined on
 the map side), so one vector held by a third of all rows is one code: an answer
 never needs more than k ids of one code. As segments widen with the logarithm of
-the rows, a probe meets about one code. Probes and candidates are joined by
-(segment, value) in shuffles that Spark may split where a value is frequent; the
-driver only asks whether queries are left. Every step's state is a written table,
-and nothing is broadcast.
+the rows, a probe meets about one code. A task holds one block of codes and one of
+queries; the driver only asks whether queries are left. Every step's state is a
+written table, and nothing is broadcast.
 
 Ties in distance go to the smaller id. Defined results: a row counts as its own
 neighbour, as queries run against all rows; rows with a null vector or id are
 neither queries nor answers; a null or NaN component, or one that a shorter vector
 lacks, is bit 0; repeated rows of one id count as one; if there are fewer than k
 ids, all are returned; an empty table gives an empty result. Only the named
-columns are read.
+columns are read; ids are long integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log2
+from math import ceil, comb, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cometa.llm.common import save
 
+BLOCK = 1 << 14
 TOP = 10
 EVERY = 50
 
@@ -64,8 +75,9 @@ def segment_values(vector: Column, bounds: list[tuple[int, int]]) -> Column:
     return F.array(*[value(a, b) for a, b in bounds])
 
 
-def masks(width: int, weight: int) -> Column:
-    return F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(width), weight)])
+def flips(width: int, weight: int) -> list[int]:
+    """All numbers of ``width`` bits of which ``weight`` are set."""
+    return [sum(1 << i for i in c) for c in combinations(range(width), weight)]
 
 
 def nearest(found: DataFrame, k: int, radius: int) -> DataFrame:
@@ -76,30 +88,88 @@ def nearest(found: DataFrame, k: int, radius: int) -> DataFrame:
     return best.withColumn("closed", F.coalesce(kth <= radius, F.lit(False)))
 
 
-def step(queries: DataFrame, codes: DataFrame, bounds: list[tuple[int, int]], s: int, segments: list[int]) -> DataFrame:
-    """query, distance, id of the pairs that this step is the first to meet."""
+def code_blocks(codes: DataFrame, bounds: list[tuple[int, int]], lead: int, k: int) -> DataFrame:
+    """The written blocks of all indexes: segment, lead, and, sorted by the segment's value, values, codes, ids and how many ids each code has."""
     m = len(bounds)
-
-    def probes(j: int) -> DataFrame:
-        own = F.get("query", F.lit(j))
-        values = F.transform(masks(bounds[j][1] - bounds[j][0], s), lambda x: x.bitwiseXOR(own))
-        return queries.select("query", F.lit(j).alias("segment"), F.explode(values).alias("value"))
-
-    def index(j: int) -> DataFrame:
-        return codes.select(F.lit(j).alias("segment"), F.get("code", F.lit(j)).alias("value"), "code", "ids")
-
-    probe, table = probes(segments[0]), index(segments[0])
-    for j in segments[1:]:
-        probe, table = probe.unionByName(probes(j)), table.unionByName(index(j))
-    apart = F.zip_with("query", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    pairs = probe.join(table.hint("merge"), ["segment", "value"]).select("query", "segment", "ids", apart.alias("apart"))
-    before = [(F.get("apart", F.lit(i)) > s) | (F.col("segment") <= i) for i in range(m)]
-    after = [(F.get("apart", F.lit(i)) >= s) | (F.col("segment") >= i) for i in range(m)]
-    first = F.lit(True)
-    for c in before + after:
-        first = first & c
-    distance = F.aggregate("apart", F.lit(0), lambda a, x: a + x)
-    return pairs.where(first).select("query", distance.alias("distance"), F.explode("ids").alias("id"))
+    each = codes.select("code", "ids", F.posexplode("code").alias("segment", "value"))
+    each = each.withColumn("lead", _lead(bounds, lead))
+    sizes = each.groupBy("segment", "lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    dealt = each.join(sizes, ["segment", "lead"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
+
+    def pack(key, table):
+        order = np.argsort(table.column("value").to_numpy(), kind="stable")
+        ids = table.column("ids").combine_chunks()
+        count = np.diff(ids.offsets.to_numpy())[order]
+        ids = ids.take(pa.array(order)).flatten().to_numpy()
+        code = table.column("code").combine_chunks().flatten().to_numpy().reshape(-1, m)[order]
+        row = [key[0].as_py(), key[1].as_py(), table.column("value").to_numpy()[order].tobytes(), code.tobytes(), ids.astype("<i8").tobytes(), count.astype("<i4").tobytes()]
+        types = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+        return pa.table({c: pa.array([v], t) for c, v, t in zip(("segment", "lead", "value", "code", "ids", "count"), row, types)})
+
+    packed = dealt.select("segment", "lead", "chunk", "value", "code", F.col("ids").cast("array<long>").alias("ids"))
+    schema = "segment int, lead int, value binary, code binary, ids binary, count binary"
+    return save(packed.groupBy("segment", "lead", "chunk").applyInArrow(pack, schema), "hamming_blocks")
+
+
+def _lead(bounds: list[tuple[int, int]], lead: int) -> Column:
+    """The leading bits of a segment's value: ``lead`` of them, or all if it has fewer."""
+    rest = F.array(*[F.lit(max(0, b - a - lead)) for a, b in bounds])
+    return F.call_function("shiftright", F.col("value"), F.get(rest, F.col("segment")))
+
+
+def step(queries: DataFrame, blocks: DataFrame, bounds: list[tuple[int, int]], lead: int, s: int, k: int, open_queries: int) -> DataFrame:
+    """query, distance, id: the k best of the pairs that step ``s`` is the first to meet, for each query and block."""
+    m, widths = len(bounds), [b - a for a, b in bounds]
+    own = queries.select(F.col("query"), F.posexplode("query").alias("segment", "value")).withColumn("lead", _lead(bounds, lead))
+    last = F.get(F.array(*[F.lit((1 << min(lead, w)) - 1) for w in widths]), F.col("segment"))
+    near = F.filter(F.sequence(F.lit(0), last), lambda x: F.bit_count(x) <= s)
+    sent = own.select("query", "segment", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("lead")))).alias("lead"))
+    share = max(1, ceil(open_queries / BLOCK * 8))
+    sent = sent.groupBy("segment", "lead", F.pmod(F.xxhash64("query"), F.lit(share)).alias("part")).agg(F.flatten(F.collect_list("query")).alias("queries"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_py() for c in ("segment", "value", "code", "ids", "count")}
+                j, value, ids = row["segment"], np.frombuffer(row["value"], "<i4"), np.frombuffer(row["ids"], "<i8")
+                code, count = np.frombuffer(row["code"], "<i4").reshape(-1, m), np.frombuffer(row["count"], "<i4")
+                first = np.cumsum(count) - count
+                asked = batch.column("queries")[r].values.to_numpy().reshape(-1, m)
+                low = max(0, widths[j] - lead)
+                found = ([], [], [])
+                for q in asked:
+                    t = s - int(q[j] >> low ^ value[0] >> low).bit_count()  # what the rest of the value may differ by
+                    if not 0 <= t <= low:
+                        continue
+                    if comb(low, t) * log2(len(value) + 1) < len(value):
+                        if (low, t) not in made:
+                            made[low, t] = np.array(flips(low, t), np.int32)
+                        probes = (int(value[0]) >> low << low | int(q[j]) & (1 << low) - 1) ^ made[low, t]
+                        a, b = np.searchsorted(value, probes, "left"), np.searchsorted(value, probes, "right")
+                        n = b - a
+                        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    else:
+                        at = np.flatnonzero(np.bitwise_count(value ^ q[j]) == s)
+                    apart = np.bitwise_count(code[at] ^ q)
+                    new = (apart[:, :j] > s).all(axis=1) & (apart[:, j:] >= s).all(axis=1)
+                    at, distance = at[new], apart[new].sum(axis=1, dtype=np.int32)
+                    if len(at) > k:  # those beyond the k-th code can't be among the k best
+                        inside = distance <= np.partition(distance, k - 1)[k - 1]
+                        at, distance = at[inside], distance[inside]
+                    n = count[at]
+                    mine = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    distance = np.repeat(distance, n)
+                    best = np.lexsort((mine, distance))[:k]
+                    for c, x in zip(found, (np.repeat(q[None], len(best), axis=0), distance[best], mine[best])):
+                        c.append(x)
+                if found[0]:
+                    q, distance, mine = (np.concatenate(c) for c in found)
+                    columns = [pa.array(list(q), pa.list_(pa.int32())), pa.array(distance, pa.int32()), pa.array(mine)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query", "distance", "id"])
+
+    met = blocks.hint("merge").join(sent, ["segment", "lead"])
+    return met.select("segment", "value", "code", "ids", "count", "queries").mapInArrow(compare, "query array<int>, distance int, id long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -117,15 +187,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "
     codes = save(own.groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids")), "hamming_codes")
     asked = save(coded(queries).distinct(), "hamming_queries")
 
+    lead = max(0, ceil(log2(max(1, codes.count()) / BLOCK)))
+    blocks = code_blocks(codes, bounds, lead, k)
     left = save(asked.select(F.col("code").alias("query")).distinct(), "hamming_open")
-    m, widest = len(bounds), max(b - a for a, b in bounds)
-    steps = [(s, list(range(m))) for s in (0, 1)] + [(s, [j]) for s in range(2, widest + 1) for j in range(m)]
     best, answers = None, None
-    for s, segments in steps:
-        found = step(left, codes, bounds, s, segments)
+    for s in range(max(b - a for a, b in bounds) + 1):
+        found = step(left, blocks, bounds, lead, s, k, left.count())
         if best is not None:
             found = found.unionByName(best.where(~F.col("closed")).select("query", "distance", "id"))
-        best = save(nearest(found, k, m * s + segments[-1]), "hamming_best")
+        best = save(nearest(found, k, len(bounds) * (s + 1) - 1), "hamming_best")
         closed = best.where("closed")
         answers = closed if answers is None else answers.unionByName(closed)
         left = save(left.join(closed.select("query").hint("merge"), "query", "left_anti"), "hamming_open")

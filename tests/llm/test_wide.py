@@ -186,6 +186,35 @@ def test_search_edges(spark):
     assert hamming_search.query(d.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block, width", [(4, 12), (16, 24), (1 << 14, 8)])
+def test_search_in_blocks_of_any_size(spark, monkeypatch, block, width):
+    """Blocks told apart by leading bits and by hash, probes looked up and values compared, near and far neighbours."""
+    monkeypatch.setattr(hamming_search, "BLOCK", block)
+    monkeypatch.setattr(hamming_search, "segment_bounds", lambda dims, rows: [(a, min(dims, a + width)) for a in range(0, dims, width)])
+    rng = np.random.default_rng(block)
+    bits = rng.integers(0, 2, (160, 48))
+    bits[:60, :24] = bits[0, :24]  # half a code that many share
+    bits[60:80] = bits[60]
+    bits[80:100] = bits[80] ^ (rng.random((20, 48)) < 0.05)
+    d = spark.createDataFrame([(k, [float(2 * b - 1) for b in row]) for k, row in enumerate(bits.tolist())], "vec_id long, embedding array<float>")
+    got = hamming_search.search(d, d.where("vec_id % 7 = 0"), k=6).collect()
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    want = [(q, r + 1, n, int(far[q, n])) for q in range(0, 160, 7) for r, n in enumerate(sorted(range(160), key=lambda n: (far[q, n], n))[:6])]
+    assert sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in got) == sorted(want)
+
+
+def test_search_plans_hold_no_probes(spark):
+    """At 24 bits a step's probes are made in tasks: the plan is as small at distance 7 as at 1."""
+    codes = spark.createDataFrame([([k, k + 1], [k]) for k in range(50)], "code array<int>, ids array<long>")
+    bounds = [(0, 24), (24, 48)]
+    blocks = hamming_search.code_blocks(codes, bounds, 3, 10)
+    plans = []
+    for s in (1, 7):
+        out = hamming_search.step(codes.select(F.col("code").alias("query")), blocks, bounds, 3, s, 10, 50)
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(plans[0] - plans[1]) < 10
+
+
 def test_mixing(docs, given, none, odd):
     got = rows_of(mixing.query(docs))
     assert got == rows_of(mixing.query(docs.repartition(3)))  # reruns agree
