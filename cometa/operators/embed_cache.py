@@ -19,13 +19,15 @@ from collections.abc import Callable
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cometa.operators.mlprep import tokenize
 from cometa.session import materialize
 
 CACHE_COLUMNS = ["model", "text_key", "embedding"]
+CACHE_SCHEMA = "model string, text_key string, embedding array<float>, bucket int"
+BUCKETS = 64
 
 
 def text_key(c):
@@ -84,6 +86,20 @@ def pandas_embedder(fn: Callable, dim: int, model: str, batch_rows: int = 32) ->
     return embed
 
 
+def bucket_of(key, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_cache(spark: SparkSession, cache_path: str, model: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The cache's rows of a model, from the given buckets' folders alone; None if nothing is cached yet."""
+    try:
+        cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+    except AnalysisException:  # the path does not exist
+        return None
+    cache = cache.where(F.col("model") == model)
+    return cache if buckets is None else cache.where(F.col("bucket").isin(buckets))
+
+
 def embed_with_cache(
     df: DataFrame,
     text_col: str,
@@ -96,7 +112,9 @@ def embed_with_cache(
     not yet cached under ``model``; new vectors are appended to the cache
     (a parquet table in a shared folder). A null text gets a null vector.
 
-    Keys are compared before any text is fetched, only the current keys'
+    The cache is cut into ``BUCKETS`` folders by the key's hash; folders that no
+    current key falls into are not opened, so a small table reads little of a large
+    cache. Keys are compared before any text is fetched, only the current keys'
     vectors are taken from the cache, and they are written as a plain table
     before the join back, so that adaptive execution may split a text that
     very many rows share. Rows with a null text stay out of the join.
@@ -105,18 +123,50 @@ def embed_with_cache(
     embedder = embedder or hashed_embedder(model=model)
     key = text_key(F.col(text_col))
     known = df.where(F.col(text_col).isNotNull()).withColumn("__key", key)
-    keys = materialize(known.select(F.col("__key").alias("text_key")).distinct(), "embedding_keys")
-    try:
-        cache = spark.read.parquet(cache_path).where(F.col("model") == model)
-        missing = keys.join(cache.select("text_key"), "text_key", "left_anti")
-    except AnalysisException:  # no cache yet (path does not exist)
-        missing = keys
-    texts = known.select(F.col("__key").alias("text_key"), F.col(text_col).alias("text")).join(missing, "text_key", "left_semi")
+    keys = materialize(known.select(F.col("__key").alias("text_key")).distinct().withColumn("bucket", bucket_of("text_key")), "embedding_keys")
+    used = sorted(r[0] for r in keys.select("bucket").distinct().collect())  # at most BUCKETS numbers
+    cache = read_cache(spark, cache_path, model, used)
+    missing = keys if cache is None else keys.join(cache.select("bucket", "text_key"), ["bucket", "text_key"], "left_anti")
+    texts = known.select(F.col("__key").alias("text_key"), F.col(text_col).alias("text")).join(missing.select("text_key"), "text_key", "left_semi")
     new = embedder(texts.groupBy("text_key").agg(F.first("text").alias("text")))
-    new.write.mode("append").parquet(cache_path)
+    append_vectors(new, cache_path)
     # Concurrent runs may append the same text twice: one vector per key.
-    cached = spark.read.parquet(cache_path).where(F.col("model") == model).join(keys, "text_key", "left_semi")
+    cache = read_cache(spark, cache_path, model, used)
+    if cache is None:  # no text at all
+        return df.withColumn(out_col, F.lit(None).cast("array<float>"))
+    cached = cache.join(keys, ["bucket", "text_key"], "left_semi")
     vectors = materialize(cached.groupBy("text_key").agg(F.first("embedding").alias(out_col)), "embedding_vectors")
     found = known.join(vectors.withColumnRenamed("text_key", "__key"), "__key", "left").drop("__key")
     kind = vectors.schema[out_col].dataType
     return found.unionByName(df.where(F.col(text_col).isNull()).withColumn(out_col, F.lit(None).cast(kind)))
+
+
+def append_vectors(new: DataFrame, cache_path: str) -> None:
+    """Add (model, text_key, embedding) to the cache, a file a bucket and write task; buckets are gathered first."""
+    new = new.withColumn("bucket", bucket_of("text_key"))
+    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(cache_path)
+
+
+def compact(spark: SparkSession, cache_path: str, least_files: int = 8) -> int:
+    """Rewrite each bucket that has ``least_files`` files or more as few files, one vector per (model, key).
+
+    The files listed first are read and written anew, and only then are just these
+    removed: what other runs append meanwhile stays, and a run that ends in between
+    leaves rows twice, which readers allow for. Returns the number of files removed.
+    A reader that has already listed the removed files must list them again.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{cache_path}/bucket=*/*.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    buckets: dict[str, list] = {}
+    for f in fs.globStatus(path) or []:
+        buckets.setdefault(f.getPath().getParent().toString(), []).append(f.getPath())
+    old = [f for files in buckets.values() if len(files) >= least_files for f in files]
+    if not old:
+        return 0
+    rows = spark.read.schema(CACHE_SCHEMA).option("basePath", cache_path).parquet(*[f.toString() for f in old])
+    kept = rows.groupBy("model", "text_key").agg(F.first("embedding").alias("embedding"))
+    append_vectors(kept, cache_path)
+    for f in old:
+        fs.delete(f, False)
+    return len(old)
