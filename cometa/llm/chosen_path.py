@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cometa.llm.common import WORD, save
+from cometa.llm.common import WORD, give_back_memory, save, steps
 from cometa.llm.components import components
 from cometa.llm.phrase_dedup import units
 from cometa.llm.repeats import Rolling, scramble
@@ -53,6 +53,7 @@ TOKENS = 128
 RUNS = 20
 LIMIT, DEPTH = 128, 3
 BLOCK = 1024
+STEP = 1 << 19
 CLOSE, LINK, APART = 0.82, 0.42, 0.2
 
 _G = np.random.Generator(np.random.PCG64(7))
@@ -91,7 +92,13 @@ def minwise(keys: np.ndarray) -> np.ndarray:
     return low
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of some ``STEP`` bytes of text: the keys of their bytes take some sixty times as much."""
+    for batch in batches:
+        yield from steps(batch, STEP)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -106,12 +113,13 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     narrow = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
             columns = [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "tokens"])
+        give_back_memory()
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, digest string, key binary, tokens binary")
 
@@ -133,6 +141,7 @@ def children(records: DataFrame, threshold: float, runs: int) -> DataFrame:
                 # the child's name is scrambled again: a chosen hash is small
                 child = scramble(h[row, token] + np.uint64(1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(child), keys.take(pa.array(row))], ["path", "key"])
+        give_back_memory()
 
     return records.mapInArrow(run, "path long, key binary")
 
@@ -207,14 +216,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(number, kind="stable")
     number, owner = number[order], owner[order]
     often = np.bincount(number, minlength=len(key))[number]
-    out = np.zeros(m * m, dtype=np.int64)
+    out = np.zeros(m * m, dtype=np.int32)
     rare = (often > 1) & (often <= 12)
     n, o = number[rare], owner[rare]
     for step in range(1, 12):
         same = n[step:] == n[:-step]
         if not same.any():
             break
-        out += np.bincount(o[:-step][same] * m + o[step:][same], minlength=m * m)
+        cell, n_same = np.unique(o[:-step][same] * m + o[step:][same], return_counts=True)
+        out[cell] += n_same.astype(np.int32)
     out = out.reshape(m, m)
     out = out + out.T
     n, o = number[often > 12], owner[often > 12]
@@ -224,14 +234,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         for k, (i, j) in enumerate(zip(edge[:-1], edge[1:])):
             a = np.zeros((m, 2048), dtype=np.float32)
             a[o[i:j], dense[i:j] - 2048 * k] = 1
-            out += np.rint(a @ a.T).astype(np.int64)
+            out += np.rint(a @ a.T).astype(np.int32)
     return out
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     size = np.array([len(s) for s in sets])
     both = intersections(sets)
-    out = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
+    out = np.empty(both.shape, dtype=bool)
+    for k in range(0, len(sets), 256):  # a few rows at a time need no further matrices
+        out[k : k + 256] = both[k : k + 256] * (1 + threshold) >= threshold * (size[k : k + 256, None] + size[None, :]) - 1e-9
     np.fill_diagonal(out, False)
     return out
 
@@ -257,10 +269,11 @@ def exact_links(docs: DataFrame, text: str, records: DataFrame, members: DataFra
     kept = ["component", "blocks", "block", "copies"]
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], [*kept, "key", "keys"])
+        give_back_memory()
 
     sets = texts.join(own, "digest").mapInArrow(with_sets, "component binary, blocks int, block int, copies long, key binary, keys binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -273,7 +286,11 @@ def exact_links(docs: DataFrame, text: str, records: DataFrame, members: DataFra
         if low[0] != high[0]:  # a pair of blocks: links inside a block are counted elsewhere
             links &= block[:, None] != block[None, :]
         root = roots(links)
-        return pa.table({"key": pa.array(keys, pa.binary()), "links": pa.array((links * copies[None, :]).sum(axis=1).astype(np.int64)), "root": pa.array([keys[r] for r in root], pa.binary())})
+        out = pa.table({"key": pa.array(keys, pa.binary()), "links": pa.array([int(copies[row].sum()) for row in links], pa.int64()), "root": pa.array([keys[r] for r in root], pa.binary())})
+        if len(keys) > BLOCK // 2:  # the matrices of a large group
+            del links, table
+            give_back_memory()
+        return out
 
     return sent.groupBy("component", "low", "high").applyInArrow(compare, "key binary, links long, root binary")
 

@@ -45,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cometa.llm.common import save
+from cometa.llm.common import give_back_memory, save
 
 SUPPORT = 10
 SAMPLE = 8
 LEAST = 2
 FILTER_BITS = 1 << 27  # 16 MB
 STEP = 1 << 22
-HOLD = 3 << 20  # keys that a task adds up before they leave it
+HOLD = 1 << 20  # keys that a task adds up before they leave it
 SHARE = 20_000
 NONE = "und"
 # The bytes that end a piece (as "."), those that part words, and lower case of A-Z alone.
@@ -200,6 +200,7 @@ def _count_keys(texts: DataFrame, longest: int, first, now, bits: int) -> DataFr
                     held = []
         if held:
             yield from let_go()
+        give_back_memory()
 
     return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -220,6 +221,7 @@ def _count_phrases(texts: DataFrame, longest: int, chosen, bits: int) -> DataFra
                         some, m = phrases.slice(k, 1 << 16), n[k : k + (1 << 16)]
                         columns = [pa.repeat(pa.scalar(lang), len(m)), pa.array(np.full(len(m), size, np.int32)), some, pa.array(m)]
                         yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
+        give_back_memory()
 
     return texts.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 

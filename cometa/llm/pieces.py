@@ -15,8 +15,8 @@ the library in the tests (in a job, that alone takes the library 560 CPU seconds
 a GB of Parquet).
 
 Scale: a narrow operator without a shuffle. The model travels as bytes in a
-broadcast (half a megabyte), so executors need no local file. A worker keeps at
-most ``KEEP`` segments, and cuts texts into stretches of at most ``STRETCH``
+broadcast (half a megabyte), so executors need no local file. A worker keeps one
+vocabulary and at most ``KEEP`` segments, works in steps of ``STEP`` bytes, and cuts texts into stretches of at most ``STRETCH``
 characters at a time, so a very long text needs memory in proportion to its own
 size only.
 
@@ -36,7 +36,10 @@ import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cometa.llm.common import give_back_memory, steps
+
 KEEP = 300_000
+STEP = 1 << 20
 STRETCH = 1 << 20
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -191,9 +194,9 @@ class MergeVocabulary:
 
 
 def load(spark, path: str):
-    """A broadcast of the model's bytes, read on the driver."""
+    """A broadcast of the model's bytes, read on the driver. A worker keeps the vocabulary that it makes from them beside them."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast({"model": f.read()})
 
 
 def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", give_ids: bool = True) -> DataFrame:
@@ -203,10 +206,12 @@ def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", tex
     out = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = MergeVocabulary(model.value)
+        if "vocabulary" not in model.value:
+            model.value["vocabulary"] = MergeVocabulary(model.value["model"])
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield one(vocabulary, batch.slice(at, 512))
+            for some in steps(batch, STEP):
+                yield one(model.value["vocabulary"], some)
+        give_back_memory()
 
     def one(v: MergeVocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
@@ -215,15 +220,17 @@ def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", tex
         decoded = [v.decode(x) for x in ids]
         if v.sp.decode(lists) != decoded:
             raise ValueError("the decoded texts and the sentencepiece library's differ")
+        count = np.array([len(x) for x in lists], np.int64)
         columns = [
             batch.column("doc_id"),
-            pa.array([len(x) for x in lists], pa.int64()),
+            pa.array(count),
             pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
         ]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if give_ids:
-            columns.append(pa.array(lists, pa.list_(pa.int32())))
+            edges = np.r_[0, np.cumsum(count)].astype(np.int32)  # a step's ids are far fewer than 2^31
+            columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 

@@ -34,7 +34,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cometa.llm.common import save
+from cometa.llm.common import give_back_memory, save
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -118,6 +118,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
         for at in range(0, len(there), 1 << 16):
             some = there[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(docs[1, some]), pa.array(docs[0, some])], ["bucket", "p", "q"])
+        give_back_memory()
 
     counted = rows.mapInArrow(count, "bucket long, p long, q long")
     return counted.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -162,6 +163,7 @@ def score_column(model: Model, text: Column) -> Column:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for one in texts:
             yield one.map(model.score).astype(float) if len(one) else pd.Series([], dtype=float)
+        give_back_memory()
 
     return score(F.coalesce(text, F.lit("")))
 

@@ -17,7 +17,7 @@ between ASCII white space, one after the other: the library encodes each distinc
 stretch of a batch, and ``KEEP`` or a batch's more are kept; else it encodes whole texts.
 
 Scale: one shuffle of texts, no table of ids in between. A task holds one shard's
-ids, one Arrow batch and the kept stretches. Files are written under a name of the
+ids, one Arrow batch (worked through in steps of ``STEP`` bytes) and the kept stretches. Files are written under a name of the
 attempt and then moved to a name that depends on place alone, so that an attempt
 that is run again replaces equal content. Only the manifest (a row a file) is
 ordered as a whole, to find the first position of each file.
@@ -31,6 +31,9 @@ from __future__ import annotations
 
 import json
 import os
+import random
+import re
+import string
 import struct
 import uuid
 import zlib
@@ -48,12 +51,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cometa.llm.common import save
+from cometa.llm.common import give_back_memory, save, steps
 from cometa.session import shared_path
 
 SHARD_TOKENS = 1 << 22
-BLOCK = 1 << 18
-KEEP = 1_000_000
+BLOCK = 1 << 16
+KEEP = 1_500_000
+CHECKED = 64
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # ASCII marks that open neither a contraction nor a special token
+WORD_AND_MARKS = re.compile(f"([A-Za-z]+)([{re.escape(MARKS)}]*)").fullmatch
+STEP = 1 << 22
 GROUP = 64
 SENTINEL = " \x00 "  # a word of its own; stretches that hold the character are encoded alone
 MAGIC = b"CWM1"
@@ -69,7 +76,8 @@ class Encoder:
         self.levels = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.parts = self._drops_space()
-        self.keep = keep
+        self.keep, self.marks = keep, {}
+        self.direct = self._model_takes_words()
         self._forget()
 
     def _forget(self) -> None:
@@ -109,21 +117,52 @@ class Encoder:
             raise ValueError("the tokenizer does not keep the sentinel apart")
         self._add(ids[np.flatnonzero(ids != self.sentinel[0])], np.diff(np.r_[-1, cuts]) - 1)
 
+    def _model_takes_words(self) -> bool:
+        """Whether the library's model, given ASCII words in lower case and runs of marks, gives the ids of the whole tokenizer, on a few thousand probes."""
+        rng = random.Random(1)
+        words = ["".join(rng.choices(string.ascii_letters, k=rng.randrange(1, 14))) + "".join(rng.choices(MARKS, k=rng.randrange(0, 5))) for _ in range(3000)]
+        return self.parts and all(self._of_model(*WORD_AND_MARKS(w).groups()) == e.ids for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)))
+
+    def _of_model(self, word: str, marks: str) -> list[int]:
+        ids = [t.id for t in self.tok.model.tokenize(word.lower())]
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = self.tok.encode(marks, add_special_tokens=False).ids
+            ids += self.marks[marks]
+        return ids
+
+    def _words(self, found: list[re.Match]) -> None:
+        """Add the ids of stretches that are a word and marks after it; the library's whole path checks one in ``CHECKED``."""
+        lists = [self._of_model(*m.groups()) for m in found]
+        checked = [m[0] for m in found[::CHECKED]]
+        if lists[::CHECKED] != [e.ids for e in self.tok.encode_batch_fast(checked, add_special_tokens=False)]:
+            raise ValueError("the tokenizer's model and its whole path differ")
+        self._add(np.fromiter(chain.from_iterable(lists), self.dtype), np.fromiter(map(len, lists), np.int64, len(lists)))
+
     def _stretches(self, stretches: list[str]) -> np.ndarray:
         """The places of distinct stretches in the pool, which is emptied once it holds more than ``keep``."""
         if len(self.at) > self.keep:
             self._forget()
-        new, odd = [], []
-        for s in stretches:
-            if s not in self.at:
-                (odd if SENTINEL[1] in s else new).append(s)
-        for k in range(0, len(new), 1 << 14):
-            self._together(new[k : k + (1 << 14)])
+        places = list(map(self.at.get, stretches))
+        new, plain, odd, found = [], [], [], []
+        for k, place in enumerate(places):
+            if place is None:
+                s = stretches[k]
+                m = WORD_AND_MARKS(s) if self.direct else None
+                if m:
+                    found.append(m)
+                    new.append(k)
+                else:
+                    (odd if SENTINEL[1] in s else plain).append(k)
+        if found:
+            self._words(found)
+        for at in range(0, len(plain), 1 << 14):
+            self._together([stretches[k] for k in plain[at : at + (1 << 14)]])
         if odd:
-            self._library(odd)
-        new += odd
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        return np.fromiter(map(self.at.__getitem__, stretches), np.int64, len(stretches))
+            self._library([stretches[k] for k in odd])
+        for place, k in enumerate([*new, *plain, *odd], len(self.at)):
+            places[k] = self.at[stretches[k]] = place
+        return np.array(places, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
@@ -158,15 +197,17 @@ def pack(ids: np.ndarray, levels: int, doc_ids: np.ndarray, no_id: np.ndarray, s
         at += len(raw)
 
     for level in range(levels - 1, -1, -1):
-        bit = (ids & ids.dtype.type(1 << level)) != 0
-        before = 0
-        for k in range(0, len(bit), BLOCK):
-            block = bit[k : k + BLOCK]
+        before, parted = 0, ([], [])
+        for k in range(0, len(ids), BLOCK):  # block by block, in the processor's cache
+            some = ids[k : k + BLOCK]
+            bit = (some & some.dtype.type(1 << level)) != 0
             ones.append(before)
-            before += int(np.count_nonzero(block))
-            add(press.compress(np.packbits(block, bitorder="little").tobytes()))
+            for side, mine in zip(parted, (~bit, bit)):
+                side.append(some[np.flatnonzero(mine)])
+            before += len(parted[1][-1])
+            add(press.compress(np.packbits(bit, bitorder="little").tobytes()))
         zeros.append(len(ids) - before)
-        ids = np.concatenate([ids[np.flatnonzero(~bit)], ids[np.flatnonzero(bit)]])
+        ids = np.concatenate([*parted[0], *parted[1], ids[:0]])
     docs = at
     add(press.compress(doc_ids.astype("<i8").tobytes() + starts.astype("<i8").tobytes() + np.packbits(no_id).tobytes()))
     directory = at
@@ -196,14 +237,17 @@ class WaveletFile:
         self.no_id = np.unpackbits(np.frombuffer(raw[16 * self.n_docs :], np.uint8))[: self.n_docs].astype(bool)
         self.kept: dict[tuple[int, int], np.ndarray] = {}
 
+    def _unpacked(self, level: int, block: int, raw: bytes) -> np.ndarray:
+        size = min(self.block, self.n - block * self.block)
+        return np.unpackbits(np.frombuffer(self.unpress.decompress(raw), np.uint8), count=size, bitorder="little")
+
     def _bits(self, level: int, block: int) -> np.ndarray:
         """The bits of one block of a plane (0 is the highest); the last few are kept."""
         if (level, block) not in self.kept:
             k = level * self.per_level + block
-            raw = self.unpress.decompress(self.read(int(self.places[k]), int(self.places[k + 1] - self.places[k])))
-            size = min(self.block, self.n - block * self.block)
+            raw = self.read(int(self.places[k]), int(self.places[k + 1] - self.places[k]))
             self.kept = dict([*self.kept.items()][-(2 * self.levels) :])
-            self.kept[level, block] = np.unpackbits(np.frombuffer(raw, np.uint8), count=size, bitorder="little")
+            self.kept[level, block] = self._unpacked(level, block, raw)
         return self.kept[level, block]
 
     def _ones(self, level: int, i: int) -> int:
@@ -279,10 +323,14 @@ class WaveletFile:
         dtype = np.dtype("<u2" if self.levels <= 16 else "<u4")
         ids = np.zeros(self.n, dtype)
         for level in range(self.levels - 1, -1, -1) if self.n else ():
-            bit = np.concatenate([self._bits(level, b) for b in range(self.per_level)]).view(bool)
-            up = np.empty_like(ids)
-            up[np.flatnonzero(~bit)] = ids[: self.zeros[level]]
-            up[np.flatnonzero(bit)] = ids[self.zeros[level] :] | dtype.type(1 << (self.levels - 1 - level))
+            at = self.places[level * self.per_level : (level + 1) * self.per_level + 1]
+            plane, up = memoryview(self.read(int(at[0]), int(at[-1] - at[0]))), np.empty_like(ids)
+            for b, one in enumerate(self.ones[level].tolist()):
+                bit = self._unpacked(level, b, plane[at[b] - at[0] : at[b + 1] - at[0]]).view(bool)
+                some, low, high = up[b * self.block :][: len(bit)], b * self.block - one, self.zeros[level] + one
+                zero_at, one_at = np.flatnonzero(~bit), np.flatnonzero(bit)
+                some[zero_at] = ids[low : low + len(zero_at)]
+                some[one_at] = ids[high : high + len(one_at)] | dtype.type(1 << (self.levels - 1 - level))
             ids = up
         return ids
 
@@ -312,13 +360,16 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     """Write the ids of all documents to wavelet files in ``folder``; the manifest: a row a file, and ``start``, the ids before it."""
     spark = df.sparkSession
     with open(tokenizer_path, "rb") as f:
-        definition = spark.sparkContext.broadcast(f.read())  # one and a half megabytes, whatever the input
+        # one and a half megabytes, whatever the input; a worker keeps the encoder that it has made beside them
+        shared = spark.sparkContext.broadcast({"definition": f.read()})
     fs, at = pafs.FileSystem.from_uri(folder)
     fs.create_dir(at, recursive=True)
     narrow = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, files = Encoder(definition.value), TaskContext.get().partitionId(), 0
+        if "encoder" not in shared.value:
+            shared.value["encoder"] = Encoder(shared.value["definition"])
+        encoder, part, files = shared.value["encoder"], TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.dtype)
         held: list[np.ndarray] = []
         keys: list[tuple] = []
@@ -335,10 +386,10 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             files, held, keys, size = files + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string()] + [pa.int64()] * 4)], ["path", "first_doc", "first_hash", "n_docs", "n_tokens"])
 
-        for batch in batches:
-            ids, counts = encoder.encode(batch.column("text"))
+        for some in chain.from_iterable(steps(batch, STEP) for batch in batches):
+            ids, counts = encoder.encode(some.column("text"))
             upto = np.cumsum(counts).tolist()
-            for key, h, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), [0, *upto], upto):
+            for key, h, a, b in zip(some.column("doc_id").to_pylist(), some.column("hash").to_pylist(), [0, *upto], upto):
                 if held and size + b - a + 1 > shard_tokens:
                     yield flush()
                 held.append(np.concatenate([ids[a:b], end]))
@@ -346,6 +397,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
                 size += b - a + 1
         if held:
             yield flush()
+        give_back_memory()
 
     ordered = narrow.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     manifest = save(ordered.mapInArrow(write, MANIFEST), "token_manifest")
