@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from cometa.operators import category_stats as cs
 from cometa.operators import evalmetrics as em
 from cometa.operators import mlprep as mp
+from cometa.operators import word_vectors as wv
 from cometa.operators.embed_cache import cache_misses
 from cometa.plans.audit_queries import aud
 from cometa.plans.joins import lookup_join
 from cometa.plans.partitioning import spread_for_cpu
 from cometa.operators.validate import with_audit_label
+from cometa.session import materialize
 from cometa.sources.derived import labelled_documents
 from cometa.sources.tables import table
 
@@ -107,6 +109,33 @@ def embedding_cache_misses(spark, sf_dir):
     return cache_misses(all_docs, "text", cached)
 
 
+def cooccurrence_ppmi(spark, sf_dir):
+    """Positive PMI of the 300 most frequent tokens, at most 2 apart, over all documents."""
+    d = spread_for_cpu(table(spark, sf_dir, "documents"))
+    vocab = materialize(mp.fit_vocabulary(d, "text", 302), "ppmi_vocabulary")
+    weights = wv.positive_pmi(wv.cooccurrences(d, "text", vocab, 2))
+    names = vocab.select("token", "id")
+    for end, out in (("a", "token"), ("b", "other")):
+        weights = lookup_join(weights, names.withColumnsRenamed({"token": out, "id": end}), end, how="inner")
+    return weights.select("token", "other", "n", F.round("weight", 6).alias("ppmi"))
+
+
+def word_factors(spark, sf_dir):
+    """Products of the factors of the weight matrix (300 tokens, 16 factors) with each other: they are orthonormal."""
+    v = wv.learn_word_vectors(spread_for_cpu(table(spark, sf_dir, "documents")), "text", 302, 2, 16)
+    x = v.select("id", F.posexplode("factors").alias("i", "x"))
+    pairs = x.join(x.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
+    return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 6) + F.lit(0.0)).alias("product"))
+
+
+def word_neighbours(spark, sf_dir):
+    """The nearest of the 1,000 most frequent tokens to the ten most frequent."""
+    d = spread_for_cpu(table(spark, sf_dir, "documents"))
+    v = materialize(wv.learn_word_vectors(d, "text", 1002), "word_vectors")
+    words = [r.token for r in v.where("id < 10").collect()]
+    return wv.nearest_words(v, words)
+
+
 def _scored_audit(spark, sf_dir):
     """Prior labels as truth, the rule label as prediction."""
     return with_audit_label(aud(spark, sf_dir), "nota", "comentario", "pred")
@@ -180,6 +209,9 @@ QUERIES = {
     "vocab_topk": vocab_topk,
     "token_sequence": token_sequence,
     "embedding_cache_misses": embedding_cache_misses,
+    "cooccurrence_ppmi": cooccurrence_ppmi,
+    "word_factors": word_factors,
+    "word_neighbours": word_neighbours,
     "report_by_class": report_by_class,
     "report_averages": report_averages,
     "argmax_confidence": argmax_confidence,

@@ -66,7 +66,23 @@ SELECT r.k, r.fold, t.label, round((t.hit + 10.0 * p.p) / (t.total + 10.0), 9) A
 FROM r JOIN counted t ON t.comentario IS NOT DISTINCT FROM r.comentario AND t.fold = r.fold JOIN prior p ON p.fold = r.fold AND p.label = t.label
 """
 
+PPMI = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, list_filter({_STD}, lambda t: t <> '') AS t FROM documents WHERE text IS NOT NULL),
+toks AS MATERIALIZED (SELECT doc, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM d),
+vocab AS (SELECT token FROM (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS place FROM toks GROUP BY token) WHERE place <= 300),
+ahead AS (SELECT token, lead(token) OVER w AS one, lead(token, 2) OVER w AS two FROM toks WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+near AS (SELECT token AS a, one AS b FROM ahead UNION ALL SELECT token, two FROM ahead),
+known AS (SELECT a, b FROM near WHERE a IN (SELECT token FROM vocab) AND b IN (SELECT token FROM vocab)),
+n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM known UNION ALL SELECT b, a FROM known) GROUP BY a, b),
+own AS (SELECT a, sum(n) AS n FROM n GROUP BY a),
+w AS (SELECT n.a AS token, n.b AS other, n.n, ln(n.n::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / (x.n::DOUBLE * y.n::DOUBLE)) AS ppmi
+  FROM n JOIN own x ON x.a = n.a JOIN own y ON y.a = n.b)
+SELECT token, other, n, round(ppmi, 6) AS ppmi FROM w WHERE ppmi > 0
+"""
+
 ORACLE = {
+    "cooccurrence_ppmi": PPMI,
+    "word_factors": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range(16) a(i) CROSS JOIN range(16) b(j)",
     "category_statistics": CATEGORY_STATISTICS,
     "pending_split": DOCS
     + "SELECT doc_id, CASE WHEN label IS NOT NULL THEN 'train' ELSE 'predict' END AS split FROM docs",
