@@ -256,6 +256,26 @@ def two_stage_contract(spark, sf_dir):
     )
 
 
+def _vector_predicted(spark, sf_dir) -> DataFrame:
+    """The kept epoch's predictions of the validation rows, written once."""
+    rows, trained = _vector_training(spark, sf_dir)
+    held = regression_model(trained.weights).transform(rows.where(~F.col("train")))
+    held = em.with_confidence(held.select("vec_id", F.col("label_idx").cast("int").alias("label_idx"), vector_to_array("probability").alias("p")), "p")
+    return materialize(held, "vector_predictions")
+
+
+def vector_predict(spark, sf_dir):
+    """M4 + M7 on stored vectors: class, confidence and review flag of each validation row."""
+    p = _vector_predicted(spark, sf_dir)
+    return p.select("vec_id", "label_idx", "pred_idx", F.round("confidence", 6).alias("confidence"), "review")
+
+
+def vector_report(spark, sf_dir):
+    """A11 + A12 of that model, from its written predictions."""
+    report = em.per_class_report(em.confusion_counts(_vector_predicted(spark, sf_dir), "label_idx", "pred_idx"))
+    return report.select(F.col("label").cast("int").alias("label"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 QUERIES = {
     "rf_predict": rf_predict,
     "rf_contract": rf_contract,
@@ -265,6 +285,8 @@ QUERIES = {
     "text_history": text_history,
     "epoch_history": epoch_history,
     "calibration": calibration,
+    "vector_predict": vector_predict,
+    "vector_report": vector_report,
     "embedding_predict": embedding_predict,
     "embedding_contract": embedding_contract,
     "embedding_join": embedding_join,
@@ -320,6 +342,26 @@ EPOCH_HISTORY = (
 )
 
 
+def _held_sql(epochs: int = 12) -> str:
+    """The kept epoch's probabilities of the validation rows: vec_id, y, c, p; then the first greatest of each row."""
+    held = " UNION ALL ".join(f"SELECT {k} AS epoch, vec_id, y, c, p FROM p{k} WHERE NOT train" for k in range(1, epochs + 1))
+    return f"""{_epoch_sql()}, chosen AS MATERIALIZED (SELECT vec_id, y, c, p FROM ({held}) WHERE epoch = (SELECT lead FROM kept_epoch)),
+    said AS MATERIALIZED (SELECT vec_id, y, c, p FROM chosen QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c) = 1)"""
+
+
+VECTOR_PREDICT = (
+    _held_sql()
+    + " SELECT vec_id, CAST(y AS INTEGER) AS label_idx, CAST(c AS INTEGER) AS pred_idx, round(p, 6) AS confidence, p < 0.6 AS review FROM said"
+)
+VECTOR_REPORT = (
+    _held_sql()
+    + """, per AS (SELECT label, sum(hit) AS hit, sum(truth) AS truth, sum(pred) AS pred FROM (
+      SELECT y AS label, CAST(y = c AS INTEGER) AS hit, 1 AS truth, 0 AS pred FROM said UNION ALL SELECT c, 0, 0, 1 FROM said) GROUP BY label),
+    q AS (SELECT label, CASE WHEN pred > 0 THEN hit / pred ELSE 0.0 END AS pr, CASE WHEN truth > 0 THEN hit / truth ELSE 0.0 END AS re, truth FROM per)
+    SELECT CAST(label AS INTEGER) AS label, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1, CAST(truth AS BIGINT) AS support FROM q"""
+)
+
+
 def _calibration_sql(steps: int = 8, epochs: int = 12) -> str:
     """The kept epoch's probabilities of the validation rows, then Newton's steps written out."""
     held = " UNION ALL ".join(f"SELECT {k} AS epoch, vec_id, y, c, p FROM p{k} WHERE NOT train" for k in range(1, epochs + 1))
@@ -349,6 +391,8 @@ def oracles(audit_table: str) -> dict[str, str]:
             analise_previa AS kept_label, true AS known_class FROM ({audit_table})""",
         "epoch_history": EPOCH_HISTORY,
         "calibration": _calibration_sql(),
+        "vector_predict": VECTOR_PREDICT,
+        "vector_report": VECTOR_REPORT,
         "text_contract": f"SELECT doc_id, true AS known_class, true AS sums_to_one, true AS flag_is_threshold {_TODO}",
         "embedding_contract": f"SELECT doc_id, true AS known_class, true AS sums_to_one, true AS flag_is_threshold {_TODO}",
         "embedding_join": "SELECT doc_id, text IS NOT NULL AS has_vector, CASE WHEN text IS NOT NULL THEN 1.0::DOUBLE END AS norm FROM documents",
