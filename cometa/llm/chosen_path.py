@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cometa.llm.common import WORD, give_back_memory, save, steps
+from cometa.llm.common import WORD, free_name, give_back_memory, save, steps
 from cometa.llm.components import components
 from cometa.llm.phrase_dedup import units
 from cometa.llm.repeats import Rolling, scramble
@@ -329,14 +329,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     placed = classes(docs, doc_id, text, **how)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
     first = placed.where(F.col("component").isNotNull()).groupBy("component").agg(least)
-    first = first.select(F.col("least.digest").alias("digest of a text"), F.col("least.doc_id").alias("id of a class"))
+    own, of, at = (free_name(docs.columns, c) for c in ("digest of a text", "id of a class", "place of a row"))
+    first = first.select(F.col("least.digest").alias(own), F.col("least.doc_id").alias(of))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     words = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
-    tagged = docs.where(words).withColumn("digest of a text", digest(F.col(text)))
-    found = tagged.join(first, "digest of a text").where(F.col(doc_id).eqNullSafe(F.col("id of a class")))
+    tagged = docs.where(words).withColumn(own, digest(F.col(text)))
+    found = tagged.join(first, own).where(F.col(doc_id).eqNullSafe(F.col(of)))
     # a row may be repeated; one of it stays
-    place = F.row_number().over(W.partitionBy("digest of a text", doc_id).orderBy(F.lit(0)))
-    once = found.withColumn("place of a row", place).where(F.col("place of a row") == 1)
+    once = found.withColumn(at, F.row_number().over(W.partitionBy(own, doc_id).orderBy(F.lit(0)))).where(F.col(at) == 1)
     return once.select(*columns).unionByName(docs.where(~words))
 
 

@@ -69,6 +69,14 @@ def give_back_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or ``name`` and so many primes that no column is called so (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "'"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cometa.llm.common import WORD, save, word_count
+from cometa.llm.common import WORD, free_name, save, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -118,10 +118,11 @@ def mix(
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as the mix takes it; the one at a source's cut is kept whole."""
-    tagged = save(docs.withColumn("row of a table", F.monotonically_increasing_id()), "mix_rows")
-    taken = mix(tagged, row="row of a table").where(F.col("copies") > 0)
-    times = taken.select(F.col("row").alias("row of a table"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time of a row"))
-    return tagged.join(times, "row of a table").drop("row of a table", "time of a row")
+    row, time = free_name(docs.columns, "row of a table"), free_name(docs.columns, "time of a row")
+    tagged = save(docs.withColumn(row, F.monotonically_increasing_id()), "mix_rows")
+    taken = mix(tagged, row=row).where(F.col("copies") > 0)
+    times = taken.select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(time))
+    return tagged.join(times, row).drop(row, time)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ the same numbers.
 
 Defined results: null values travel like others; equal rows are placed one by
 one, since a row is identified by its place in the written table; an empty
-table gives an empty result; extra columns travel with their rows, but a column
-that is called ``shard`` or ``slot`` is replaced.
+table gives an empty result; extra columns travel with their rows, and a column
+that is called ``shard`` or ``slot`` travels as ``shard given`` or ``slot given``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cometa.llm.common import save
+from cometa.llm.common import free_name, save
 
 GROUP_BLOCKS = 256
 
@@ -107,7 +107,8 @@ class Matrix:
 
 def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, window_rows: int = 16384) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    df = df.drop("shard", "slot")
+    for c in [c for c in df.columns if c.lower() in ("shard", "slot")]:
+        df = df.withColumnRenamed(c, free_name(df.columns, f"{c} given"))
     kept = [F.col(f"`{c}`") for c in df.columns]
     place = F.monotonically_increasing_id()
     fixed = save(

@@ -3,7 +3,8 @@ import random
 import pytest
 
 # names that the operators use inside, and names of result columns
-CLASH = ["size", "key", "digest", "shard", "slot", "row", "taken", "path", "component", "start", "kind", "block", "pos", "score", "kept", "distance"]
+CLASH = ["size", "key", "digest", "shard", "slot", "row", "taken", "path", "component", "start", "kind", "block", "pos", "score", "kept", "distance",
+         "row of a table", "time of a row", "digest of a text", "id of a class", "place of a row", "shard given"]
 
 
 def prose(rng, n, words=400):
