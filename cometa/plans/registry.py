@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def all_queries():
-    from cometa.plans import audit_queries, geo_queries, ingest_queries, ml_queries, model_queries
+    from cometa.plans import audit_queries, geo_queries, ingest_queries, ml_queries, model_queries, rule_queries
 
     out = {}
     out.update(audit_queries.QUERIES)
+    out.update(rule_queries.QUERIES)
     out.update(ml_queries.QUERIES)
     out.update(geo_queries.QUERIES)
     out.update(model_queries.QUERIES)

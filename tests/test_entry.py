@@ -7,7 +7,7 @@ import __spark_entry__ as e
 from tests.conftest import SF001
 from tools.oracle_check import compare, open_duckdb
 
-MODEL_QUERIES = {"rf_predict", "text_predict", "text_report", "text_history", "embedding_predict", "two_stage_infer"}
+MODEL_QUERIES = {"rf_predict", "text_predict", "text_report", "text_history", "embedding_predict", "two_stage_infer", "word_neighbours"}
 
 
 def test_entry(spark):
