@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -63,7 +62,6 @@ def steps(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa
 
 def give_back_memory() -> None:
     """Return a task's freed memory to the system: the worker process outlives the task, and the next may need other tables."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
