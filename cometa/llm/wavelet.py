@@ -76,7 +76,7 @@ class Encoder:
         self.levels = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.parts = self._drops_space()
-        self.keep, self.marks = keep, {}
+        self.keep, self.marks, self.model = keep, {}, self.tok.model
         self.direct = self._model_takes_words()
         self._forget()
 
@@ -124,7 +124,7 @@ class Encoder:
         return self.parts and all(self._of_model(*WORD_AND_MARKS(w).groups()) == e.ids for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)))
 
     def _of_model(self, word: str, marks: str) -> list[int]:
-        ids = [t.id for t in self.tok.model.tokenize(word.lower())]
+        ids = [t.id for t in self.model.tokenize(word.lower())]
         if marks:
             if marks not in self.marks:
                 self.marks[marks] = self.tok.encode(marks, add_special_tokens=False).ids
@@ -144,16 +144,11 @@ class Encoder:
         if len(self.at) > self.keep:
             self._forget()
         places = list(map(self.at.get, stretches))
-        new, plain, odd, found = [], [], [], []
-        for k, place in enumerate(places):
-            if place is None:
-                s = stretches[k]
-                m = WORD_AND_MARKS(s) if self.direct else None
-                if m:
-                    found.append(m)
-                    new.append(k)
-                else:
-                    (odd if SENTINEL[1] in s else plain).append(k)
+        missing = [k for k, place in enumerate(places) if place is None]
+        matched = [WORD_AND_MARKS(stretches[k]) for k in missing] if self.direct else [None] * len(missing)
+        new, found = [k for k, m in zip(missing, matched) if m], [m for m in matched if m]
+        other = [k for k, m in zip(missing, matched) if not m]
+        plain, odd = [k for k in other if SENTINEL[1] not in stretches[k]], [k for k in other if SENTINEL[1] in stretches[k]]
         if found:
             self._words(found)
         for at in range(0, len(plain), 1 << 14):
@@ -180,8 +175,9 @@ class Encoder:
             which = edges[:-1]
         length = self.ends[which + 1] - self.ends[which]
         upto = np.r_[0, np.cumsum(length)]
-        place = np.repeat(self.ends[which] - upto[:-1], length)
-        place += np.arange(len(place))
+        # a step has far fewer ids than 2^31
+        place = np.repeat((self.ends[which] - upto[:-1]).astype(np.int32), length)
+        place += np.arange(len(place), dtype=np.int32)
         return self.pool[place], np.diff(upto[edges - edges[0]])
 
 
