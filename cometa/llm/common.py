@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import resource
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ from cometa.session import shared_path
 # Words are maximal runs of characters other than ASCII white space. Fixed value.
 WORD = r"[^\x20\x09-\x0D]+"
 
+LARGE_PROCESS = 256 << 20
 # Shuffle files of a finished statement are removed under this setting instead
 # of when the driver happens to collect garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -61,7 +64,11 @@ def steps(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa
 
 
 def give_back_memory() -> None:
-    """Return a task's freed memory to the system: the worker process outlives the task, and the next may need other tables."""
+    """Return a task's freed memory to the system: the worker process outlives the task, and the next may need other tables.
+    Cycles are collected first in a process that has grown large (it takes too long to do so after every small task)."""
+    with contextlib.suppress(OSError), open("/proc/self/statm") as f:
+        if int(f.read().split()[1]) * resource.getpagesize() > LARGE_PROCESS:
+            gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
