@@ -8,7 +8,8 @@
    ``dim + extra`` columns is multiplied by the matrix a few times and made orthonormal
    after each product, then the matrix is solved inside the space found.
 
-Scale: pair counting is one aggregation with partial sums in each task. A product
+Scale: a task reads its texts once, holds the vocabulary and adds its pairs up by the
+places of their tokens; the tasks' sums are one aggregation. A product
 sends each task's partial sums of the rows it has met; the block, vocabulary x columns
 numbers, is all that the driver holds, and the parameters fix its size. The matrix
 itself stays a table, written once.
@@ -20,13 +21,13 @@ embedding cache in place of hashed tokens.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cometa.functions import grams
 from cometa.operators.mlprep import fit_vocabulary, tokenize
 from cometa.plans.joins import lookup_join
 from cometa.session import materialize
@@ -35,22 +36,61 @@ WINDOW = 4
 DIM = 64
 EXTRA = 10
 ROUNDS = 4
+HELD_CHUNKS = 64  # chunks of text whose pairs are added up at once
+HELD_PAIRS = 1 << 21  # unlike pairs that a task holds
 
 
 def cooccurrences(df: DataFrame, text_col: str, vocab: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a, b, n): how often two tokens of ``vocab`` (token, id) stand at most ``window`` apart; ids, both orders, a token beside itself twice."""
-    tokens = df.select(tokenize(F.col(text_col)).alias("t")).where(F.size("t") > 1)
+    known = vocab.select("token", "id").collect()  # the vocabulary, whose size a parameter fixes
+    names = {r.token.encode(): k for k, r in enumerate(known)}
+    given = df.sparkSession.sparkContext.broadcast((names, np.array([r.id for r in known], np.int64)))
 
-    def apart(d: int) -> DataFrame:
-        ends = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - d, F.lit(0))).alias("x"), F.slice("t", d + 1, F.greatest(F.size("t") - d, F.lit(0))).alias("y"))
-        return tokens.select(F.explode(ends).alias("p")).select(F.least("p.x", "p.y").alias("x"), F.greatest("p.x", "p.y").alias("y"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids = given.value
+        total, held = _summed([]), []
 
-    pairs = reduce(DataFrame.unionByName, [apart(d) for d in range(1, window + 1)]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    known = vocab.select("token", "id")
-    for end, out in (("x", "a"), ("y", "b")):
-        pairs = lookup_join(pairs, known.withColumnsRenamed({"token": end, "id": out}), end, how="inner")
+        def rows(total: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            a, b = ids[total[0] // max(len(ids), 1)], ids[total[0] % max(len(ids), 1)]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[1])], ["a", "b", "n"])
+
+        for batch in batches:
+            for part in grams.chunks(batch.column("t")):
+                held.append(_pairs([grams.tokens(x) for x in part], place, window))
+                if len(held) == HELD_CHUNKS:
+                    total, held = _summed([total, *held]), []
+                    if len(total[0]) > HELD_PAIRS:
+                        yield rows(total)
+                        total = _summed([])
+        yield rows(_summed([total, *held]))
+
+    pairs = df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "a long, b long, n long")
     both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "n")
-    return both.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    kind = vocab.schema["id"].dataType
+    return both.groupBy(F.col("p.a").cast(kind).alias("a"), F.col("p.b").cast(kind).alias("b")).agg(F.sum("n").alias("n"))
+
+
+def _pairs(lists: list[list[bytes]], place: dict[bytes, int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lesser place * size of the vocabulary + greater place, how often) of the texts' near tokens; tokens of no place keep theirs in the text."""
+    token = np.fromiter((place.get(t, -1) for x in lists for t in x), np.int64)
+    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keys = []
+    for d in range(1, window + 1):
+        x, y = token[:-d], token[d:]
+        both = (text[:-d] == text[d:]) & (x >= 0) & (y >= 0)
+        keys.append(np.minimum(x, y)[both] * len(place) + np.maximum(x, y)[both])
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that may repeat among the parts, once each, with the sum of their counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def positive_pmi(counts: DataFrame) -> DataFrame:
