@@ -5,8 +5,8 @@ aggregated, so a text repeated by a third of the rows costs one row per
 task) are anti-joined with the cache table, the misses are embedded, appended
 to the cache, and the vectors are joined back by text key.
 
-The embedder is pluggable. The default is JVM-side feature hashing
-(``HashingTF`` over tokens and token bigrams, L2-normalized), deterministic
+The embedder is pluggable. The default is feature hashing (as ``HashingTF``
+does, over tokens and token bigrams, L2-normalized), deterministic
 and offline; :func:`pandas_embedder` wraps any batch function
 ``pandas.Series[str] -> list[list[float]]`` (e.g. a local transformer model)
 as an Arrow-batched ``mapInPandas`` over the misses only.
@@ -16,13 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import HashingTF, NGram, Normalizer
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cometa.operators.mlprep import tokenize
+from cometa.functions.grams import hashed_counts
 from cometa.session import materialize
 
 CACHE_COLUMNS = ["model", "text_key", "embedding"]
@@ -54,10 +54,8 @@ def hashed_embedder(dim: int = 768, model: str = "hashed-ngrams") -> Callable[[D
     """Default embedder: (text_key, text) -> (model, text_key, embedding)."""
 
     def embed(texts: DataFrame) -> DataFrame:
-        toks = texts.withColumn("__tok", tokenize(F.col("text")))
-        toks = NGram(n=2, inputCol="__tok", outputCol="__bi").transform(toks)
-        toks = toks.withColumn("__feat", F.concat("__tok", "__bi"))
-        tf = HashingTF(numFeatures=dim, inputCol="__feat", outputCol="__tf").transform(toks)
+        # the hashed counts of tokens and token bigrams, from the text at once
+        tf = texts.withColumn("__tf", hashed_counts(2, dim)("text"))
         nrm = Normalizer(p=2.0, inputCol="__tf", outputCol="__v").transform(tf)
         return nrm.select(
             F.lit(model).alias("model"), "text_key", vector_to_array("__v", "float32").alias("embedding")
