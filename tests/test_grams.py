@@ -26,7 +26,9 @@ def test_text_features_make_no_strings_of_ngrams():
     assert not any(isinstance(s, (NGram, HashingTF)) for s in md.text_feature_stages("text"))
 
 
-def test_a_split_is_not_dealt_by_class(spark):
+def test_a_written_split_is_not_dealt_by_class(spark):
     rows = spark.createDataFrame([(i, "xy"[i % 2], "t" * 50) for i in range(100)], "k int, c string, text string")
-    plan = mp.stratified_split(rows, "c", "k")._jdf.queryExecution().optimizedPlan().toString()
+    lazy, split = (mp.stratified_split(rows, "c", "k", written=w) for w in (False, True))
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan  # the classes' last rows are a written table
+    assert sorted(split.collect()) == sorted(lazy.collect())
