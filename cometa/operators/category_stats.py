@@ -21,6 +21,9 @@ the class list. Null is a category of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,36 +48,44 @@ class CategoryStatistics:
 
     def __init__(self, counts: DataFrame, keys: list[str], classes: list[str], strength: float = STRENGTH) -> None:
         self.keys, self.classes, self.strength = keys, classes, strength
-        at = {c: i for i, c in enumerate(classes)}
-        per = F.array(*[F.coalesce(F.sum(F.when(F.col("__c") == c, F.col("__n"))), F.lit(0)) for c in at])
-        own = counts.groupBy(*keys, "__f").agg(per.alias("__own"))
-        every = counts.groupBy(*keys).agg(per.alias("__all"))
-        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-        held = own.alias("o").join(every.alias("e"), same).select(*[F.col(f"o.{k}") for k in keys], "__f", "__own", "__all")
-        whole = every.select(*keys, F.lit(ALL).alias("__f"), F.array_repeat(F.lit(0).cast("long"), len(at)).alias("__own"), "__all")
-        left = held.unionByName(whole).select(*keys, "__f", F.zip_with("__all", "__own", lambda a, b: a - b).alias("__left"))
-        total = F.aggregate("__left", F.lit(0).cast("long"), lambda a, x: a + x)
-        self.table = materialize(left.withColumn("__total", total), "category_counts")
-        folds = counts.groupBy("__f").agg(per.alias("__own")).collect()  # a row a fold
-        sums = [sum(r["__own"][i] for r in folds) for i in range(len(classes))]
+        n = F.col("__n")
+        per = [F.coalesce(F.sum(F.when(F.col("__c") == c, n)), F.lit(0)).alias(f"__n{j}") for j, c in enumerate(classes)]
+        folds = {r["__f"]: list(r)[1:] for r in counts.groupBy("__f").agg(*per).collect()}  # a row a fold
+        sums = [sum(x) for x in zip(*folds.values())] or [0] * len(classes)
         self.prior = {}
-        for fold, mine in [(ALL, [0] * len(classes)), *((r["__f"], r["__own"]) for r in folds)]:
+        for fold, mine in {ALL: [0] * len(classes), **folds}.items():
             rest = [a - b for a, b in zip(sums, mine)]
-            n = sum(rest)
-            self.prior[fold] = [x / n if n else 1 / len(classes) for x in rest]
+            total = sum(rest)
+            self.prior[fold] = [x / total if total else 1 / len(classes) for x in rest]
+        # a row a category with its count of each fold and class, then one for each fold that it has and for all
+        held = [F.coalesce(F.sum(F.when((F.col("__f") == f) & (F.col("__c") == c), n)), F.lit(0)).alias(f"__n{i}_{j}") for i, f in enumerate(folds) for j, c in enumerate(classes)]
+        wide = counts.groupBy(*keys).agg(F.sum("__n").alias("__every"), *held)
+        own = {f: [F.col(f"__n{i}_{j}") for j in range(len(classes))] for i, f in enumerate(folds)}
+        every = [reduce(add, x) for x in zip(*own.values())]
+        entries = [F.struct(F.lit(ALL).alias("__f"), self._smooth(every, F.col("__every"), ALL).alias("__share"))]
+        for f, mine in own.items():
+            size = reduce(add, mine)
+            share = self._smooth([a - b for a, b in zip(every, mine)], F.col("__every") - size, f)
+            entries.append(F.when(size > 0, F.struct(F.lit(f).alias("__f"), share.alias("__share"))))
+        table = wide.select(*keys, F.explode(F.array(*entries)).alias("__entry")).where(F.col("__entry").isNotNull())
+        self.table = materialize(table.select(*keys, "__entry.__f", "__entry.__share"), "category_shares")
+
+    def _smooth(self, left: list[Column], total: Column, fold: int) -> Column:
+        return F.array(*[(n + F.lit(self.strength * p)) / (total + F.lit(self.strength)) for n, p in zip(left, self.prior[fold])])
 
     def shares(self, df: DataFrame, fold: str, out: str) -> DataFrame:
         """``df`` with ``out``: the smoothed share of each class in the row's category, outside its fold."""
-        right = self.table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)], "__f", "__left", "__total")
+        right = self.table.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)], "__f", "__share")
         same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
         joined = df.join(right, [*same, F.col(fold) == F.col("__f")], "left").drop(*[f"__k{i}" for i in range(len(self.keys))], "__f")
-        prior = F.create_map(*[x for f, p in self.prior.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in p]))])
-        # a fold that no labelled row has is like none left out
-        joined = joined.withColumn("__prior", F.coalesce(F.element_at(prior, F.col(fold)), F.array(*[F.lit(v) for v in self.prior[ALL]])))
-        left = F.coalesce("__left", F.array_repeat(F.lit(0).cast("long"), len(self.classes)))
-        joined = joined.withColumns({"__left": left, "__total": F.coalesce("__total", F.lit(0))})
-        smooth = F.zip_with("__left", "__prior", lambda n, p: (n + self.strength * p) / (F.col("__total") + self.strength))
-        return joined.withColumn(out, smooth).drop("__left", "__prior", "__total")
+        # a category seen nowhere else; a fold that no labelled row has is like none left out
+        unseen = {f: [(0 + self.strength * v) / (0 + self.strength) for v in p] for f, p in self.prior.items()}
+        known = F.coalesce("__share", F.element_at(_by_fold(unseen), F.col(fold)), F.array(*[F.lit(v) for v in unseen[ALL]]))
+        return joined.withColumn(out, known).drop("__share")
+
+
+def _by_fold(values: dict[int, list[float]]) -> Column:
+    return F.create_map(*[x for f, p in values.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in p]))])
 
 
 def with_fold(df: DataFrame, label: str, key: Column, folds: int = FOLDS, out: str = "fold") -> DataFrame:
@@ -82,10 +93,12 @@ def with_fold(df: DataFrame, label: str, key: Column, folds: int = FOLDS, out: s
     return df.withColumn(out, F.when(F.col(label).isNull(), ALL).otherwise(fold_of(key, folds)))
 
 
-def fit_statistics(df: DataFrame, keys: list[str], label: str, fold: str = "fold", classes: list[str] | None = None, strength: float = STRENGTH) -> CategoryStatistics:
-    """The statistics of the labelled rows of ``df``; runs the aggregation."""
+def fit_statistics(df: DataFrame, keys: list[str], label: str, fold: str = "fold", classes: list[str] | None = None, strength: float = STRENGTH, rows: str | None = None) -> CategoryStatistics:
+    """The statistics of the labelled rows of ``df``; runs the aggregation.
+    ``rows``: the column of how many rows a row of ``df`` stands for, if it was counted before."""
     known = df.where(F.col(label).isNotNull())
-    counts = known.groupBy(*keys, F.col(fold).alias("__f"), F.col(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.count(F.lit(1)) if rows is None else F.sum(F.col(rows))
+    counts = known.groupBy(*keys, F.col(fold).alias("__f"), F.col(label).alias("__c")).agg(n.alias("__n"))
     counts = materialize(counts, "category_class_counts")
     if classes is None:
         classes = [r[0] for r in counts.select("__c").distinct().orderBy("__c").collect()]

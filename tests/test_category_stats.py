@@ -70,3 +70,36 @@ def test_forest_uses_pairs_of_note_and_comment(spark):
     df = spark.createDataFrame(rows, "nota string, comentario string, analise string")
     out = models.forest_fill(df, "nota", "comentario", "analise", trees=20, max_depth=6).where("origin = 'filled'").collect()
     assert sum(r.analise == ["a", "b"][(int(r.nota[1:]) + int(r.comentario[1:])) % 2] for r in out) >= 195
+
+
+def test_trees_see_each_distinct_row_once(spark, monkeypatch):
+    """Equal rows are one row to a tree, however many there are, and are predicted once."""
+    rows = [(f"N{k % 3}", f"c{k % 2}", "ab"[k % 3 % 2]) for k in range(3000)] + [(f"N{k % 3}", f"c{k % 2}", None) for k in range(600)]
+    df = spark.createDataFrame(rows, "nota string, comentario string, analise string")
+    seen, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, d, *a: seen.append(d.count()) or fit(self, d, *a))
+    out = models.forest_fill(df, "nota", "comentario", "analise", trees=5, max_depth=4).collect()
+    assert seen and max(seen) <= 6 * cs.FOLDS
+    assert len(out) == 3600 and all(r.analise == "ab"[int(r.nota[1:]) % 2] for r in out)
+
+
+def test_a_bootstrap_draws_equal_rows_as_often_as_rows_on_their_own(spark):
+    """A Poisson number of the mean of the rows counted: its mean and variance are theirs; the same on a rerun."""
+    df = spark.range(400).select(F.xxhash64("id").alias("key"), F.when(F.col("id") < 200, 1).otherwise(900).cast("long").alias("n"))
+    draw = models._bootstrap(50, 42)
+    got = sorted((r.n, r.drawn) for r in df.select("n", draw("key", "n").alias("drawn")).collect())
+    assert got == sorted((r.n, r.drawn) for r in df.repartition(7).select("n", draw("key", "n").alias("drawn")).collect())
+    for n in (1, 900):
+        xs = [x for m, drawn in got if m == n for x in drawn]
+        mean = sum(xs) / len(xs)
+        assert abs(mean / n - 1) < 0.05 and abs(sum((x - mean) ** 2 for x in xs) / len(xs) / n - 1) < 0.1
+
+
+def test_forest_fills_null_notes_and_comments_and_repeated_rows(spark):
+    rows = [("A", None, "x")] * 20 + [(None, "c", "y")] * 20 + [("A", None, None)] * 3 + [(None, "c", None)] * 2 + [("new", "new", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "nota string, comentario string, analise string")
+    for balanced in (False, True):
+        out = models.forest_fill(df, "nota", "comentario", "analise", trees=9, max_depth=4, balanced=balanced).collect()
+        filled = [r for r in out if r.origin == "filled"]
+        assert len(out) == 47 and len(filled) == 7 and all(r.analise in ("x", "y") for r in filled)
+        assert [r.analise for r in filled if r.nota == "A"] == ["x"] * 3 and [r.analise for r in filled if r.comentario == "c"] == ["y"] * 2
